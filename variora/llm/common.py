@@ -120,14 +120,14 @@ def prefix_hashes(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts, A-Z lower-cased, as 64-bit hashes.
 
-    ``first[i]:first[i+1]`` are the words of text i.
+    ``first[i]:first[i+1]`` are the words of text i. ``is_word`` marks other word bytes.
     """
 
-    def __init__(self, buffer: np.ndarray, offsets: np.ndarray, lower: bool = True):
+    def __init__(self, buffer: np.ndarray, offsets: np.ndarray, lower: bool = True, is_word: np.ndarray = _IS_WORD):
         if lower:
             buffer = LOWER[buffer]
         n = len(buffer)
-        word = _IS_WORD[buffer]
+        word = is_word[buffer]
         before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
         if n:
             before[1:], after[:-1] = word[:-1], word[1:]

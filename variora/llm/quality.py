@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from variora.llm.common import LOWER, _IS_WORD, crc_mod, mix, prefix_hashes, steps, text_buffer
 
 #: Bounds of the fit: labelled rows, bytes of each that are read, and word vectors kept.
-SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 6_000, 20_000, 20_000
+SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 4_000, 6_000, 20_000
 DIMENSIONS, HIDDEN, SEED = 64, 32, 17
 _STEP = 1 << 18
 
@@ -222,5 +222,5 @@ def score_quality(documents: DataFrame, model: Model, threshold: float = 0.3) ->
             score = shared.value.score(shared.value.pooled(buffer, offsets))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
-    schema = documents.schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
+    schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return documents.mapInArrow(run, schema)

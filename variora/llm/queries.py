@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variora.llm import language_id, quality, sentencepiece_codec, url_filter
+from variora.llm import decontaminate, language_id, language_model, quality, sentencepiece_codec, token_counts, url_filter
 from variora.llm.common import crc_mod
 
 
@@ -17,6 +17,17 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    trie = language_model.train(docs.where(crc_mod("doc_id", 10) != 0))
+    scored = language_model.score(docs, trie)
+    return scored.select("doc_id", (crc_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(trie.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op3_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_model())
+
+
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, language_id.not_held_out())
@@ -29,6 +40,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model(), "digest")
 
@@ -39,6 +54,8 @@ def op10_quality(spark, sf_dir):
     return quality.score_quality(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op5_language_id, op8_sentencepiece, op10_quality)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_lm_score, op3_token_counts, op5_language_id, op7_decontaminate, op8_sentencepiece, op10_quality,
+)}
 
 ORACLE_SQL = {"op1_url_filter": url_filter.oracle_sql()}
