@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variora.llm import decontaminate, language_id, language_model, quality, sentencepiece_codec, token_counts, url_filter
+from variora.llm import decontaminate, jaccard_join, language_id, language_model, quality, sentencepiece_codec, token_counts, url_filter
 from variora.llm.common import crc_mod
 
 
@@ -48,6 +48,10 @@ def op8_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model(), "digest")
 
 
+def op9_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -55,7 +59,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_lm_score, op3_token_counts, op5_language_id, op7_decontaminate, op8_sentencepiece, op10_quality,
+    op1_url_filter, op2_lm_score, op3_token_counts, op5_language_id, op7_decontaminate, op8_sentencepiece, op9_ngram_jaccard, op10_quality,
 )}
 
 ORACLE_SQL = {"op1_url_filter": url_filter.oracle_sql()}
