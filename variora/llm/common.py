@@ -256,6 +256,20 @@ def gather(batches, kinds: list) -> dict[int, list[np.ndarray]]:
     return {k: [np.concatenate(x) for x in zip(*v)] for k, v in parts.items()}
 
 
+# ---------------------------------------------------------------- removal
+
+#: Ids that are broadcast, 8 bytes each; more are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` but for rows whose id is in ``ids`` (one column); rows without id stay."""
+    ids = materialise(ids.select(F.col(ids.columns[0]).alias(id_column)).distinct(), name)
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, id_column, "left_anti").select(*docs.columns)
+
+
 # ---------------------------------------------------------------- components
 
 

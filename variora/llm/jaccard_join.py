@@ -4,7 +4,8 @@
    class, and one document of each class goes on.
 2. Two sets with a Jaccard similarity of t share one of the floor((1-t)n)+1 smallest hashes of
    each, so documents meet in blocks, one for each such hash. Blocks of one member go.
-3. In a block, documents are points: how many of their hashes fall into each of GROUPS groups.
+3. In a block, documents are points: how many of their hashes fall into each of a number of groups (a
+   power of two that grows with the set; finer counts are folded onto coarser ones).
    The overlap of two sets is at most the sum of the coordinates' minima. An R-tree over the
    points finds the pairs whose bound reaches t; blocks hand on which documents are joined
    by such pairs, never the pairs.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from variora.llm.common import BLOBS, Words, blob_batches, components, gather, materialise, mix, shard_keys, shard_of, shingle_sets, shuffle_width, steps, text_buffer
 
-GROUPS, LEAF = 32, 16
+#: Hashes a group on average: with more groups for larger sets the bound stays sharp.
+PER_GROUP, LEAF = 8, 16
 #: Documents in one chunk of a candidate group; candidates up to this many are broadcast.
 CHUNK, BROADCAST_ROWS = 2_000, 500_000
 
@@ -47,6 +49,25 @@ class Rule:
         return n - (self.percent * n + 99) // 100 + 1
 
 
+# ---------------------------------------------------------------- count vectors
+
+
+def count_vector(h: np.ndarray) -> np.ndarray:
+    """Hashes by group, in bytes; groups follow low bits, as prefixes follow high ones."""
+    groups = 1 << max(4, (len(h) // PER_GROUP).bit_length())
+    while True:
+        counts = np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+        if counts.max() < 256:
+            return counts.astype(np.uint8)
+        groups *= 2
+
+
+def folded(vectors: list[np.ndarray]) -> np.ndarray:
+    """The vectors with as many groups as the shortest has."""
+    groups = min(map(len, vectors))
+    return np.stack([v if len(v) == groups else v.reshape(-1, groups).sum(0, dtype=np.int32) for v in vectors]).astype(np.int32)
+
+
 # ---------------------------------------------------------------- R-tree
 
 
@@ -60,7 +81,7 @@ class CountTree:
         slab = LEAF * max(1, int(np.ceil(np.sqrt(m / LEAF))))
         order = order[np.lexsort((points[order, 0], np.arange(m) // slab))]
         self.order = order
-        self.points, self.sizes = points[order].astype(np.int32), sizes[order].astype(np.int64)
+        self.points, self.sizes = points[order], sizes[order].astype(np.int64)
         self.levels = []
         high, small, large = self.points, self.sizes, self.sizes
         while len(small) > LEAF:
@@ -192,8 +213,7 @@ def signatures(documents: DataFrame, rule: Rule, id_column: str, text_column: st
                     k1.append(int.from_bytes(digest[:8], "little", signed=True))
                     k2.append(int.from_bytes(digest[8:], "little", signed=True))
                     prefix.append(h[: rule.prefix(len(h))].tobytes() if len(h) else b"")
-                    # groups must not follow the order of the hashes: take low bits
-                    vec.append(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                    vec.append(count_vector(h).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(vec, pa.binary())],
                     ["doc_id", "n", "k1", "k2", "prefix", "vec"],
@@ -246,24 +266,35 @@ def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
     width = shuffle_width(reps.sparkSession)
 
     def run(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, GROUPS)) for b in batches if b.num_rows]
+        vectors: dict[int, np.ndarray] = {}  # one a document, however many blocks it is in
+
+        def held(batches):
+            for batch in batches:
+                for d, v in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                    if d not in vectors:
+                        vectors[d] = np.frombuffer(v, np.uint8)
+                yield batch
+
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in held(batches)]
         if not parts:
             return
-        block, doc, n, points = (np.concatenate(x) for x in zip(*parts))
+        block, doc, n = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((doc, block))
-        block, doc, n, points = block[order], doc[order], n[order], points[order]
+        block, doc, n = block[order], doc[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         size = np.diff(np.append(first, len(block)))
         out_a, out_b = [], []
-        twos = first[size == 2]
-        if len(twos):
-            x, y = twos, twos + 1
-            bound = np.minimum(points[x], points[y]).sum(1, dtype=np.int64)
-            ok = rule.sizes_fit(n[x], n[y]) & ((100 + rule.percent) * bound >= rule.percent * (n[x] + n[y]))
-            out_a.append(doc[x[ok]])
-            out_b.append(doc[y[ok]])
-        for f, s in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-            label = joined(points[f : f + s], n[f : f + s], rule)
+        for f, s in zip(first.tolist(), size.tolist()):
+            if s < 2:
+                continue
+            points = folded([vectors[int(d)] for d in doc[f : f + s]])
+            if s == 2:
+                bound = int(np.minimum(points[0], points[1]).sum())
+                if rule.sizes_fit(n[f], n[f + 1]) and (100 + rule.percent) * bound >= rule.percent * int(n[f] + n[f + 1]):
+                    out_a.append(doc[f : f + 1])
+                    out_b.append(doc[f + 1 : f + 2])
+                continue
+            label = joined(points, n[f : f + s], rule)
             moved = np.flatnonzero(label != np.arange(s))
             out_a.append(doc[f + label[moved]])
             out_b.append(doc[f + moved])

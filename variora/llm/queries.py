@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variora.llm import decontaminate, jaccard_join, language_id, language_model, quality, sentencepiece_codec, token_counts, url_filter
+from variora.llm import decontaminate, jaccard_join, language_id, language_model, quality, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 from variora.llm.common import crc_mod
 
 
@@ -28,6 +28,10 @@ def op3_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), "digest")
+
+
 def op5_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs, language_id.not_held_out())
@@ -59,7 +63,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_lm_score, op3_token_counts, op5_language_id, op7_decontaminate, op8_sentencepiece, op9_ngram_jaccard, op10_quality,
+    op1_url_filter, op2_lm_score, op3_token_counts, op4_suffix_dedup, op5_language_id, op7_decontaminate, op8_sentencepiece, op9_ngram_jaccard, op10_quality,
 )}
 
 ORACLE_SQL = {"op1_url_filter": url_filter.oracle_sql()}
