@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from variora.llm.common import BLOBS, Words, blob_batches, components, gather, materialise, mix, shard_keys, shard_of, shingle_sets, shuffle_width, steps, text_buffer
 
 #: Hashes a group on average: with more groups for larger sets the bound stays sharp.
-PER_GROUP, LEAF = 8, 16
+PER_GROUP, LEAF = 2, 16
 #: Documents in one chunk of a candidate group; candidates up to this many are broadcast.
 CHUNK, BROADCAST_ROWS = 2_000, 500_000
 
@@ -251,14 +251,16 @@ def _blocks(reps: DataFrame, rule: Rule) -> DataFrame:
             print_ = np.add.reduceat(mix(doc.view(np.uint64)), first) + size.astype(np.uint64)
             _, one = np.unique(print_, return_index=True)
             one = one[size[one] > 1]
+            name = print_[one].view(np.int64)
             if not len(one):
                 continue
             lengths = size[one]
             at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[one], lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h[first[one]] + n[first[one]].astype(np.uint64), lengths).view(np.int64)), pa.array(doc[at]), pa.array(n[at])], ["block", "doc_id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, lengths)), pa.array(doc[at]), pa.array(n[at])], ["block", "doc_id", "n"])
 
     blobs = reps.select("doc_id", "n", "prefix").mapInArrow(deal, BLOBS).repartition(shards, "shard")
-    return blobs.mapInArrow(meet, "block long, doc_id long, n long")
+    # a block is named by its members, so that those met under several hashes become one
+    return blobs.mapInArrow(meet, "block long, doc_id long, n long").distinct()
 
 
 def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
@@ -287,17 +289,24 @@ def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
         for f, s in zip(first.tolist(), size.tolist()):
             if s < 2:
                 continue
-            points = folded([vectors[int(d)] for d in doc[f : f + s]])
-            if s == 2:
-                bound = int(np.minimum(points[0], points[1]).sum())
-                if rule.sizes_fit(n[f], n[f + 1]) and (100 + rule.percent) * bound >= rule.percent * int(n[f] + n[f + 1]):
-                    out_a.append(doc[f : f + 1])
-                    out_b.append(doc[f + 1 : f + 2])
-                continue
-            label = joined(points, n[f : f + s], rule)
-            moved = np.flatnonzero(label != np.arange(s))
-            out_a.append(doc[f + label[moved]])
-            out_b.append(doc[f + moved])
+            # sets that can link are in one band of sizes or in neighbouring ones; counts are
+            # folded no further than the two bands need
+            band = np.floor(np.log(n[f : f + s]) / np.log(100 / rule.percent) + 1e-9).astype(np.int64) if s > 2 else np.zeros(s, np.int64)
+            for low in np.unique(band).tolist():
+                at = f + np.flatnonzero((band == low) | (band == low + 1))
+                if len(at) < 2 or (band[at - f] != low).all():
+                    continue
+                points = folded([vectors[int(d)] for d in doc[at]])
+                if len(at) == 2:
+                    bound = int(np.minimum(points[0], points[1]).sum())
+                    if rule.sizes_fit(n[at[0]], n[at[1]]) and (100 + rule.percent) * bound >= rule.percent * int(n[at].sum()):
+                        out_a.append(doc[at[:1]])
+                        out_b.append(doc[at[1:]])
+                    continue
+                label = joined(points, n[at], rule)
+                moved = np.flatnonzero(label != np.arange(len(at)))
+                out_a.append(doc[at[label[moved]]])
+                out_b.append(doc[at[moved]])
         a, b = np.concatenate(out_a) if out_a else np.zeros(0, np.int64), np.concatenate(out_b) if out_b else np.zeros(0, np.int64)
         edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])

@@ -9,7 +9,12 @@ from variora.llm import decontaminate, jaccard_join, language_id, language_model
 from variora.llm.common import crc_mod
 
 
+#: Rows in one Arrow batch: texts are long, and batches are held on both sides.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -280,7 +280,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR, to
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             buffer, offsets = text_buffer(batch.column(1))
-            for lo, hi in steps(offsets):
+            for lo, hi in steps(offsets, 1 << 18):
                 at = offsets[lo : hi + 1] - offsets[lo]
                 text, _, first, last, h, whole = anchors(buffer[offsets[lo] : offsets[hi]], at, length, k)
                 if len(text):
@@ -303,8 +303,9 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR, to
             left = new & (classes > 1)
             d, b = _by_document(doc[left], [first[left], last[left], h[left], (classes[left] > together).astype(np.uint8)])
             rows += [(x, 1, y) for x, y in zip(d, b)]
-            for i in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 20_000]), (pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "kind", "blob"])
+            del h, whole, doc, first, last, new_h, new, earliest, again, group, classes, left, d, b
+            for i in range(0, len(rows), 5_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 5_000]), (pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "kind", "blob"])
 
     def fetch(batches):
         for batch, todo in _streamed(batches):
