@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from variora.llm import decontaminate, jaccard_join, language_id, language_model, quality, sentencepiece_codec, suffix_dedup, token_counts, url_filter
+from variora.llm import bm25_search, decontaminate, jaccard_join, language_id, language_model, quality, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 from variora.llm.common import crc_mod
 
 
@@ -49,6 +49,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op6_bm25_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return bm25_search.search(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,7 +73,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_lm_score, op3_token_counts, op4_suffix_dedup, op5_language_id, op7_decontaminate, op8_sentencepiece, op9_ngram_jaccard, op10_quality,
+    op1_url_filter, op2_lm_score, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_bm25_search, op7_decontaminate, op8_sentencepiece, op9_ngram_jaccard, op10_quality,
 )}
 
-ORACLE_SQL = {"op1_url_filter": url_filter.oracle_sql()}
+ORACLE_SQL = {"op1_url_filter": url_filter.oracle_sql(), "op6_bm25_search": bm25_search.oracle_sql()}
