@@ -210,7 +210,7 @@ def oracle_sql(k: int = 10) -> str:
     l AS (SELECT doc_id, coalesce(sum(tf), 0) AS len FROM documents LEFT JOIN p USING (doc_id) GROUP BY doc_id),
     g AS (SELECT count(*)::DOUBLE AS n, avg(len) AS a FROM l),
     i AS (SELECT t, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM p, g GROUP BY t, n),
-    s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(idf * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * len / a))), {DIGITS}) AS score
+    s AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(idf * p.tf * {K1 + 1} / (p.tf + {K1} * (1 - {B} + {B} * len / a))), {DIGITS}) AS score
           FROM p q JOIN i USING (t) JOIN p USING (t) JOIN l ON l.doc_id = p.doc_id, g WHERE q.doc_id % 100 = 0 GROUP BY ALL),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
     SELECT query_id, doc_id, score, rank FROM r WHERE rank <= {k}
