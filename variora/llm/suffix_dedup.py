@@ -276,6 +276,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR, to
     shards = shuffle_width(spark)
     keys = shard_keys(shards)
 
+    # anchors are minima, so their hashes crowd at the low end: they are mixed before dealing
     def find(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -284,7 +285,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR, to
                 at = offsets[lo : hi + 1] - offsets[lo]
                 text, _, first, last, h, whole = anchors(buffer[offsets[lo] : offsets[hi]], at, length, k)
                 if len(text):
-                    yield blob_batches(shard_of(h, shards), keys, [h, whole, ids[lo + text], (first - at[text]).astype(np.uint32), (last - first).astype(np.uint8 if length < 256 else np.uint32)])
+                    yield blob_batches(shard_of(mix(h), shards), keys, [h, whole, ids[lo + text], (first - at[text]).astype(np.uint32), (last - first).astype(np.uint8 if length < 256 else np.uint32)])
 
     def settle(batches):
         kinds = [np.uint64, np.uint64, np.int64, np.uint32, np.uint8 if length < 256 else np.uint32]
@@ -317,7 +318,7 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, k: int = ANCHOR, to
                     if not parts:
                         continue
                     a, b, c, d, begin, size, raw = (np.concatenate(x) for x in zip(*parts))
-                    for key, blob in _text_blobs(shard_of(a, shards), keys, [a, b, c, d], begin, size, raw) if tag == "c" else ():
+                    for key, blob in _text_blobs(shard_of(mix(a), shards), keys, [a, b, c, d], begin, size, raw) if tag == "c" else ():
                         rows.append((key, 0, blob))
                     if tag == "w":
                         made = blob_batches(shard_of(a, shards), keys, [a, b, c, d])
