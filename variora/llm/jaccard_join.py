@@ -227,6 +227,7 @@ def _blocks(reps: DataFrame, rule: Rule) -> DataFrame:
     shards = shuffle_width(reps.sparkSession)
     keys = shard_keys(shards)
 
+    # prefixes are the smallest hashes: they are mixed before dealing
     def deal(batches):
         for batch in batches:
             docs, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -235,7 +236,7 @@ def _blocks(reps: DataFrame, rule: Rule) -> DataFrame:
                 part = raw[a : a + 4096]
                 count = np.array([len(x) for x in part])
                 h = np.concatenate(part)
-                yield blob_batches(shard_of(h, shards), keys, [h, np.repeat(docs[a : a + 4096], count), np.repeat(sizes[a : a + 4096], count).astype(np.uint32)])
+                yield blob_batches(shard_of(mix(h), shards), keys, [h, np.repeat(docs[a : a + 4096], count), np.repeat(sizes[a : a + 4096], count).astype(np.uint32)])
 
     def meet(batches):
         for h, doc, n in gather(batches, [np.uint64, np.int64, np.uint32]).values():
