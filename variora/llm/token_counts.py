@@ -81,7 +81,7 @@ def load(model: str) -> Automaton:
 
     with open(model, "rb") as f:
         pieces = [p.piece for p in sentencepiece_model_pb2.ModelProto.FromString(f.read()).pieces if p.type == 1]
-    return Automaton([p[1:] for p in pieces if p[0] == "▁" and len(p) > 1], [p for p in pieces if "▁" not in p])
+    return Automaton([p[1:] for p in pieces if p[0] == "▁" and len(p) > 1 and "▁" not in p[1:]], [p for p in pieces if "▁" not in p])
 
 
 def count_tokens(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
