@@ -21,6 +21,8 @@ from variora.llm.common import BLOBS, Words, blob_batches, gather, materialise,
 K1, B, BLOCK = 1.2, 0.75, 64
 #: Text bytes of a shard; queries, and their words, of one broadcast block.
 SHARD_BYTES, QUERIES, QUERY_WORDS = 16 << 20, 4_000, 2_000_000
+#: Bytes after which an Arrow batch ends: a worker holds one or two shards, not its whole split.
+BATCH_BYTES = 4 << 20
 DIGITS = 6
 
 
@@ -124,9 +126,11 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
 
     A query's words count once each. Scores are rounded to DIGITS digits; ties go to the
     smaller id. Only documents that share a word are found, so empty queries have no rows.
-    Rows without id are neither found nor asked for.
+    Rows without id are neither found nor asked for. Sets the session's Arrow batches to
+    BATCH_BYTES.
     """
     spark = documents.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     index = materialise(build_index(documents, id_column, text_column), "bm25")
     totals = index.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     total, average = totals["n"] or 0, (totals["words"] or 0) / max(1, totals["n"] or 0) or 1.0
