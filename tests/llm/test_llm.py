@@ -125,8 +125,9 @@ def test_language_id(spark, docs):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_search(docs, empty):
-    got = [tuple(r) for r in bm25_search.search(docs, docs.where("doc_id % 5 = 0"), 4).collect()]
+@pytest.mark.parametrize("shard_bytes", [bm25_search.SHARD_BYTES, 1500])
+def test_search(docs, empty, shard_bytes):
+    got = [tuple(r) for r in bm25_search.search(docs.coalesce(1), docs.where("doc_id % 5 = 0"), 4, shard_bytes=shard_bytes).collect()]
     tf = {i: collections.Counter(words(t)) for i, t in enumerate(TEXTS)}
     df = collections.Counter(w for c in tf.values() for w in c)
     mean, n, want = sum(sum(c.values()) for c in tf.values()) / len(tf), len(tf), []

@@ -3,7 +3,9 @@
 Documents are indexed in shards that are written to the shared folder; global counts make the
 shards' scores comparable. A shard keeps the largest impact of each term in each block of
 BLOCK documents. For a query the blocks' bounds are summed first; blocks are then scored from
-the highest bound down until no bound reaches the k-th best score. Shards' results are merged
+the highest bound down until no bound reaches the k-th best score. A shard's documents lie in
+the order of their most frequent word and length, so that blocks are alike and bounds tight; a
+task carries each query's k-th best score on to its next shard. Shards' results are merged
 exactly. Queries come in broadcast blocks of bounded size, each against all shards.
 """
 
@@ -20,13 +22,13 @@ from variora.llm.common import BLOBS, Words, blob_batches, gather, materialise,
 
 K1, B, BLOCK = 1.2, 0.75, 64
 #: Text bytes of a shard; queries, and their words, of one broadcast block.
-SHARD_BYTES, QUERIES, QUERY_WORDS = 16 << 20, 4_000, 2_000_000
+SHARD_BYTES, QUERIES, QUERY_WORDS = 6 << 20, 4_000, 2_000_000
 #: Bytes after which an Arrow batch ends: a worker holds one or two shards, not its whole split.
 BATCH_BYTES = 4 << 20
 DIGITS = 6
 
 
-def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row a shard: n documents, their words, and the packed postings."""
     rows = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("_text")).where("doc_id is not null")
 
@@ -37,10 +39,14 @@ def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: st
             ids, lengths = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
             base = np.cumsum([0] + [len(p[0]) for p in parts])
             term, doc, tf = (np.concatenate([p[i] + (at if i == 3 else 0) for p, at in zip(parts, base)]) for i in (2, 3, 4))
-            order = np.lexsort((doc, term))
-            term, doc, tf = term[order], doc[order].astype(np.uint32), tf[order].astype(np.uint32)
-            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-            blob = b"".join(len(x).to_bytes(8, "little") + x.tobytes() for x in (ids, lengths, term[first], np.append(first, len(term)), doc, tf))
+            terms, number, df = np.unique(term, return_inverse=True, return_counts=True)
+            at = _alike(doc, tf, number, df, lengths)
+            place = np.empty(len(at), np.int64)
+            place[at] = np.arange(len(at))
+            doc = place[doc]
+            order = np.argsort(number * len(ids) + doc)
+            first = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
+            blob = b"".join(len(x).to_bytes(8, "little") + x.tobytes() for x in (ids[at], lengths[at], terms, first, doc[order].astype(np.uint32), tf[order].astype(np.uint32)))
             return pa.RecordBatch.from_arrays([pa.array([len(ids)]), pa.array([int(lengths.sum())]), pa.array([blob], pa.binary())], ["n", "words", "blob"])
 
         for batch in batches:
@@ -48,13 +54,11 @@ def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: st
             buffer, offsets = text_buffer(batch.column(1))
             for lo, hi in steps(offsets):
                 words = Words(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                doc = words.text_of()
-                order = np.lexsort((words.hash, doc))
-                h, d = words.hash[order], doc[order]
-                first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
-                parts.append((ids[lo:hi], words.count(), h[first], d[first], np.diff(np.append(first, len(h)))))
+                terms, number = np.unique(words.hash, return_inverse=True)
+                pair, tf = np.unique(words.text_of() * max(1, len(terms)) + number, return_counts=True)
+                parts.append((ids[lo:hi], words.count(), terms[pair % max(1, len(terms))], pair // max(1, len(terms)), tf))
                 size += int(offsets[hi] - offsets[lo])
-                if size > SHARD_BYTES:
+                if size > shard_bytes:
                     yield shard()
                     parts, size = [], 0
         if parts:
@@ -63,6 +67,19 @@ def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: st
     return rows.mapInArrow(run, "n long, words long, blob binary")
 
 
+def _alike(doc: np.ndarray, tf: np.ndarray, term: np.ndarray, df: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Documents by their most frequent word (the commonest of these) and their length.
+
+    ``doc`` ascends; ``term`` numbers the words and ``df`` counts each one's documents."""
+    leader = np.full(len(lengths), -1)
+    if len(doc):
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        weight = tf * (int(df.max()) + 1) + df[term]
+        best = weight == np.repeat(np.maximum.reduceat(weight, first), np.diff(np.append(first, len(doc))))
+        leader[doc[best]] = term[best]
+    return np.lexsort((lengths, leader))
+
+
 def _arrays(blob: bytes) -> list[np.ndarray]:
     out, at = [], 0
     for kind in (np.int64, np.int64, np.uint64, np.int64, np.uint32, np.uint32):
@@ -89,16 +106,18 @@ class Shard:
         self.piece_size = np.diff(np.append(self.piece, len(block)))
         self.piece_of = np.searchsorted(self.piece, self.first)
 
-    def top(self, at: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the best k for terms ``at`` (in the shard) with these weights."""
+    def top(self, at: np.ndarray, idf: np.ndarray, k: int, threshold: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k for terms ``at`` (in the shard) with these weights, of
+        documents that score ``threshold`` at least."""
         count = self.piece_of[at + 1] - self.piece_of[at]
         pieces = _spread(self.piece_of[at], count)
         weight = np.repeat(idf, count)
-        bound = np.bincount(self.piece_block[pieces], weight * self.piece_max[pieces], -(-len(self.ids) // BLOCK))
+        block = self.piece_block[pieces]
+        bound = np.bincount(block, weight * self.piece_max[pieces], -(-len(self.ids) // BLOCK))
         order = np.argsort(-bound)
         order = order[bound[order] > 0]
         scores = np.zeros(len(self.ids))
-        best, threshold, done, take = np.zeros(0, np.int64), -1.0, 0, 8
+        best, done, take = np.zeros(0, np.int64), 0, 8
         while done < len(order):
             now = order[done : done + take]
             now = now[bound[now] >= threshold - 10.0**-DIGITS]
@@ -106,22 +125,22 @@ class Shard:
                 break
             chosen = np.zeros(len(bound), bool)
             chosen[now] = True
-            mine = chosen[self.piece_block[pieces]]
+            mine = chosen[block]
             size = self.piece_size[pieces[mine]]
             postings = _spread(self.piece[pieces[mine]], size)
-            np.add.at(scores, self.doc[postings], np.repeat(weight[mine], size) * self.impact[postings])
+            scores += np.bincount(self.doc[postings], np.repeat(weight[mine], size) * self.impact[postings], len(scores))
             docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             docs = docs[docs < len(self.ids)]
-            best = np.concatenate([best, docs[scores[docs] > 0]])
+            best = np.concatenate([best, docs[scores[docs] > max(0.0, threshold - 10.0**-DIGITS)]])
             rounded = np.round(scores[best], DIGITS)
             best = best[np.lexsort((self.ids[best], -rounded))[:k]]
             if len(best) == k:
-                threshold = scores[best].min()
+                threshold = max(threshold, scores[best].min())
             done, take = done + take, take * 2
         return self.ids[best], np.round(scores[best], DIGITS)
 
 
-def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", text_column: str = "text", query_id: str = "doc_id", query_text: str = "text") -> DataFrame:
+def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "doc_id", text_column: str = "text", query_id: str = "doc_id", query_text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, doc_id, score, rank: the best k documents of each query by BM25.
 
     A query's words count once each. Scores are rounded to DIGITS digits; ties go to the
@@ -131,7 +150,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     """
     spark = documents.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    index = materialise(build_index(documents, id_column, text_column), "bm25")
+    index = materialise(build_index(documents, id_column, text_column, shard_bytes), "bm25")
     totals = index.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     total, average = totals["n"] or 0, (totals["words"] or 0) / max(1, totals["n"] or 0) or 1.0
     asked = queries.select(queries[query_id].cast("long").alias("q"), queries[query_text].cast("string").alias("t")).where("q is not null and t is not null")
@@ -181,6 +200,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
 
         def ask(batches, plan=plan, weights=weights):
             ids, terms, sets = plan.value
+            reached = np.full((len(ids), k), -1.0)
             for batch in batches:
                 for blob in batch.column(0):
                     shard = Shard(blob.as_buffer().to_pybytes(), average)
@@ -189,10 +209,11 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
                     at = np.searchsorted(shard.terms, terms).clip(0, len(shard.terms) - 1)
                     known = shard.terms[at] == terms
                     q, d, s = [], [], []
-                    for i, own in zip(ids, sets):
+                    for i, own, so_far in zip(ids, sets, reached):
                         own = own[known[own]]
                         if len(own):
-                            docs, scores = shard.top(at[own], weights.value[own], k)
+                            docs, scores = shard.top(at[own], weights.value[own], k, so_far[0])
+                            so_far[:] = np.sort(np.concatenate([so_far, scores]))[-k:]
                             q.append(np.full(len(docs), i))
                             d.append(docs)
                             s.append(scores)
