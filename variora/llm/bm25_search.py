@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variora.llm.common import BLOBS, Words, blob_batches, gather, materialise, shard_keys, shuffle_width, steps, text_buffer, unpack
+from variora.llm.common import BLOBS, LARGE_ROWS, Words, blob_batches, gather, materialise, shard_keys, shuffle_width, steps, text_buffer, unpack
 
 K1, B, BLOCK = 1.2, 0.75, 64
 #: Text bytes of a shard; queries, and their words, of one broadcast block.
@@ -150,7 +150,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     """
     spark = documents.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    index = materialise(build_index(documents, id_column, text_column, shard_bytes), "bm25")
+    index = materialise(build_index(documents, id_column, text_column, shard_bytes), "bm25", LARGE_ROWS)
     totals = index.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     total, average = totals["n"] or 0, (totals["words"] or 0) / max(1, totals["n"] or 0) or 1.0
     asked = queries.select(queries[query_id].cast("long").alias("q"), queries[query_text].cast("string").alias("t")).where("q is not null and t is not null")
