@@ -5,8 +5,8 @@ shards' scores comparable. A shard keeps the largest impact of each term in each
 BLOCK documents. For a query the blocks' bounds are summed first; blocks are then scored from
 the highest bound down until no bound reaches the k-th best score. A shard's documents lie in
 the order of their most frequent word and length, so that blocks are alike and bounds tight; a
-task carries each query's k-th best score on to its next shard. Shards' results are merged
-exactly. Queries come in broadcast blocks of bounded size, each against all shards.
+task carries each query's k best on to its next shard. Tasks' results are merged exactly.
+Queries come in broadcast blocks of bounded size, each against all shards.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ K1, B, BLOCK = 1.2, 0.75, 64
 SHARD_BYTES, QUERIES, QUERY_WORDS = 6 << 20, 4_000, 2_000_000
 #: Bytes after which an Arrow batch ends: a worker holds one or two shards, not its whole split.
 BATCH_BYTES = 4 << 20
+#: Shards that one task searches at most, unless the session has too few cores for that.
+TASK_SHARDS = 64
 DIGITS = 6
 
 
@@ -151,7 +153,8 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     spark = documents.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     index = materialise(build_index(documents, id_column, text_column, shard_bytes), "bm25", LARGE_ROWS)
-    totals = index.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    totals = index.agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.count("*").alias("shards")).first()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-totals["shards"] // TASK_SHARDS))
     total, average = totals["n"] or 0, (totals["words"] or 0) / max(1, totals["n"] or 0) or 1.0
     asked = queries.select(queries[query_id].cast("long").alias("q"), queries[query_text].cast("string").alias("t")).where("q is not null and t is not null")
     asked = materialise(asked, "asked")
@@ -200,7 +203,7 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
 
         def ask(batches, plan=plan, weights=weights):
             ids, terms, sets = plan.value
-            reached = np.full((len(ids), k), -1.0)
+            reached, found_ids = np.full((len(ids), k), -1.0), np.zeros((len(ids), k), np.int64)
             for batch in batches:
                 for blob in batch.column(0):
                     shard = Shard(blob.as_buffer().to_pybytes(), average)
@@ -208,19 +211,18 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
                         continue
                     at = np.searchsorted(shard.terms, terms).clip(0, len(shard.terms) - 1)
                     known = shard.terms[at] == terms
-                    q, d, s = [], [], []
-                    for i, own, so_far in zip(ids, sets, reached):
+                    for own, best, best_ids in zip(sets, reached, found_ids):
                         own = own[known[own]]
                         if len(own):
-                            docs, scores = shard.top(at[own], weights.value[own], k, so_far[0])
-                            so_far[:] = np.sort(np.concatenate([so_far, scores]))[-k:]
-                            q.append(np.full(len(docs), i))
-                            d.append(docs)
-                            s.append(scores)
-                    if q:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, d, s)], ["query_id", "doc_id", "score"])
-
-        found.append(index.select("blob").mapInArrow(ask, "query_id long, doc_id long, score double"))
+                            docs, scores = shard.top(at[own], weights.value[own], k, best[0])
+                            if len(docs):
+                                docs, scores = np.concatenate([best_ids, docs]), np.concatenate([best, scores])
+                                order = np.lexsort((-docs, scores))[-k:]
+                                best[:], best_ids[:] = scores[order], docs[order]
+            q, place = np.nonzero(reached > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], found_ids[q, place], reached[q, place])], ["query_id", "doc_id", "score"])
+
+        found.append(index.select("blob").coalesce(tasks).mapInArrow(ask, "query_id long, doc_id long, score double"))
     if not found:
         return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
