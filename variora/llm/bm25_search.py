@@ -27,6 +27,8 @@ SHARD_BYTES, QUERIES, QUERY_WORDS = 6 << 20, 4_000, 2_000_000
 BATCH_BYTES = 4 << 20
 #: Shards that one task searches at most, unless the session has too few cores for that.
 TASK_SHARDS = 64
+#: Cells (word, block) of a shard's table of bounds; where BLOCK would make more, blocks are longer.
+CELLS = 4 << 20
 DIGITS = 6
 
 
@@ -100,22 +102,21 @@ class Shard:
         self.ids, lengths, self.terms, self.first, self.doc, tf = _arrays(blob)
         tf = tf.astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / average)) if len(tf) else tf
-        block = self.doc // BLOCK
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.first))
-        self.piece = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (term[1:] != term[:-1])])) if len(block) else np.zeros(0, np.int64)
-        self.piece_block = block[self.piece].astype(np.int64)
-        self.piece_max = np.maximum.reduceat(self.impact, self.piece) if len(block) else self.impact
-        self.piece_size = np.diff(np.append(self.piece, len(block)))
-        self.piece_of = np.searchsorted(self.piece, self.first)
+        # cell t * blocks + b: the postings of word t in block b, and their largest impact
+        self.size = max(BLOCK, -(-len(self.ids) * len(self.terms) // CELLS))
+        self.blocks = -(-len(self.ids) // self.size)
+        cell = np.repeat(np.arange(len(self.terms)) * self.blocks, np.diff(self.first)) + self.doc // self.size
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(self.terms) * self.blocks))]).astype(np.int32)
+        self.bound = np.zeros(len(self.terms) * self.blocks)
+        if len(cell):
+            piece = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            self.bound[cell[piece]] = np.maximum.reduceat(self.impact, piece)
+        self.bound = self.bound.reshape(len(self.terms), self.blocks)
 
     def top(self, at: np.ndarray, idf: np.ndarray, k: int, threshold: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k for terms ``at`` (in the shard) with these weights, of
         documents that score ``threshold`` at least."""
-        count = self.piece_of[at + 1] - self.piece_of[at]
-        pieces = _spread(self.piece_of[at], count)
-        weight = np.repeat(idf, count)
-        block = self.piece_block[pieces]
-        bound = np.bincount(block, weight * self.piece_max[pieces], -(-len(self.ids) // BLOCK))
+        bound = idf @ self.bound[at]
         order = np.argsort(-bound)
         order = order[bound[order] > 0]
         scores = np.zeros(len(self.ids))
@@ -125,13 +126,13 @@ class Shard:
             now = now[bound[now] >= threshold - 10.0**-DIGITS]
             if not len(now):
                 break
-            chosen = np.zeros(len(bound), bool)
-            chosen[now] = True
-            mine = chosen[block]
-            size = self.piece_size[pieces[mine]]
-            postings = _spread(self.piece[pieces[mine]], size)
-            scores += np.bincount(self.doc[postings], np.repeat(weight[mine], size) * self.impact[postings], len(scores))
-            docs = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            cells = (at[:, None] * self.blocks + now).ravel()
+            begin = self.begin[cells]
+            size = self.begin[cells + 1] - begin
+            postings = _spread(begin, size)
+            weight = np.repeat(np.repeat(idf, len(now)), size)
+            scores += np.bincount(self.doc[postings], weight * self.impact[postings], len(scores))
+            docs = (now[:, None] * self.size + np.arange(self.size)).ravel()
             docs = docs[docs < len(self.ids)]
             best = np.concatenate([best, docs[scores[docs] > max(0.0, threshold - 10.0**-DIGITS)]])
             rounded = np.round(scores[best], DIGITS)
@@ -175,7 +176,10 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
         terms = np.unique(np.concatenate(sets))
         if not len(terms):
             continue
-        plan = spark.sparkContext.broadcast((np.array([q for q, _ in rows]), terms, [np.searchsorted(terms, s).astype(np.int32) for s in sets]))
+        number: dict[bytes, int] = {}  # queries of the same words are one
+        which = np.array([number.setdefault(s.tobytes(), len(number)) for s in sets])
+        distinct = [np.searchsorted(terms, np.frombuffer(s, np.uint64)).astype(np.int32) for s in number]
+        plan = spark.sparkContext.broadcast((np.array([q for q, _ in rows]), terms, which, distinct))
         parts = np.arange(len(terms)) * width // len(terms)
 
         def count(batches, plan=plan, parts=parts):
@@ -202,8 +206,8 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
         weights = spark.sparkContext.broadcast(np.log(1 + (total - df + 0.5) / (df + 0.5)))
 
         def ask(batches, plan=plan, weights=weights):
-            ids, terms, sets = plan.value
-            reached, found_ids = np.full((len(ids), k), -1.0), np.zeros((len(ids), k), np.int64)
+            ids, terms, which, sets = plan.value
+            reached, found_ids = np.full((len(sets), k), -1.0), np.zeros((len(sets), k), np.int64)
             for batch in batches:
                 for blob in batch.column(0):
                     shard = Shard(blob.as_buffer().to_pybytes(), average)
@@ -219,8 +223,8 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
                                 docs, scores = np.concatenate([best_ids, docs]), np.concatenate([best, scores])
                                 order = np.lexsort((-docs, scores))[-k:]
                                 best[:], best_ids[:] = scores[order], docs[order]
-            q, place = np.nonzero(reached > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], found_ids[q, place], reached[q, place])], ["query_id", "doc_id", "score"])
+            q, place = np.nonzero((reached > 0)[which])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], found_ids[which[q], place], reached[which[q], place])], ["query_id", "doc_id", "score"])
 
         found.append(index.select("blob").coalesce(tasks).mapInArrow(ask, "query_id long, doc_id long, score double"))
     if not found:
