@@ -51,3 +51,21 @@ def draws(pools: DataFrame, pool: str, weight: str, size: str, slots: DataFrame,
     drawn = slots.select(slot).withColumn("_u", uniform(slot, F.lit("pool"), seed=seed)).join(F.broadcast(bands))
     chosen = F.coalesce(F.get(F.filter("_bands", lambda b: b["_high"] > F.col("_u")), F.lit(0)), F.element_at("_bands", -1))
     return drawn.withColumn("_b", chosen).select(slot, F.col("_b.p").alias("pool"), F.floor(uniform(slot, F.lit("item"), seed=seed) * F.col("_b.n")).cast("long").alias("item"))
+
+
+def first_of_group(rows: DataFrame, by: str, k: int, *order: Column | str) -> DataFrame:
+    """The first k rows of each group."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
+
+
+def thin(rows: DataFrame, key: str, share: float, seed: str = "42") -> DataFrame:
+    """Each row with probability ``share``, by the hash of its key."""
+    return rows.where(uniform(key, seed=seed) < share)
+
+
+def interleave(a: DataFrame, b: DataFrame, position: str, parts: tuple[int, int] = (7, 3)) -> DataFrame:
+    """Rows of two streams, numbered from 0 by ``position``, with the slot that each takes when
+    ``parts`` rows of one and the other alternate."""
+    x, y = parts
+    slot = lambda n, first: (F.floor(F.col(position) / n) * (x + y) + first + F.col(position) % n).cast("long")
+    return a.withColumn("slot", slot(x, 0)).unionByName(b.withColumn("slot", slot(y, x)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +40,25 @@ def pericopes(table: DataFrame, tradition: str | None = None, genre: str | None
     if genre is not None:
         table = table.where(F.col("genre") == genre)
     return table.where(F.size(F.array_except(F.array(*map(F.lit, books)), "books")) == 0) if books else table
+
+
+def read(table: DataFrame, reference: str) -> DataFrame:
+    """Rows of ``Mark 1:1-3`` or, for a bare chapter, of all its verses."""
+    match = re.fullmatch(r"\s*((?:[1-3]\s*)?[^\d:]+?)\s+(\d+)(?::(\d+)(?:\s*[-–]\s*(\d+))?)?\s*", reference)
+    if not match:
+        raise ValueError(f"not a reference: {reference!r}")
+    book, chapter, first, last = match[1], int(match[2]), match[3], match[4] or match[3]
+    return passage(table, book, (chapter, int(first or 0)), (chapter, int(last) if last else (1 << 31) - 1))
+
+
+def books(table: DataFrame, order: str) -> DataFrame:
+    """Books in the order of their first row."""
+    return table.groupBy("book").agg(F.min(order).alias("_o")).orderBy("_o").select("book")
+
+
+def chapters(table: DataFrame, book: str) -> DataFrame:
+    return table.where(F.col("book") == book).select("chapter").distinct().orderBy("chapter")
+
+
+def verses(table: DataFrame, book: str, chapter: int) -> DataFrame:
+    return table.where((F.col("book") == book) & (F.col("chapter") == chapter)).select("verse").distinct().orderBy("verse")
