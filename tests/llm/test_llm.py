@@ -177,6 +177,8 @@ def test_join(docs, empty, rule):
                     near[i] = near[j] = min(near[i], near[j])
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(docs, rule).collect()}
     assert got == {i: (len(s), near[i]) for i, s in sets.items()}
+    cut = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(docs, rule, block_rows=2).collect()}
+    assert cut == got
     assert jaccard_join.join_components(empty).count() == 0
 
 

@@ -27,6 +27,8 @@ from variora.llm.common import BLOBS, Words, blob_batches, components, gather, m
 
 #: Hashes a group on average: with more groups for larger sets the bound stays sharp.
 PER_GROUP, LEAF = 2, 16
+#: Documents of a chunk of a block of shared prefix hashes: larger blocks are compared two chunks at a time.
+BLOCK_ROWS = 8_192
 #: Documents in one chunk of a candidate group; candidates up to this many are broadcast.
 CHUNK, BROADCAST_ROWS = 2_000, 500_000
 
@@ -264,7 +266,17 @@ def _blocks(reps: DataFrame, rule: Rule) -> DataFrame:
     return blobs.mapInArrow(meet, "block long, doc_id long, n long").distinct()
 
 
-def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
+def _cells(points: DataFrame, rows: int) -> DataFrame:
+    """Blocks with more than ``rows`` documents dealt to smaller ones: one for each two of a
+    block's chunks, so that any two of its documents meet in one."""
+    chunks = points.groupBy("block").count().where(F.col("count") > rows).select("block", F.ceil(F.col("count") / rows).alias("_k"))
+    cut = points.join(chunks, "block", "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    cut = cut.withColumn("_i", F.pmod(F.xxhash64("doc_id"), F.col("_k"))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    cell = F.when(F.col("_k") == 1, F.col("block")).otherwise(F.xxhash64("block", F.least("_i", "_j"), F.greatest("_i", "_j")))
+    return cut.withColumn("block", cell).drop("_k", "_i", "_j")
+
+
+def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, block_rows: int) -> DataFrame:
     """Edges (a, b) that say which documents of a block may be linked, directly or not."""
     width = shuffle_width(reps.sparkSession)
 
@@ -312,7 +324,7 @@ def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
         edges = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    points = blocks.join(reps.select("doc_id", "vec"), "doc_id").select("block", "doc_id", "n", "vec")
+    points = _cells(blocks, block_rows).join(reps.select("doc_id", "vec"), "doc_id").select("block", "doc_id", "n", "vec")
     return points.repartition(width, "block").mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
@@ -355,7 +367,7 @@ def _verified(documents: DataFrame, members: DataFrame, rule: Rule, id_column: s
     return links, cut
 
 
-def join_components(documents: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def join_components(documents: DataFrame, rule: Rule = Rule(), id_column: str = "doc_id", text_column: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row for each input row.
 
     component_id: the smallest id that links reach, the row's own included. A text of fewer
@@ -369,7 +381,7 @@ def join_components(documents: DataFrame, rule: Rule = Rule(), id_column: str =
     reps = some.join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
     blocks = materialise(_blocks(reps, rule), "blocks")
     vectors = some.select("doc_id", "k1", "k2", "vec").join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-    edges = materialise(_candidates(blocks, vectors, rule), "candidates")
+    edges = materialise(_candidates(blocks, vectors, rule, block_rows), "candidates")
     members = components(edges, "candidates")
     links, cut = _verified(documents, members, rule, id_column, text_column)
     links = materialise(links, "links")
