@@ -149,6 +149,41 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(empty, empty, item_id="doc_id").count() == 0
 
 
+def changed(text, every):
+    return " ".join(f"other{i}" if i % every == every - 1 else w for i, w in enumerate(text.split()))
+
+
+def test_decontamination_finds_edited_copies_of_any_number(spark, monkeypatch):
+    draw = random.Random(11)
+    vocabulary = ["".join(draw.choice("mnopqr") for _ in range(6)) for _ in range(900)]
+    common = ["the", "of", "and", "to"]
+    made = lambda n: " ".join(draw.choice(common if draw.random() < 0.2 else vocabulary) for _ in range(n))
+    items = [(0, made(45)), (1, made(45)), (2, made(16)), (3, "the of and to the of"), (4, made(3)), (5, None)]
+    texts = [f"{made(30)} {changed(items[0][1], 4)} {made(30)}"] * 200 + [f"{made(9)} {changed(items[1][1], 3)} {made(40)}"]
+    texts += [" x ".join(items[0][1].split()), items[2][1], changed(items[2][1], 3), " ".join(items[1][1].split()[:18]), None, ""]
+    texts += [made(draw.randint(1, 150)) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    number = lambda t: np.array([hash(w) for w in (t or "").split()], np.int64)
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in items:
+            score = decontaminate.align(number(item), number(text))[0] / max(1, len(number(item)))
+            if item and score >= decontaminate.MIN_SCORE:
+                want[d, i] = pytest.approx(score)
+    got = decontaminate.find_leaks(rows, asked).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want and len(got) == len(want)
+    assert {(d, 0) for d in range(200)} | {(200, 1), (201, 0), (202, 2), (203, 2), (204, 1)} <= set(want)
+    block = decontaminate.Items([i for i, _ in items[:4]], [t for _, t in items[:4]])
+    buffer, offsets = decontaminate.text_buffer(decontaminate.pa.array(texts))
+    words = decontaminate.Words(buffer, offsets, is_word=decontaminate.ALNUM)
+    numbers = block.numbers(words)
+    block.seeded(np.bincount(numbers[numbers >= 0], minlength=len(block.vocabulary)))
+    whole = list(block.windows(numbers, words))
+    monkeypatch.setattr(decontaminate, "HELD", 1)
+    assert list(block.windows(numbers, words)) == whole
+
+
 def test_codec(docs, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for r in sentencepiece_codec.encode_documents(docs, MODEL, "digest").collect():
