@@ -53,6 +53,15 @@ def test_urls(spark):
     assert (got[0].host, got[0].path) == ("", "")
 
 
+def test_patterns_match_inside_longer_tokens(spark):
+    hosts = [f"{a}{b}.example.org" for a in ("", "my", "x-", "my.", "9") for b in ("casino-win", "free-bets", "cheap-pills", "casino", "casino-wins", "free-bet")]
+    urls = [f"http://{h}/{p}" for h in hosts for p in ("", "freecheap-pills.html", "a/casino")] + ["http://win.org/"] * 200 + ["http://bets.pills.org/"] * 200
+    got = {r.page_id: (r.verdict, r.pattern) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    for i, u in enumerate(urls):
+        hit = next((r for r in url_filter.PATTERN_RULES if re.search(r.regex, u[len("http://") :])), None)
+        assert got[i] == ((hit.verdict, hit.name) if hit else ("allow", None)), u
+
+
 def test_language_model(spark, docs, empty):
     trie = language_model.train(docs)
     tokens = {i: [*words(t), None] for i, t in enumerate(TEXTS)}

@@ -55,12 +55,13 @@ HOST_RULES = (
     HostRule("net/fr/", "block"),
 )
 
-#: Spam subjects as host labels or path parts; the tokens are what the patterns cannot match without.
+#: Spam subjects as host labels or path parts; the tokens are those that every match holds whole:
+#: "mycasino-win." matches without the token "casino".
 PATTERN_RULES = (
     PatternRule("casino", r"(^|[./-])casino([./-]|$)", ("casino",)),
-    PatternRule("casino-win", r"casino-win\.", ("casino", "win")),
-    PatternRule("free-bets", r"free-bets\.", ("free", "bets")),
-    PatternRule("cheap-pills", r"cheap-pills\.", ("cheap", "pills")),
+    PatternRule("casino-win", r"casino-win\.", ("win",)),
+    PatternRule("free-bets", r"free-bets\.", ("bets",)),
+    PatternRule("cheap-pills", r"cheap-pills\.", ("pills",)),
     PatternRule("adult", r"(^|[./-])(adult|xxx)[./-]", ()),
     PatternRule("tracker", r"/(ads|track|pixel)/", ()),
 )
