@@ -62,3 +62,19 @@ def test_pipeline(spark, tmp_path, rows):
     spark.createDataFrame([(4, 1, 0), (None, None, None), (5, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() <= len(rows)
+
+
+def test_join_judges_repeated_ids_by_their_own_texts(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    made = lambda n: " ".join(draw.choice("abcdefghij") + str(draw.randint(0, 999)) for _ in range(n))
+    a, b, c = made(60), made(60), made(60)
+    rows = [(5, a), (5, b), (3, a + " one"), (9, b + " two"), (11, b), (7, c), (7, c + " x"), (7, None), (5, a), (None, a)]
+    want = sorted([(5, 3), (5, 5), (3, 3), (9, 5), (11, 5), (7, 7), (7, 7), (7, 7), (5, 3)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk, parts in ((jaccard_join.CHUNK, 1), (2, 5)):
+        monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+        got = jaccard_join.join_components(docs.repartition(parts)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == want
+        assert [r.component_id for r in got if r.doc_id is None] == [None]

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variora.llm.common import BLOBS, Words, blob_batches, components, gather, materialise, mix, shard_keys, shard_of, shingle_sets, shuffle_width, steps, text_buffer
@@ -199,6 +199,12 @@ def link_groups(ids: list, sets: list[np.ndarray], rule: Rule) -> list[tuple]:
 # ---------------------------------------------------------------- the join
 
 
+def digest(h: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two integers."""
+    raw = xxhash.xxh3_128_digest(h)
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
 def signatures(documents: DataFrame, rule: Rule, id_column: str, text_column: str) -> DataFrame:
     """doc_id, n, k1, k2 (digest of the set), prefix and vec (packed) of each row."""
     rows = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("_text"))
@@ -211,9 +217,9 @@ def signatures(documents: DataFrame, rule: Rule, id_column: str, text_column: st
                 n, k1, k2, prefix, vec = [], [], [], [], []
                 for h in shingle_sets(words, rule.words):
                     n.append(len(h))
-                    digest = xxhash.xxh3_128_digest(h)
-                    k1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    k2.append(int.from_bytes(digest[8:], "little", signed=True))
+                    one, two = digest(h)
+                    k1.append(one)
+                    k2.append(two)
                     prefix.append(h[: rule.prefix(len(h))].tobytes() if len(h) else b"")
                     vec.append(count_vector(h).tobytes())
                 yield pa.RecordBatch.from_arrays(
@@ -277,7 +283,10 @@ def _cells(points: DataFrame, rows: int) -> DataFrame:
 
 
 def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, block_rows: int) -> DataFrame:
-    """Edges (a, b) that say which documents of a block may be linked, directly or not."""
+    """Edges (a, b) that say which documents of a block may be linked, directly or not.
+
+    ``doc_id`` is here the name of a class of equal sets, one row each in ``reps`` (repeated
+    rows are alike)."""
     width = shuffle_width(reps.sparkSession)
 
     def run(batches):
@@ -329,41 +338,44 @@ def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, block_rows: int)
 
 
 def _verified(documents: DataFrame, members: DataFrame, rule: Rule, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
-    """((doc_id, component) for documents with links, whether groups were cut into chunks)."""
+    """((a, b) for classes with links, whether groups were cut into chunks).
+
+    members: node, component and the class's doc_id, k1 and k2; a text with that id stands for
+    the class if its set has that digest.
+    """
     spark = documents.sparkSession
     sizes = members.groupBy("component").count().withColumn("k", F.ceil(F.col("count") / CHUNK)).select("component", "k")
     cut = not sizes.where("k > 1").isEmpty()
     cells = members.join(sizes, "component").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")))
     cells = cells.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    cells = cells.select(F.col("node").alias("doc_id"), F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
+    cells = cells.select("doc_id", "node", "k1", "k2", F.xxhash64("component", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
     texts = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("text"))
     if not cut and members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         cells = F.broadcast(cells)
-    rows = texts.join(cells, "doc_id").select("cell", "doc_id", "text")
+    rows = texts.join(cells, "doc_id").select("cell", "node", "text", "k1", "k2")
 
     def run(batches):
-        def finish(cell):
-            if cell is None:
-                return None
-            out = link_groups(*zip(*cell), rule) if len(cell) > 1 else []
+        def finish(held):
+            out = link_groups(list(held), list(held.values()), rule) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"]) if out else None
 
-        now, held = None, []
+        now, held = None, {}
         for batch in batches:
             buffer, offsets = text_buffer(batch.column(2))
-            names, docs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            names, nodes, k1, k2 = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
             for lo, hi in steps(offsets):
                 words = Words(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                for i, h in enumerate(shingle_sets(words, rule.words)):
-                    if names[lo + i] != now:
-                        if held and (done := finish(held)):
+                for i, h in enumerate(shingle_sets(words, rule.words), lo):
+                    if names[i] != now:
+                        if done := finish(held):
                             yield done
-                        now, held = names[lo + i], []
-                    held.append((docs[lo + i], h))
-        if held and (done := finish(held)):
+                        now, held = names[i], {}
+                    if nodes[i] not in held and digest(h) == (k1[i], k2[i]):
+                        held[nodes[i]] = h
+        if done := finish(held):
             yield done
 
-    links = rows.repartition(shuffle_width(spark), "cell").sortWithinPartitions("cell", "doc_id").mapInArrow(run, "a long, b long")
+    links = rows.repartition(shuffle_width(spark), "cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long")
     return links, cut
 
 
@@ -372,25 +384,33 @@ def join_components(documents: DataFrame, rule: Rule = Rule(), id_column: str =
 
     component_id: the smallest id that links reach, the row's own included. A text of fewer
     words than an n-gram is one n-gram as a whole; null and wordless texts have none and link
-    with nothing. Rows that share an id are judged each by its own text. A row without id
-    takes no part and has no component. Other columns are dropped.
+    with nothing. Ids are integers (whatever casts to one; others end the job). Rows that share
+    an id are judged each by its own text. A row without id takes no part and has no component.
+    Other columns are dropped.
     """
     found = materialise(signatures(documents, rule, id_column, text_column), "signatures")
     some = found.where("n > 0 and doc_id is not null")
-    classes = materialise(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = some.join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
+    # a class is named by its smallest id; where an id names several, the others get another name
+    classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("k1", "k2"))
+    other = -F.shiftrightunsigned(F.xxhash64("doc_id", "k1", "k2"), 1) - 1
+    classes = materialise(classes.withColumn("_n", nth).withColumn("node", F.when(F.col("_n") == 1, F.col("doc_id")).otherwise(other)).drop("_n"), "classes")
+    named = classes.select("k1", "k2", "doc_id", "node")
+    reps = some.join(named, ["k1", "k2", "doc_id"]).select(F.col("node").alias("doc_id"), "n", "prefix")
     blocks = materialise(_blocks(reps, rule), "blocks")
-    vectors = some.select("doc_id", "k1", "k2", "vec").join(classes.select("k1", "k2", F.col("rep").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
+    vectors = some.select("doc_id", "k1", "k2", "vec").join(named, ["k1", "k2", "doc_id"]).select(F.col("node").alias("doc_id"), "vec")
     edges = materialise(_candidates(blocks, vectors, rule, block_rows), "candidates")
-    members = components(edges, "candidates")
+    members = components(edges, "candidates").join(named, "node")
     links, cut = _verified(documents, members, rule, id_column, text_column)
     links = materialise(links, "links")
     if cut:
-        links = components(links, "links").select(F.col("node").alias("rep"), "component")
+        links = components(links, "links")
     else:
-        links = links.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("component"))
-    known = classes.join(links, "rep", "left").where("copies > 1 or component is not null")
-    known = known.select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+        links = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    linked = materialise(links.join(classes.select("node", F.col("doc_id").alias("least")), "node"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = classes.join(linked.join(least, "component").select("node", "component_id"), "node", "left").where("copies > 1 or component_id is not null")
+    known = known.select("k1", "k2", F.coalesce("component_id", "doc_id").alias("component_id"))
     plain = found.select("doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return plain.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
