@@ -24,9 +24,12 @@ STEP_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where unset (tests), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a session on one machine (a
+    test) gets a new temporary one; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = "file://" + tempfile.mkdtemp(prefix="variora-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -266,12 +269,18 @@ def gather(batches, kinds: list) -> dict[int, list[np.ndarray]]:
 BROADCAST_IDS = 1_000_000
 
 
+def own_columns(df: DataFrame) -> list:
+    """All columns of ``df``, whatever their names hold."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
+
+
 def without(docs: DataFrame, ids: DataFrame, name: str, id_column: str = "doc_id") -> DataFrame:
-    """``docs`` but for rows whose id is in ``ids`` (one column); rows without id stay."""
-    ids = materialise(ids.select(F.col(ids.columns[0]).alias(id_column)).distinct(), name)
+    """``docs`` but for rows whose id is in ``ids`` (one column); a row without id goes if a null
+    is among them."""
+    ids = materialise(ids.select(F.col(ids.columns[0]).alias("_gone")).distinct(), name)
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, id_column, "left_anti").select(*docs.columns)
+    return docs.join(ids, docs[id_column].eqNullSafe(ids["_gone"]), "left_anti")
 
 
 # ---------------------------------------------------------------- components

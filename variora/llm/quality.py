@@ -19,10 +19,12 @@ from pyspark.sql import types as T
 
 from variora.llm.common import LOWER, _IS_WORD, crc_mod, mix, prefix_hashes, steps, text_buffer
 
-#: Bounds of the fit: labelled rows, bytes of each that are read, and word vectors kept.
-SAMPLE_ROWS, SAMPLE_BYTES, VOCABULARY = 4_000, 6_000, 20_000
+#: Bound of the fit: labelled documents, which are learned whole. Rarer units than LEAST in them
+#: have no vector of their own.
+SAMPLE_ROWS, LEAST = 2_000, 3
 DIMENSIONS, HIDDEN, SEED = 64, 32, 17
-_STEP = 1 << 18
+EPOCHS, BATCH = 40, 64
+_STEP, _FIT_STEP = 1 << 18, 1 << 20
 
 _CLASS = np.full(256, 3, np.uint8)  # 0 space, 1 letter, 2 digit, 3 sign
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -79,13 +81,16 @@ def units(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([hashes, marks])[order], np.searchsorted(at[order], offsets)
 
 
+def index_entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sparse ternary vectors read from the hash: four places and their signs, +1 or -1."""
+    bits = (hashes[:, None] >> (np.uint64(12) * np.arange(4, dtype=np.uint64))) & np.uint64(0xFFF)
+    return (bits % np.uint64(DIMENSIONS)).astype(np.int64), np.where(bits >> np.uint64(11), 1, -1).astype(np.float32)
+
+
 def index_vectors(hashes: np.ndarray) -> np.ndarray:
-    """Sparse ternary vectors read from the hash: four places, each +1 or -1."""
     out = np.zeros((len(hashes), DIMENSIONS), np.float32)
-    rows = np.arange(len(hashes))
-    for i in range(4):
-        bits = (hashes >> np.uint64(12 * i)) & np.uint64(0xFFF)
-        np.add.at(out, (rows, (bits % np.uint64(DIMENSIONS)).astype(np.int64)), np.where(bits >> np.uint64(11), 1, -1).astype(np.float32))
+    places, signs = index_entries(hashes)
+    np.add.at(out, (np.arange(len(hashes))[:, None], places), signs)
     return out
 
 
@@ -138,27 +143,28 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     empty = np.zeros(0, np.float32)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros((1, DIMENSIONS), np.float32), empty, empty, empty, empty, empty, 0.0, 1.0, float(labels.mean()) if len(labels) else 0.5)
-    buffer, offsets = text_buffer(pa.array([t.encode()[:SAMPLE_BYTES].decode(errors="ignore") for t in texts], pa.string()))
-    parts, firsts, base = [], [np.zeros(1, np.int64)], 0
-    for lo, hi in steps(offsets, 1 << 22):
-        h, f = units(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        parts.append(h)
-        firsts.append(f[1:] + base)
-        base += len(h)
-    stream, first = np.concatenate(parts), np.concatenate(firsts)
-    words, counts = np.unique(stream, return_counts=True)
-    often = np.argsort(-counts, kind="stable")[:VOCABULARY]
-    words = np.sort(words[often[counts[often] >= 3]])
+    buffer, offsets = text_buffer(pa.array(texts, pa.string()))
+    # step by step, so that only the counts grow with the sample
+    words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for lo, hi in steps(offsets, _FIT_STEP):
+        own, n = np.unique(units(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0], return_counts=True)
+        words, back = np.unique(np.concatenate([words, own]), return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), len(words)).astype(np.int64)
+    words = words[counts >= LEAST]
     index = np.vstack([index_vectors(words), np.zeros((1, DIMENSIONS), np.float32)])
-    at = np.searchsorted(words, stream).clip(0, len(words) - 1)
-    at = np.where(words[at] == stream, at, len(words))
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    context = np.zeros((len(words) + 1, DIMENSIONS))
-    for gap in (1, 2):
-        near = doc[gap:] == doc[:-gap]
-        left, right = at[:-gap][near], at[gap:][near]
-        for d in range(DIMENSIONS):
-            context[:, d] += np.bincount(left, index[right, d], len(words) + 1) + np.bincount(right, index[left, d], len(words) + 1)
+    places, signs = (np.vstack([x, np.zeros((1, 4), x.dtype)]) for x in index_entries(words))
+    context = np.zeros((len(words) + 1) * DIMENSIONS, np.float32)
+    for lo, hi in steps(offsets, _FIT_STEP):
+        stream, first = units(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        at = np.searchsorted(words, stream).clip(0, max(len(words) - 1, 0))
+        at = np.where(words[at] == stream, at, len(words)) if len(words) else np.zeros(len(stream), np.int64)
+        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        for gap in (1, 2):
+            near = doc[gap:] == doc[:-gap]
+            for one, other in ((at[:-gap][near], at[gap:][near]), (at[gap:][near], at[:-gap][near])):
+                for i in range(4):
+                    context += np.bincount(one * DIMENSIONS + places[other, i], signs[other, i], len(context))
+    context = context.reshape(-1, DIMENSIONS)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     vectors = index + np.divide(context, norm, out=np.zeros_like(context), where=norm > 0)
     vectors[-1] = index_vectors(np.array([0x1234567890ABCDEF], np.uint64))[0]  # all units that the sample lacks
@@ -172,16 +178,21 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     z = np.clip((x - model.centre) / model.scale, -8, 8)
     w = [rng.normal(0, DIMENSIONS**-0.5, (DIMENSIONS, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
-    for step in range(1, 601):
-        hidden = np.tanh(z[fit] @ w[0] + w[1])
-        p = 1 / (1 + np.exp(-np.clip(hidden @ w[2] + w[3], -30, 30)))
-        g = (p - y[fit]) / len(fit)
-        back = np.outer(g, w[2]) * (1 - hidden**2)
-        grads = [z[fit].T @ back + 1e-4 * w[0], back.sum(0), hidden.T @ g + 1e-4 * w[2], np.array([g.sum()])]
-        for i, d in enumerate(grads):
-            m[i] = 0.9 * m[i] + 0.1 * d
-            v[i] = 0.999 * v[i] + 0.001 * d**2
-            w[i] -= 0.02 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+    z_fit, y_fit, step = z[fit], y[fit], 0
+    for _ in range(EPOCHS):  # batches small enough for one BLAS thread: tasks may hold the other cores
+        shuffled = rng.permutation(len(fit))
+        for part in np.array_split(shuffled, max(1, len(fit) // BATCH)):
+            step += 1
+            x_part = z_fit[part]
+            hidden = np.tanh(x_part @ w[0] + w[1])
+            p = 1 / (1 + np.exp(-np.clip(hidden @ w[2] + w[3], -30, 30)))
+            g = (p - y_fit[part]) / len(part)
+            back = np.outer(g, w[2]) * (1 - hidden**2)
+            grads = [x_part.T @ back + 1e-4 * w[0], back.sum(0), hidden.T @ g + 1e-4 * w[2], np.array([g.sum()])]
+            for i, d in enumerate(grads):
+                m[i] = 0.9 * m[i] + 0.1 * d
+                v[i] = 0.999 * v[i] + 0.001 * d**2
+                w[i] -= 0.005 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     model.w1, model.b1, model.w2, model.b2 = w[0], w[1], w[2], float(w[3][0])
     if len(held):
         logits = np.tanh(z[held] @ w[0] + w[1]) @ w[2] + w[3]
@@ -192,35 +203,43 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, held_out_modulus: int | None = 5, rows: int = SAMPLE_ROWS, label: str = "quality") -> Model:
-    """Fit on at most ``rows`` labelled documents (those first in the order of a hash of their
-    id), none of them held out (crc32(doc_id) mod ``held_out_modulus`` = 0)."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    """Fit on at most ``rows`` labelled documents, whole (those first in the order of a hash of
+    their id), none of them held out (crc32(doc_id) mod ``held_out_modulus`` = 0).
+
+    Labels other than 0 and 1, and labels without id, count as none. An id with both labels has
+    0, and one with several texts the first of them in byte order. Ids of any type will do.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("_y"))
     if held_out_modulus:
         known = known.where(crc_mod("doc_id", held_out_modulus) != 0)
-    chosen = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = documents.sparkSession.createDataFrame(chosen.toPandas().astype({"doc_id": "int64", "y": "int32"}), "doc_id long, y int")
-    text = F.substring(F.coalesce(documents["text"].cast("string"), F.lit("")), 1, SAMPLE_BYTES)
-    sample = documents.select(documents["doc_id"].cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = sorted((r["doc_id"], r["text"], r["y"]) for r in sample.collect())[: 2 * rows]
-    return train([t for _, t, _ in sample], np.array([y for _, _, y in sample], np.int64))
+    chosen = known.groupBy("doc_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    schema = T.StructType([T.StructField("doc_id", known.schema["doc_id"].dataType), T.StructField("_y", T.IntegerType())])
+    chosen = documents.sparkSession.createDataFrame(chosen.collect(), schema)
+    text = F.coalesce(documents["text"].cast("string"), F.lit(""))
+    sample = documents.select(documents["doc_id"].alias("doc_id"), text.alias("_text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id").agg(F.min("_text").alias("_text"), F.min("_y").alias("_y")).collect()
+    sample.sort(key=lambda r: (str(r["doc_id"]), r["_text"]))
+    return train([r["_text"] for r in sample], np.array([r["_y"] for r in sample], np.int64))
 
 
 def score_quality(documents: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """``documents`` with ``score`` (probability of label 1) and ``predicted`` added.
+    """``documents`` with ``score`` (probability of label 1) and ``predicted`` added, or in place
+    of columns of these names.
 
-    One row for each input row; a null or empty text is scored as a text without words.
+    One row for each input row, repeated ids included; a null or empty text is scored as a text
+    without words. Other columns stay, whatever their names.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in documents.columns if c not in ("score", "predicted")]
-    documents = documents.select(*[documents[c] for c in names])
-    at = names.index("text")
+    documents = documents.drop("score", "predicted")
+    names, at = documents.columns, documents.columns.index("text")
+    plain = documents.toDF(*[f"c{i}" for i in range(len(names))])  # any name will do: a dot, a hyphen
 
     def run(batches):
         for batch in batches:
             buffer, offsets = text_buffer(batch.column(at).cast(pa.string()))
             score = shared.value.score(shared.value.pooled(buffer, offsets))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return documents.mapInArrow(run, schema)
+    schema = T.StructType([*plain.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return plain.mapInArrow(run, schema).toDF(*names, "score", "predicted")
