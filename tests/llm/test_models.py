@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from variora.llm import language_id, quality
-from variora.llm.common import text_buffer
+from variora.llm import language_id, language_model, quality
+from variora.llm.common import mix, text_buffer, unmix
 
 rng = random.Random(8)
 
@@ -147,3 +147,32 @@ def test_odd_column_names(spark):
     model = quality.train([], np.zeros(0, int))
     got = quality.score_quality(docs, model)
     assert got.columns == ["doc_id", "text", "a.b", "my-col", "score", "predicted"] and got.first()["score"] == 0.5
+
+
+def test_monotone_sequences_are_read_and_searched_within_ranges():
+    values = np.sort(np.array([rng.randrange(1 << 30) for _ in range(500)] + [7, 7, 7, 1 << 29] * 20, np.uint64))
+    made = language_model.EliasFano(language_model.EliasFano.build(values, 30, "x"), "x")
+    assert made.get(np.arange(len(values))).tolist() == values.tolist() == made.all().tolist()
+    asked = np.concatenate([values, [np.uint64(3), np.uint64((1 << 30) - 1)]])
+    for low, high in ((0, len(values)), (100, 300), (5, 5)):
+        inside = set(values[low:high].tolist())
+        found = made.find(asked, np.full(len(asked), low), np.full(len(asked), high))
+        for q, i in zip(asked.tolist(), found.tolist()):
+            assert (low <= i < high and int(values[i]) == q) if q in inside else i == -1
+    h = np.array([rng.randrange(1 << 64) for _ in range(99)], np.uint64)
+    assert unmix(mix(h)).tolist() == h.tolist()
+
+
+def test_other_stores_are_copied_before_they_are_mapped(tmp_path, monkeypatch):
+    from pyarrow.fs import LocalFileSystem
+
+    arrays = {"a": np.arange(5), "b": np.zeros(0, np.uint64)}
+    for store in (None, LocalFileSystem()):
+        monkeypatch.setattr(language_model, "_store", lambda folder, store=store: (store, folder))
+        folder = str(tmp_path / f"m-{store is None}")
+        language_model.make_folder(folder)
+        language_model.write_arrays(folder, "f", arrays)
+        got = language_model.map_arrays(folder, "f")
+        assert {k: v.tolist() for k, v in got.items()} == {k: v.tolist() for k, v in arrays.items()}
+    monkeypatch.undo()
+    assert language_model._store("file:///x/y") == (None, "/x/y") and language_model._store("/x/y") == (None, "/x/y")

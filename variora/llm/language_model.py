@@ -3,24 +3,28 @@
 Level 1 holds the words (sorted hashes), level 2 each context's successors. A level is a set
 of bit-packed arrays in one file a shard, memory-mapped by the tasks that query it:
 
-* sorted keys in Elias-Fano form (low bits packed, high bits in unary with a select directory);
+* sorted keys in Elias-Fano form (low bits packed, high bits in unary with select directories);
 * monotone pointers from a context to its successors, in Elias-Fano form;
-* exact counts of words, packed; quantised log probabilities of successors within their
-  context's part, packed, and the parts' exact totals.
+* exact counts of words, packed; quantised smoothed log probabilities of successors, packed.
 
-A successor is searched relative to its context: its key is the context's rank in the shard
-with 40 bits of the word's hash, and the search runs inside that context's range. A context
-is spread over 16 parts by the first bits of the successor, so that a very frequent word
-doesn't fill one shard.
+A successor is searched relative to its context: the pointers give the context's range of
+level 2, and the word is searched inside that range. A context is spread over 16 parts by the
+first bits of the successor, so that a very frequent word doesn't fill one shard.
 
 Smoothing is Dirichlet interpolation: p(w|u) = (c(uw) + MU p(w)) / (c(u) + MU), with
-p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
+p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); a successor that wasn't met has MU p(w) / (c(u) + MU).
+The words are counted in a first pass over the texts and the pairs in a second, which can so
+look up what their smoothed probabilities need.
+
+The files lie in the folder of spark.checkpoint.dir. Where that is a mounted folder they are
+mapped in place; from another store a task copies those that it asks for and maps the copies.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import tempfile
 import uuid
 from functools import lru_cache
 
@@ -28,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from variora.llm.common import BLOBS, Words, blob_batches, gather, mix, shard_keys, shard_of, shared_dir, shuffle_width, steps, text_buffer
+from variora.llm.common import BLOBS, Words, blob_batches, gather, mix, shard_keys, shard_of, shared_dir, shuffle_width, steps, text_buffer, unmix
 
 MU, ADDED = 500.0, 0.1
 PROBABILITY_BITS = 12
@@ -37,6 +41,7 @@ _STEP = 4 << 20
 END, BEGIN = np.uint64(0xE2D0000000000001), np.uint64(0xB050000000000001)
 _W40 = np.uint64((1 << 40) - 1)
 _SELECT = np.array([[[i for i in range(8) if not b >> i & 1][j] if j < 8 - bin(b).count("1") else 0 for j in range(8)] for b in range(256)], np.uint8)
+_SELECT_ONE = np.array([[[i for i in range(8) if b >> i & 1][j] if j < bin(b).count("1") else 0 for j in range(8)] for b in range(256)], np.uint8)
 _ZEROS = np.array([8 - bin(b).count("1") for b in range(256)], np.uint8)
 
 
@@ -75,7 +80,7 @@ class EliasFano:
 
     def __init__(self, arrays: dict, name: str):
         self.n, self.low_bits, self.top = (int(x) for x in arrays[f"{name}.head"])
-        self.low, self.high, self.zeros = arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.zeros"]
+        self.low, self.high, self.zeros, self.ones = (arrays[f"{name}.{x}"] for x in ("low", "high", "zeros", "ones"))
 
     @staticmethod
     def build(values: np.ndarray, top: int, name: str) -> dict:
@@ -88,32 +93,39 @@ class EliasFano:
         bits[high + np.arange(n)] = 1
         packed = np.packbits(bits, bitorder="little")
         zeros = np.concatenate([[0], np.cumsum(_ZEROS[packed].reshape(-1, 8).sum(1, dtype=np.int64))])
-        return {f"{name}.head": np.array([n, low_bits, top]), f"{name}.low": pack(values & np.uint64((1 << low_bits) - 1), low_bits), f"{name}.high": packed, f"{name}.zeros": zeros}
+        return {f"{name}.head": np.array([n, low_bits, top]), f"{name}.low": pack(values & np.uint64((1 << low_bits) - 1), low_bits), f"{name}.high": packed, f"{name}.zeros": zeros, f"{name}.ones": 64 * np.arange(len(zeros)) - zeros}
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero of the unary part (k in no order)."""
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[word]
+    def _bit(self, k: np.ndarray, directory: np.ndarray, flip: int, select: np.ndarray) -> np.ndarray:
+        """Place of the k-th zero (``flip`` 0) or one (``flip`` 255) of the unary part."""
+        word = np.searchsorted(directory, k, "right") - 1
+        left = k - directory[word]
         byte = word * 8
         for _ in range(7):
-            z = _ZEROS[self.high[byte]]
+            z = _ZEROS[self.high[byte] ^ flip]
             go = left >= z
             left = np.where(go, left - z, left)
             byte = np.where(go, byte + 1, byte)
         # a byte passed over stays passed: once left < z it never moves again
-        return byte * 8 + _SELECT[self.high[byte], left]
+        return byte * 8 + select[self.high[byte], left]
+
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The i-th value."""
+        high = self._bit(i, self.ones, 255, _SELECT_ONE) - i
+        return (high << self.low_bits) | unpack(self.low, self.low_bits, i).astype(np.int64)
 
     def range_of(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hi = self._zero(bucket) - bucket
-        lo = np.where(bucket > 0, self._zero(np.maximum(bucket - 1, 0)) - bucket + 1, 0)
+        hi = self._bit(bucket, self.zeros, 0, _SELECT) - bucket
+        lo = np.where(bucket > 0, self._bit(np.maximum(bucket - 1, 0), self.zeros, 0, _SELECT) - bucket + 1, 0)
         return lo, hi
 
-    def find(self, q: np.ndarray) -> np.ndarray:
-        """Index of each q, or -1."""
+    def find(self, q: np.ndarray, low: np.ndarray | int = 0, high: np.ndarray | None = None) -> np.ndarray:
+        """Index of each q, or -1; of indices from ``low`` to before ``high`` alone."""
         if not self.n or not len(q):
             return np.full(len(q), -1, np.int64)
         q = q.astype(np.uint64)
         lo, end = self.range_of((q >> np.uint64(self.low_bits)).astype(np.int64))
+        lo = np.maximum(lo, low)
+        end = end if high is None else np.maximum(np.minimum(end, high), lo)
         hi, want = end.copy(), q & np.uint64((1 << self.low_bits) - 1)
         while True:
             open_ = np.flatnonzero(lo < hi)
@@ -136,45 +148,67 @@ class EliasFano:
 # ---------------------------------------------------------------- files
 
 
-def _posix(folder: str) -> str:
+def _store(folder: str):
+    """(file system, path) of a folder; no file system where it is mounted."""
     scheme, _, path = folder.partition("://") if "://" in folder else ("file", "", folder.removeprefix("file:"))
-    if scheme != "file":
-        raise ValueError(f"the trie is memory-mapped: spark.checkpoint.dir must be a mounted folder, not {folder}")
-    return path
+    if scheme == "file":
+        return None, path
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(folder)
+
+
+def make_folder(folder: str) -> None:
+    store, path = _store(folder)
+    os.makedirs(path) if store is None else store.create_dir(path)
 
 
-def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
+def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     """All arrays in one file, put in place at once, so that a repeated task does no harm."""
     head, at, parts = {}, 0, []
-    for name, a in arrays.items():
+    for key, a in arrays.items():
         a = np.ascontiguousarray(a)
-        head[name] = (a.dtype.str, len(a), at)
+        head[key] = (a.dtype.str, len(a), at)
         parts.append(a.tobytes() + b"\0" * (-a.nbytes % 8))
         at += len(parts[-1])
     top = json.dumps(head).encode()
     top += b" " * (-len(top) % 8)
-    own = f"{path}.{uuid.uuid4().hex}"
-    with open(own, "wb") as f:
+    store, path = _store(folder)
+    own = f"{path}/{name}.{uuid.uuid4().hex}"
+    with open(own, "wb") if store is None else store.open_output_stream(own) as f:
         f.write(len(top).to_bytes(8, "little") + top + b"".join(parts))
-    os.replace(own, path)
+    os.replace(own, f"{path}/{name}") if store is None else store.move(own, f"{path}/{name}")
 
 
-def map_arrays(path: str) -> dict[str, np.ndarray]:
-    raw = np.memmap(path, np.uint8, "r")
+@lru_cache(1)
+def _copies() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory()
+
+
+def map_arrays(folder: str, name: str) -> dict[str, np.ndarray]:
+    store, path = _store(folder)
+    file = f"{path}/{name}"
+    if store is not None:  # a task's own copy: no other task looks for it
+        own = os.path.join(_copies().name, f"{os.path.basename(path)}-{name}")
+        with store.open_input_stream(file) as f, open(own, "wb") as out:
+            while chunk := f.read(1 << 22):
+                out.write(chunk)
+        file = own
+    raw = np.memmap(file, np.uint8, "r")
     size = int.from_bytes(raw[:8].tobytes(), "little")
-    return {name: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in json.loads(raw[8 : 8 + size].tobytes()).items()}
+    return {key: raw[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for key, (kind, n, at) in json.loads(raw[8 : 8 + size].tobytes()).items()}
 
 
 @lru_cache(4096)
 def _level1(folder: str, shard: int) -> tuple[EliasFano, np.ndarray, int]:
-    arrays = map_arrays(f"{folder}/words-{shard}")
+    arrays = map_arrays(folder, f"words-{shard}")
     return EliasFano(arrays, "keys"), arrays["counts"], int(arrays["width"][0])
 
 
 @lru_cache(4096)
-def _level2(folder: str, shard: int) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray, int]:
-    arrays = map_arrays(f"{folder}/pairs-{shard}")
-    return EliasFano(arrays, "contexts"), EliasFano(arrays, "successors"), arrays["log"], arrays["part"], int(arrays["width"][0])
+def _level2(folder: str, shard: int) -> tuple[EliasFano, EliasFano, EliasFano, np.ndarray]:
+    arrays = map_arrays(folder, f"pairs-{shard}")
+    return EliasFano(arrays, "contexts"), EliasFano(arrays, "pointers"), EliasFano(arrays, "successors"), arrays["log"]
 
 
 def _by_shard(h: np.ndarray, shards: int):
@@ -197,32 +231,42 @@ def word_counts(folder: str, shards: int, words: np.ndarray) -> np.ndarray:
     return out[back]
 
 
+_SPREAD = np.uint64(0x9FB21C651E98DF25)
+
+
 def _context(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Part of u's successors that w is in: 64 bits, spread over all shards."""
-    return mix(u ^ (w >> np.uint64(60)) * np.uint64(0x9FB21C651E98DF25))
+    return mix(u ^ (w >> np.uint64(60)) * _SPREAD)
+
 
+def _first_word(context: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """u of ``_context(u, w)``."""
+    return unmix(context) ^ (w >> np.uint64(60)) * _SPREAD
 
-def pair_counts(folder: str, shards: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """c(uw), as exact as the quantised share of its context's part allows; 0 if not met."""
+
+def pair_probabilities(folder: str, shards: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """log10 p(w|u) of the pairs that were met; 0 for others."""
     out = np.zeros(len(word))
     low = (word >> np.uint64(20)) & _W40
     for s, at in _by_shard(context, shards):
-        contexts, successors, log, part, width = _level2(folder, s)
+        contexts, pointers, successors, log = _level2(folder, s)
         rank = contexts.find(context[at])
         at, rank = at[rank >= 0], rank[rank >= 0]
-        i = successors.find((rank.astype(np.uint64) << np.uint64(40)) | low[at])
-        at, rank, i = at[i >= 0], rank[i >= 0], i[i >= 0]
-        out[at] = _share(unpack(log, PROBABILITY_BITS, i)) * unpack(part, width, rank)
+        if not len(at):
+            continue
+        begin, end = pointers.get(rank), pointers.get(rank + 1)
+        i = successors.find((rank.astype(np.uint64) << np.uint64(40)) | low[at], begin, end)
+        out[at[i >= 0]] = _value(unpack(log, PROBABILITY_BITS, i[i >= 0]))
     return out
 
 
-def _quantised(share: np.ndarray) -> np.ndarray:
+def _quantised(log: np.ndarray) -> np.ndarray:
     top = (1 << PROBABILITY_BITS) - 1
-    return np.clip(np.round((1 - np.log10(share) / _LOWEST) * top), 0, top).astype(np.uint64)
+    return np.clip(np.round(log / _LOWEST * top), 1, top).astype(np.uint64)
 
 
-def _share(code: np.ndarray) -> np.ndarray:
-    return 10 ** ((1 - code.astype(np.float64) / ((1 << PROBABILITY_BITS) - 1)) * _LOWEST)
+def _value(code: np.ndarray) -> np.ndarray:
+    return code.astype(np.float64) / ((1 << PROBABILITY_BITS) - 1) * _LOWEST
 
 
 # ---------------------------------------------------------------- model
@@ -268,75 +312,89 @@ def _merge(keys: list[np.ndarray], counts: np.ndarray, exact: bool = True) -> tu
     return [k[first] for k in keys], np.add.reduceat(counts[order], first)
 
 
-def train(documents: DataFrame, text_column: str = "text", mu: float = MU) -> Trie:
-    """Count words and word pairs of all texts (null: empty) and write the trie.
-
-    Needs the folder of spark.checkpoint.dir mounted on all machines.
-    """
-    spark = documents.sparkSession
-    folder = f"{_posix(shared_dir(spark))}/variora/trie-{uuid.uuid4().hex}"
-    os.makedirs(folder)
-    shards = shuffle_width(spark)
-    keys = shard_keys(shards)
-    shard_with_key = {int(k): i for i, k in enumerate(keys)}
-    rows = documents.select(documents[text_column].cast("string").alias("_text"))
+def _counts(rows: DataFrame, keys_of, parts: int, shards: int, keys: np.ndarray) -> DataFrame:
+    """Blobs of the distinct keys of all texts and their counts, by shard of the first key.
+    keys_of: (word before, word) to the keys' arrays."""
 
     def count(batches):
         held: list = []
 
         def flush():
-            w, wc = _merge([np.concatenate([h[0] for h in held])], np.concatenate([h[1] for h in held]))
-            c, pc = _merge([np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])], np.concatenate([h[4] for h in held]), exact=False)
+            merged, n = _merge([np.concatenate([h[i] for h in held]) for i in range(parts)], np.concatenate([h[-1] for h in held]), exact=False)
             held.clear()
-            # words and pairs travel together: a word is a pair without context
-            yield blob_batches(
-                np.concatenate([shard_of(w[0], shards), shard_of(c[0], shards)]), keys,
-                [np.concatenate([np.zeros(len(wc), np.uint64), c[0]]), np.concatenate([w[0], c[1]]), np.concatenate([wc, pc]).astype(np.uint32)],
-            )
+            yield blob_batches(shard_of(merged[0], shards), keys, [*merged, n.astype(np.uint32)])
 
         for batch in batches:
             buffer, offsets = text_buffer(batch.column(0))
             for lo, hi in steps(offsets, _STEP):
                 tokens, first = _tokens(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                before = _before(tokens, first)
-                w, wc = _merge([tokens], np.ones(len(tokens), np.int64))
-                c, pc = _merge([_context(before, tokens), tokens], np.ones(len(tokens), np.int64), exact=False)
-                held.append((w[0], wc, c[0], c[1], pc))
-                if sum(len(h[4]) for h in held) > 2_500_000:
+                own, n = _merge(keys_of(_before(tokens, first), tokens), np.ones(len(tokens), np.int64), exact=False)
+                held.append((*own, n))
+                if sum(len(h[-1]) for h in held) > 2_500_000:
                     yield from flush()
         if held:
             yield from flush()
 
-    def build(batches):
-        for key, (context, word, c) in gather(batches, [np.uint64, np.uint64, np.uint32]).items():
-            s = shard_with_key[key]
-            is_word = context == 0
-            (w,), wc = _merge([word[is_word]], c[is_word].astype(np.int64))
-            width = max(1, int(wc.max()).bit_length()) if len(wc) else 1
-            write_arrays(f"{folder}/words-{s}", EliasFano.build(w, 64, "keys") | {"counts": pack(wc, width), "width": np.array([width])})
-            (u, v), pc = _merge([context[~is_word], word[~is_word]], c[~is_word].astype(np.int64))
-            del context, word, c
-            rank = np.cumsum(np.concatenate([[0], (u[1:] != u[:-1]).astype(np.int64)])) if len(u) else np.zeros(0, np.int64)
-            first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else rank
-            successor = (rank.astype(np.uint64) << np.uint64(40)) | ((v >> np.uint64(20)) & _W40)
-            pointers = np.concatenate([first, [len(u)]]).astype(np.int64)
-            part = np.add.reduceat(pc, first) if len(u) else pc
-            code = _quantised(pc / np.repeat(part, np.diff(pointers)))
-            part_width = max(1, int(part.max()).bit_length()) if len(part) else 1
-            arrays = EliasFano.build(u[first], 64, "contexts") | EliasFano.build(pointers, int(len(u)).bit_length() + 1, "pointers")
-            arrays |= EliasFano.build(successor, 40 + max(1, int(len(first)).bit_length()), "successors")
-            write_arrays(f"{folder}/pairs-{s}", arrays | {"log": pack(code, PROBABILITY_BITS), "part": pack(part, part_width), "width": np.array([part_width])})
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([int(wc.sum())]), pa.array([len(wc)]), pa.array([int(wc[w == END].sum())])], ["shard", "tokens", "types", "texts"])
-
-    blobs = rows.mapInArrow(count, BLOBS).repartition(shards, "shard")
-    made = blobs.mapInArrow(build, "shard long, tokens long, types long, texts long").collect()  # one row a shard
-    for s in set(range(shards)) - {r["shard"] for r in made}:
-        none = np.zeros(0, np.uint64)
-        write_arrays(f"{folder}/words-{s}", EliasFano.build(none, 64, "keys") | {"counts": pack(none, 1), "width": np.array([1])})
-        write_arrays(f"{folder}/pairs-{s}", EliasFano.build(none, 64, "contexts") | EliasFano.build(none, 41, "successors") | {"log": pack(none, 1), "part": pack(none, 1), "width": np.array([1])})
-    return Trie(folder, shards, sum(r["tokens"] for r in made), sum(r["types"] for r in made), sum(r["texts"] for r in made), mu)
+    return rows.mapInArrow(count, BLOBS).repartition(shards, "shard")
+
+
+def _write_words(folder: str, s: int, w: np.ndarray, n: np.ndarray) -> None:
+    width = max(1, int(n.max()).bit_length()) if len(n) else 1
+    write_arrays(folder, f"words-{s}", EliasFano.build(w, 64, "keys") | {"counts": pack(n, width), "width": np.array([width])})
+
+
+def _write_pairs(folder: str, s: int, u: np.ndarray, v: np.ndarray, log: np.ndarray) -> None:
+    first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+    pointers = np.concatenate([first, [len(u)]]).astype(np.int64)
+    rank = np.repeat(np.arange(len(first)), np.diff(pointers))
+    successor = (rank.astype(np.uint64) << np.uint64(40)) | ((v >> np.uint64(20)) & _W40)
+    arrays = EliasFano.build(u[first], 64, "contexts") | EliasFano.build(pointers, int(len(u)).bit_length() + 1, "pointers")
+    arrays |= EliasFano.build(successor, 40 + max(1, int(len(first)).bit_length()), "successors")
+    write_arrays(folder, f"pairs-{s}", arrays | {"log": pack(_quantised(log), PROBABILITY_BITS)})
+
+
+def train(documents: DataFrame, text_column: str = "text", mu: float = MU) -> Trie:
+    """Count words and word pairs of all texts (null: empty) and write the trie."""
+    spark = documents.sparkSession
+    folder = f"{shared_dir(spark)}/variora/trie-{uuid.uuid4().hex}"
+    make_folder(folder)
+    shards = shuffle_width(spark)
+    keys = shard_keys(shards)
+    shard_with_key = {int(k): i for i, k in enumerate(keys)}
+    rows = documents.select(documents[text_column].cast("string").alias("_text"))
+    none = np.zeros(0, np.uint64)
 
+    def words(batches):
+        for key, (word, c) in gather(batches, [np.uint64, np.uint32]).items():
+            (w,), n = _merge([word], c.astype(np.int64))
+            _write_words(folder, shard_with_key[key], w, n)
+            yield pa.RecordBatch.from_arrays([pa.array([shard_with_key[key]]), pa.array([int(n.sum())]), pa.array([len(n)]), pa.array([int(n[w == END].sum())])], ["shard", "tokens", "types", "texts"])
 
+    counted = _counts(rows, lambda before, tokens: [tokens], 1, shards, keys)
+    made = counted.mapInArrow(words, "shard long, tokens long, types long, texts long").collect()  # one row a shard
+    for s in set(range(shards)) - {r["shard"] for r in made}:
+        _write_words(folder, s, none, none)
+    trie = Trie(folder, shards, sum(r["tokens"] for r in made), sum(r["types"] for r in made), sum(r["texts"] for r in made), mu)
+    bottom, texts = trie.tokens + ADDED * (trie.types + 1), trie.texts
+
+    def pairs(batches):
+        for key, (context, word, c) in gather(batches, [np.uint64, np.uint64, np.uint32]).items():
+            (u, v), n = _merge([context, word], c.astype(np.int64))
+            del context, word, c
+            log = np.empty(len(u))
+            for a in range(0, len(u), 1 << 20):
+                at = slice(a, a + (1 << 20))
+                before = _first_word(u[at], v[at])
+                of = np.where(before == BEGIN, texts, word_counts(folder, shards, before))
+                word_p = (word_counts(folder, shards, v[at]) + ADDED) / bottom
+                log[at] = np.log10((n[at] + mu * word_p) / (of + mu))
+            _write_pairs(folder, shard_with_key[key], u, v, log)
+            yield pa.RecordBatch.from_arrays([pa.array([shard_with_key[key]])], ["shard"])
+
+    paired = _counts(rows, lambda before, tokens: [_context(before, tokens), tokens], 2, shards, keys)
+    for s in set(range(shards)) - {r["shard"] for r in paired.mapInArrow(pairs, "shard long").collect()}:
+        _write_pairs(folder, s, none, none, np.zeros(0))
+    return trie
 
 
 def score(documents: DataFrame, trie: Trie, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -361,9 +419,9 @@ def score(documents: DataFrame, trie: Trie, id_column: str = "doc_id", text_colu
                 of[1:] = c[:-1]
                 of[first] = texts
                 before = _before(tokens, first)
-                pair = pair_counts(folder, shards, _context(before, tokens), tokens)
-                p = (pair + mu * word) / (of + mu)
-                parts.append((np.diff(np.concatenate([first, [len(tokens)]])), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(word), first), np.add.reduceat(np.log10(p), first)))
+                log = pair_probabilities(folder, shards, _context(before, tokens), tokens)
+                log = np.where(log < 0, log, np.log10(mu * word / (of + mu)))
+                parts.append((np.diff(np.concatenate([first, [len(tokens)]])), np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10(word), first), np.add.reduceat(log, first)))
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*parts))], [id_column, "n_tokens", "n_known", "base_score", "score"])
 
