@@ -1,13 +1,13 @@
 """SentencePiece encoding with source offsets, and decoding.
 
 A text is normalised by longest-prefix search in the model's compiled character map (a
-double-array trie); each normalised character keeps the source byte it came from. BPE then
+double-array trie); each normalised character keeps the source bytes it came from. BPE then
 runs on the normalised text, and every piece is projected back onto a byte span of the
 original text.
 
-No piece of such a model has a space mark after another character, so merges never cross the
-beginning of a space run: each run with the word after it is encoded on its own, once per
-task while it stays in a bounded cache. Models with such pieces are encoded whole.
+Where no piece of a model has a space mark after another character, merges never cross the
+beginning of a run of space marks: each run with the word after it is encoded on its own, once
+per task while it stays in a bounded cache. Other models encode the normalised text whole.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import gc
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -83,13 +84,11 @@ class Codec:
         rule = proto.normalizer_spec
         self.map = CharacterMap(rule.precompiled_charsmap)
         self.dummy, self.collapse, self.escape = rule.add_dummy_prefix, rule.remove_extra_whitespaces, rule.escape_whitespaces
-        self.plain = not len(self.map.trie) and not self.collapse and self.dummy and self.escape
         texts = [p.piece for p in proto.pieces]
-        self.plain &= not proto.trainer_spec.treat_whitespace_as_suffix and all(SPACE not in t.lstrip(SPACE) for t in texts)
-        self.plain &= not any(p.type == 4 for p in proto.pieces)  # user-defined symbols may hold spaces
+        self.by_word = self.dummy and self.escape and not proto.trainer_spec.treat_whitespace_as_suffix and all(SPACE not in t.lstrip(SPACE) for t in texts)
+        self.by_word &= not any(p.type == 4 for p in proto.pieces)  # user-defined symbols may hold spaces
         self.is_byte = np.array([p.type == 6 for p in proto.pieces])
-        self.size = np.array([1 if p.type == 6 else len(t.replace(SPACE, " ").encode()) for p, t in zip(proto.pieces, texts)])
-        self.chars = np.array([0 if p.type == 6 else len(t) for p, t in zip(proto.pieces, texts)])
+        self.size = np.array([1 if p.type == 6 else len(t.encode()) for p, t in zip(proto.pieces, texts)])
         self.name = [str(i) for i in range(len(texts))]
         self.surface = [bytes([int(t[3:-1], 16)]) if p.type == 6 else t.replace(SPACE, " ").encode() for p, t in zip(proto.pieces, texts)]
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -98,13 +97,19 @@ class Codec:
         proto.normalizer_spec.remove_extra_whitespaces = False
         proto.normalizer_spec.add_dummy_prefix = False
         self.bpe = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.unknown = self.bpe.unk_id()
         self.words: dict[str, tuple] = {}
 
-    # -- the general path, for any model and text
-
     def normalise(self, text: str) -> tuple[str, np.ndarray, np.ndarray]:
         """The normalised text, and for each of its characters the source bytes' begin and end."""
         raw = text.encode()
+        if not len(self.map.trie) and not self.collapse:  # every character stands for itself
+            begin = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+            end = np.append(begin[1:], len(raw))[: len(begin)]
+            shown = text
+            if self.dummy and raw:
+                shown, begin, end = " " + shown, np.concatenate([[0], begin]), np.concatenate([[0], end])
+            return shown.replace(" ", SPACE) if self.escape else shown, begin, end
         out: list[tuple[str, int, int]] = []
         for piece, a, b in self.map.replace(raw):
             for c in piece:
@@ -120,92 +125,92 @@ class Codec:
             shown = shown.replace(" ", SPACE)
         return shown, np.array([a for _, a, _ in out], np.int64), np.array([b for _, _, b in out], np.int64)
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, begin, end): each piece's id and the bytes of ``text`` it stands for. Byte
-        pieces share the span of their character when it came from more than one byte."""
-        shown, begin, end = self.normalise(text)
-        ids = np.array(self.bpe.encode(shown), np.int64) if shown else np.zeros(0, np.int64)
-        at, froms, tos = 0, [], []
-        pending = 0
-        for i in ids.tolist():
-            n = int(self.chars[i])
-            if self.is_byte[i]:
-                size = len(shown[at].encode())
-                whole = int(end[at] - begin[at]) == size
-                froms.append(int(begin[at]) + (pending if whole else 0))
-                tos.append(int(begin[at]) + pending + 1 if whole else int(end[at]))
-                pending += 1
-                if pending == size:
-                    at, pending = at + 1, 0
-                continue
-            if i == self.bpe.unk_id():
-                n = 1
-            froms.append(int(begin[at]))
-            tos.append(int(end[at + n - 1]))
-            at += n
-        return ids, np.array(froms, np.int64), np.array(tos, np.int64)
-
-    # -- the fast path: identity map, one space mark a space
-
-    _run = re.compile(" ( *[^ ]*)")
-
-    def _cut(self, text: str) -> list[str]:
-        """The words of ``text``, each with the spaces before it but one."""
-        if not text:
-            return []
-        if text[0] == " " or "  " in text:
-            return self._run.findall(" " + text)
-        return text.split(" ")
-
-    def _word(self, ids: list[int]) -> tuple[str, int, str]:
-        """(ids as text, their number, what they stand for with the first space)."""
-        shown = b"".join(map(self.surface.__getitem__, ids)).decode()
-        return ",".join(map(self.name.__getitem__, ids)), len(ids), shown
-
-    def runs(self, texts: list[str]) -> list[list[tuple]]:
-        """For each text its words' (ids as text, number of ids, decoded word)."""
-        cut = list(map(self._cut, texts))
+    def _sizes(self, shown: str, ids: np.ndarray) -> np.ndarray:
+        """Bytes of the normalised text that each piece stands for."""
+        size = self.size[ids]
+        raw, at = shown.encode(), 0
+        for i in np.flatnonzero(ids == self.unknown).tolist():  # a run of unknown characters is one piece
+            at = int(size[:i].sum())
+            n = 0
+            for c in raw[at:].decode():
+                if n and self.bpe.piece_to_id(c) != self.unknown:
+                    break
+                n += len(c.encode())
+            size[i] = n
+        return size
+
+    def project(self, text: str, shown: str, ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The source bytes of each piece, from those of the normalised text's characters. Byte
+        pieces share their character's span where it isn't in the source as it is."""
+        if not len(ids):
+            return ids, ids
+        raw = np.frombuffer(shown.encode(), np.uint8)
+        lead = (raw & 0xC0) != 0x80
+        char = np.cumsum(lead) - 1
+        stop = np.cumsum(self._sizes(shown, ids))
+        start = np.concatenate([[0], stop[:-1]])
+        of = char[start]
+        froms, tos = begin[of], end[char[stop - 1]]
+        byte = np.flatnonzero(self.is_byte[ids])
+        if len(byte):
+            at, source = np.flatnonzero(lead), np.frombuffer(text.encode(), np.uint8)
+            of = of[byte]
+            part = start[byte] - at[of]
+            whole = (end[of] - begin[of] == np.append(at[1:], len(raw))[of] - at[of]) & (source[np.minimum(begin[of] + part, len(source) - 1)] == raw[start[byte]])
+            first = np.flatnonzero(part == 0)
+            whole = np.repeat(np.logical_and.reduceat(whole, first), np.diff(np.append(first, len(part))))
+            froms[byte] = begin[of] + np.where(whole, part, 0)
+            tos[byte] = np.where(whole, begin[of] + part + 1, end[of])
+        return froms, tos
+
+    def _learned(self, ids: list[int]) -> tuple[str, str | None, bytes]:
+        """(ids as text, what they stand for, ids as 32-bit integers)."""
+        text = None if self.unknown in ids else b"".join(map(self.surface.__getitem__, ids)).decode()
+        return ",".join(map(self.name.__getitem__, ids)), text, array("i", ids).tobytes()
+
+    _run = re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)")
+
+    def _cut(self, shown: str) -> list[str]:
+        """The words of a normalised text, each with the marks before it but one."""
+        if shown[:1] == SPACE and SPACE * 2 not in shown:
+            return shown[1:].split(SPACE)
+        return self._run.findall(shown)
+
+    def pieces(self, shown: list[str]) -> list[list[tuple]]:
+        """``_learned`` of each normalised text's words, or of the whole text."""
+        if not self.by_word:
+            return [[self._learned(ids)] if t else [] for t, ids in zip(shown, self.bpe.encode(shown, num_threads=1))]
+        cut = list(map(self._cut, shown))
         met = set().union(*cut)
         missing = list(met - self.words.keys())
         if len(self.words) + len(missing) > CACHE_WORDS:  # words of now are the likeliest to come again
             self.words = {w: self.words[w] for w in met & self.words.keys()}
         if missing:
-            ids = self.model.encode(missing, num_threads=1)
-            for i, w in enumerate(missing):
-                if not w:  # a space at the text's end
-                    ids[i] = self.bpe.encode(SPACE)
-            self.words.update(zip(missing, map(self._word, ids)))
-        get = self.words.__getitem__
-        return [list(map(get, c)) for c in cut]
+            self.words.update(zip(missing, map(self._learned, self.bpe.encode([SPACE + w for w in missing], num_threads=1))))
+        return [list(map(self.words.__getitem__, c)) for c in cut]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, begin, end) of each text."""
-        if not self.plain:
-            return [self.spans(t) for t in texts]
-        odd = [SPACE in t for t in texts]
+        made = list(map(self.normalise, texts))
         out = []
-        for t, o, run in zip(texts, odd, self.runs(["" if o else t for t, o in zip(texts, odd)])):
-            if o:
-                out.append(self.spans(t))
-                continue
-            ids = np.array([int(i) for r in run for i in r[0].split(",")], np.int64)
-            end = np.cumsum(self.size[ids]) - 1 if len(ids) else ids
-            out.append((ids, np.concatenate([[0], end[:-1]]).astype(np.int64) if len(ids) else ids, end))
+        for text, (shown, begin, end), learned in zip(texts, made, self.pieces([shown for shown, _, _ in made])):
+            ids = np.frombuffer(b"".join([w[2] for w in learned]), np.int32)
+            out.append((ids, *self.project(text, shown, ids, begin, end)))
         return out
 
     def digest(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
         """(number of ids, sha256 of the ids, sha256 of the decoded text, end of the last span)."""
+        made = list(map(self.normalise, texts))
         out = []
-        plain = [self.plain and SPACE not in t for t in texts]
-        for t, p, run in zip(texts, plain, self.runs([t if p else "" for t, p in zip(texts, plain)])):
-            if p:
-                shown, n, back = zip(*run) if run else ((), (), ())
-                shown, n, back, last = ",".join(shown), sum(n), "".join(back)[1:], len(t.encode())
+        for text, (shown, begin, end), learned in zip(texts, made, self.pieces([shown for shown, _, _ in made])):
+            names, back, raw = zip(*learned) if learned else ((), (), ())
+            ids = np.frombuffer(b"".join(raw), np.int32)
+            if self.by_word and None not in back:
+                back = "".join(back)[1:]
             else:
-                ids, _, end = self.spans(t)
-                shown, n, back = ",".join(map(str, ids.tolist())), len(ids), self.model.decode(ids.tolist())
-                last = int(end[-1]) if n else 0
-            out.append((n, hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), last))
+                back = self.model.decode(ids.tolist()) if len(ids) else ""
+            _, tos = self.project(text, shown, ids, begin, end)
+            out.append((len(ids), hashlib.sha256(",".join(names).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), int(tos[-1]) if len(ids) else 0))
         return out
 
 
