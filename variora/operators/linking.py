@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,25 +56,53 @@ def unordered_pairs(rows: DataFrame, key: str, member: str, value: str) -> DataF
 
 
 def rotate(rows: DataFrame, order: str, value: str, shifts: dict[str, int]) -> DataFrame:
-    """rows with ``value`` of the row that many places later, wrapping around.
-
-    The order's places come from range-partitioned counts, not from one task.
-    """
+    """rows with ``value`` of the row that many places later, wrapping around."""
     ranked = numbered(rows, [order])
     n = rows.count()
+    out = ranked
     for name, shift in shifts.items():
         later = ranked.select(F.pmod(F.col("_n") - F.lit(shift), F.lit(max(n, 1))).alias("_n"), F.col(value).alias(name))
-        ranked = ranked.join(later, "_n")
-    return ranked.drop("_n")
+        out = out.join(later, "_n")
+    return out.drop("_n")
+
 
+#: Rows sampled for each part of a numbering; parts are then alike within a few percent.
+SAMPLED = 60
 
-def numbered(rows: DataFrame, order: list[str], name: str = "_n") -> DataFrame:
-    """Rows with their place (0 on) in a total order, partition by partition."""
-    spread = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+
+def numbered(rows: DataFrame, order: list[str], name: str = "_n", parts: int | None = None) -> DataFrame:
+    """Rows with their place (0 on) in the order of columns that no two rows share.
+
+    The order is cut into ``parts`` at keys from a small sample. Which part a row is in depends
+    on its key alone, so that recomputation and adaptive plans can't change it; parts are
+    counted, and each is numbered in a task of its own.
+    """
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    keys = rows.select(*order)
+    share = min(1.0, SAMPLED * parts / max(1, keys.count()))
+    sample = sorted({tuple(r) for r in keys.sample(share, seed=7).collect()}, key=lambda k: [(v is not None, v) for v in k])
+    cuts = [sample[len(sample) * i // parts] for i in range(1, parts)] if len(sample) >= parts else sample[1:]
+    part = _part(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)]), cuts, keys.schema)
+    placed = rows.withColumn("_p", part)
+    sizes = {r["_p"]: r["count"] for r in placed.groupBy("_p").count().collect()}  # one row a part
+    before = list(accumulate((sizes.get(p, 0) for p in range(len(cuts) + 1)), initial=0))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    sizes = spread.groupBy("_p").count()
-    before = sizes.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_b"))  # one row a partition
-    return spread.withColumn("_r", own).join(F.broadcast(before), "_p").withColumn(name, F.col("_b") + F.col("_r") - 1).drop("_p", "_r", "_b")
+    return placed.withColumn(name, (own + F.element_at(F.lit(before), F.col("_p") + 1) - 1).cast("long")).drop("_p")
+
+
+def _part(key: Column, cuts: list[tuple], schema) -> Column:
+    """How many of the sorted ``cuts`` are at or before a key, by comparing first with every
+    tenth or so and then with those between two of them."""
+    if not cuts:
+        return F.lit(0)
+    literal = lambda cut: F.struct(*[F.lit(v).cast(f.dataType).alias(f"k{i}") for i, (v, f) in enumerate(zip(cut, schema))])
+    step = max(1, int(len(cuts) ** 0.5))
+    at_or_before = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
+    coarse = at_or_before(F.array(*[literal(c) for c in cuts[::step]]))
+    fine = F.array(*[F.array(*map(literal, cuts[i : i + step])) for i in range(0, len(cuts), step)])
+    within = lambda n: F.when(n == 0, 0).otherwise((n - 1) * step + at_or_before(F.get(fine, n - 1)))
+    return F.transform(F.array(coarse), within)[0]
 
 
 def enrich(facts: DataFrame, dimension: DataFrame, key: str, defaults: dict) -> DataFrame:
