@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from variora.llm.common import BLOBS, blob_batches, gather, materialise, mix, powers, prefix_hashes, shard_keys, shard_of, shuffle_width, steps, text_buffer, unpack
+from variora.llm.common import BLOBS, blob_batches, gather, materialise, mix, own_columns, powers, prefix_hashes, shard_keys, shard_of, shuffle_width, steps, text_buffer, unpack
+from variora.operators.linking import numbered
 
 LENGTH, ANCHOR = 100, 24
 #: Different stretches of one anchor that are sorted together; beyond it, windows are hashed.
@@ -406,6 +408,15 @@ def kept_spans(blobs: list[bytes], size: int, length: int) -> tuple[np.ndarray,
     return begin[at], end[np.append(at[1:], len(end)) - 1]
 
 
+def _numbered_ids(texts: DataFrame) -> DataFrame:
+    """texts (doc_id of any type, _text, ...) with ``_key``: the place of (doc_id, text) in the
+    order of ids and then of hashes of texts; equal rows share one."""
+    hashed = texts.withColumn("_hash", F.xxhash64("_text"))
+    places = materialise(numbered(hashed.select("doc_id", "_hash").distinct(), ["doc_id", "_hash"], "_key"), "places")
+    same = hashed["doc_id"].eqNullSafe(places["doc_id"]) & (hashed["_hash"] == places["_hash"])
+    return hashed.join(places, same).select(*[hashed[c] for c in texts.columns], "_key")
+
+
 def remove_repeats(
     documents: DataFrame, output: str = "text", length: int = LENGTH, k: int = ANCHOR, together: int = GROUP, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -415,18 +426,25 @@ def remove_repeats(
     of its bytes goes as a whole. output="spans": id, begin, end (arrays, bytes).
     output="digest": id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    One row for each input row. A null text is empty. Rows that share an id must share the
-    text and count as one; rows without id count as one id before all others.
+    One row for each input row. A null text is empty. Ids are of any type that has an order; a
+    null comes first. Rows that share an id and the text count as one document; those that share
+    an id alone are documents of their own, one after another in the order of a hash of their
+    texts. Other columns stay with output="text", whatever their names, and are dropped else.
     """
     if output not in ("text", "spans", "digest"):
         raise ValueError(output)
-    lowest = -(1 << 63)
-    id_ = F.coalesce(documents[id_column].cast("long"), F.lit(lowest))
-    texts = documents.select(id_.alias("doc_id"), F.coalesce(documents[text_column].cast("string"), F.lit("")).alias("_text"))
-    found = repeated_windows(texts, length, k, together)
-    others = [c for c in documents.columns if c not in (id_column, text_column)] if output == "text" else []
-    if others:
-        texts = documents.select(id_.alias("doc_id"), F.coalesce(documents[text_column].cast("string"), F.lit("")).alias("_text"), F.struct(*[documents[c] for c in others]).alias("_extra"))
+    others = [c for c in own_columns(documents) if output == "text"]
+    extra = F.struct(documents[id_column].alias("id"), *[c.alias(f"c{i}") for i, c in enumerate(others)])
+    text = F.coalesce(documents[text_column].cast("string"), F.lit(""))
+    texts = documents.select(documents[id_column].alias("doc_id"), text.alias("_text"), extra.alias("_extra"))
+    ids = texts.select("doc_id", F.xxhash64("_text").alias("h")).distinct().groupBy("doc_id").count()
+    integers = isinstance(texts.schema["doc_id"].dataType, T.IntegralType)
+    if integers and ids.where("count > 1 or doc_id is null").isEmpty():
+        texts = texts.withColumn("_key", F.col("doc_id").cast("long"))
+    else:
+        texts = materialise(_numbered_ids(texts), "numbered")
+    texts = texts.select(F.col("_key").alias("doc_id"), "_text", "_extra")
+    found = repeated_windows(texts.select("doc_id", "_text"), length, k, together)
 
     def finish(batches):
         for batch, todo in _streamed(batches):
@@ -445,22 +463,18 @@ def remove_repeats(
                 else:
                     rows.append((kept.decode(errors="ignore"),))
             at = pa.array([i for i, _ in todo], pa.int64())
-            columns = [batch.column(0).take(at), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))]
-            if others:
-                columns.append(batch.column(4).take(at))
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    kinds, schema = {
-        "text": ([pa.string()], "doc_id long, _text string"),
-        "spans": ([pa.list_(pa.int64()), pa.list_(pa.int64())], "doc_id long, begin array<long>, end array<long>"),
-        "digest": ([pa.int64(), pa.int64(), pa.int64(), pa.string()], "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"),
+            yield pa.RecordBatch.from_arrays([batch.column(4).take(at), *(pa.array(x, t) for x, t in zip(zip(*rows), kinds))], names)
+
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    kinds, made = {
+        "text": ([pa.string()], [("_text", T.StringType())]),
+        "spans": ([pa.list_(pa.int64())] * 2, [("begin", longs), ("end", longs)]),
+        "digest": ([*[pa.int64()] * 3, pa.string()], [("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", T.StringType())]),
     }[output]
-    if others:
-        schema += f", _extra {texts.schema['_extra'].dataType.simpleString()}"
-    names = [x.split()[0] for x in schema.split(", ")[: len(kinds) + 1]] + ["_extra"] * bool(others)
+    schema = T.StructType([texts.schema["_extra"], *(T.StructField(*f) for f in made)])
+    names = schema.names
     done = _meeting(texts, found, shuffle_width(documents.sparkSession)).mapInArrow(finish, schema)
-    own = F.nullif("doc_id", F.lit(lowest))
     if output != "text":
-        return done.withColumn("doc_id", own).withColumnRenamed("doc_id", id_column)
-    parts = {id_column: own.cast(documents.schema[id_column].dataType), text_column: F.col("_text")} | {c: F.col("_extra").getField(c) for c in others}
-    return done.select(*[parts[c].alias(c) for c in documents.columns])
+        return done.select(F.col("_extra.id").alias(id_column), *names[1:])
+    kept = [F.col("_text") if c == text_column else F.col("_extra").getField(f"c{i}") for i, c in enumerate(documents.columns)]
+    return done.select(*[x.alias(c) for x, c in zip(kept, documents.columns)])
