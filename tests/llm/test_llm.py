@@ -236,9 +236,32 @@ def test_quality(spark, docs, empty):
     assert quality.fit(empty, made.limit(0)).constant == 0.5
 
 
-def test_no_pattern_misses_its_tokens():
-    for rule in url_filter.PATTERN_RULES:
-        assert re.compile(rule.regex)
+def test_tokens_are_read_off_the_patterns():
+    rule = lambda regex: url_filter.PatternRule("x", regex).tokens()
+    assert rule(r"(^|[./-])casino([./-]|$)") == [{"casino"}] and rule(r"casino-win\.") == [{"win"}] and rule(r"casino") is None
+    assert rule(r"(^|[./-])(adult|xxx)[./-]") == [{"adult"}, {"xxx"}] and rule(r"/(ads|track|pixel)/") == [{"ads"}, {"pixel"}, {"track"}]
+    assert rule(r"/a(b|c)?/") is None and rule(r"/ab+/") is None and rule(r"/[a-z]+/x/") == [{"x"}] and rule(r"(?i:/Abc/)") is None
+    assert rule(r"^www\.(shop|store)\.(sale|win)/") == [{"sale", "shop", "www"}, {"sale", "store", "www"}, {"shop", "win", "www"}, {"store", "win", "www"}]
+    assert rule(r"/é/") is None and rule(r"\bads\b") is None and rule(r"/x\d/") is None and rule("/" + "(a|bb)" * 9 + "/") is None
+
+
+def test_indexed_rules_decide_as_a_plain_scan(spark):
+    draw = random.Random(2)
+    rules = tuple(url_filter.PatternRule(f"r{i}", r) for i, r in enumerate([
+        r"(^|[./-])casino([./-]|$)", r"casino-win\.", r"/(ads|track)/", r"(^|\.)(adult|xxx)[./-]", r"/a(b|c)?/", r"win$", r"^free\.", r"[0-9]{3}", r"/(en|fr)/(win|ads)(/|$)",
+    ]))
+    parts = ["casino", "win", "ads", "track", "adult", "xxx", "a", "ab", "free", "en", "fr", "12", "345", "CASINO", "casinowin"]
+    made = lambda: "http://" + draw.choice(parts) + "".join(draw.choice(".-") + draw.choice(parts) for _ in range(draw.randint(0, 3))) + "".join(draw.choice("/-./") + draw.choice(parts) for _ in range(draw.randint(0, 4))) + draw.choice(["", "/", "?x"])
+    urls = [made() for _ in range(1500)]
+    seen = []
+    for own in (urls, urls[:300], urls[:300] + ["http://ads.win.casino.adult.xxx/"] * 999):
+        rows = spark.createDataFrame(list(enumerate(own)), "page_id long, url string").repartition(3)
+        got = {r.page_id: r for r in url_filter.judge_urls(rows, (), rules).collect()}
+        for i, u in enumerate(own[:1500]):
+            hit = next((r for r in rules if re.search(r.regex, got[i].host + got[i].path)), None)
+            assert (got[i].pattern, got[i].verdict) == ((hit.name, "block") if hit else (None, "allow")), u
+        seen.append([got[i].verdict for i in range(300)])
+    assert seen[0] == seen[1] == seen[2] and {"block", "allow"} == set(seen[0])
 
 
 def test_pipeline(spark):

@@ -1,14 +1,16 @@
 """URL filters: host and path rules, then pattern rules found through their rarest token.
 
-A pattern rule is a regular expression together with the literal tokens that any match must
-contain as whole tokens of the URL. Each rule is filed under the one of its tokens that is
-rarest among all the URLs; a URL's own tokens fetch the rules to try, and only those run
-their regular expressions. Rules without a literal token are tried on every URL.
+The literal tokens that any match holds as whole tokens of the URL are read off a rule's
+regular expression, for each of its alternatives. A rule is filed, for each alternative, under
+that one of its tokens which is rarest among all the URLs; a URL's own tokens fetch the rules
+to try, and only those run their regular expressions. A rule with an alternative without such
+a token is tried on every URL.
 """
 
 from __future__ import annotations
 
 import re
+import re._parser as re_parser
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -42,9 +44,52 @@ class PatternRule:
 
     name: str
     regex: str
-    tokens: tuple[str, ...]
     verdict: str = "block"
 
+    def tokens(self) -> list[frozenset[str]] | None:
+        """For each alternative, tokens that every match holds whole; None if one has none."""
+        found = {_whole_tokens(way) for way in _ways(re_parser.parse(self.regex))}
+        return None if frozenset() in found else sorted(found, key=sorted)
+
+
+#: Ways through a regular expression that are told apart; one with more has no tokens.
+MOST_WAYS = 256
+#: What a way holds besides literal characters: an edge of tokens, and anything else.
+EDGE, OTHER = "edge", "other"
+
+
+def _step(op, value) -> list[list[str]]:
+    """The ways through one element of a parsed expression."""
+    if op is re_parser.LITERAL:
+        c = chr(value)
+        return [[c.lower() if c.isascii() and c.isalnum() else EDGE if c.isascii() else OTHER]]
+    if op is re_parser.AT:
+        return [[EDGE if value in (re_parser.AT_BEGINNING, re_parser.AT_BEGINNING_STRING, re_parser.AT_END, re_parser.AT_END_STRING) else OTHER]]
+    if op is re_parser.IN:
+        edges = all(o is re_parser.LITERAL and chr(v).isascii() and not chr(v).isalnum() for o, v in value)
+        return [[EDGE if edges else OTHER]]
+    if op is re_parser.SUBPATTERN:
+        return [[OTHER]] if value[1] or value[2] else _ways(value[3])
+    if op is re_parser.BRANCH:
+        return [way for branch in value[1] for way in _ways(branch)]
+    return [[OTHER]]
+
+
+def _ways(items) -> list[list[str]]:
+    ways: list[list[str]] = [[]]
+    for op, value in items:
+        steps = _step(op, value)
+        if len(ways) * len(steps) > MOST_WAYS:
+            return [[OTHER]]
+        ways = [way + step for way in ways for step in steps]
+    return ways
+
+
+def _whole_tokens(way: list[str]) -> frozenset[str]:
+    """Runs of letters and digits between two edges."""
+    text = "".join(x if len(x) == 1 else "." if x == EDGE else "?" for x in way)
+    return frozenset(re.findall(r"(?<=\.)[a-z0-9]+(?=\.)", text))
+
 
 #: The rules of the contract.
 HOST_RULES = (
@@ -55,15 +100,14 @@ HOST_RULES = (
     HostRule("net/fr/", "block"),
 )
 
-#: Spam subjects as host labels or path parts; the tokens are those that every match holds whole:
-#: "mycasino-win." matches without the token "casino".
+#: Spam subjects as host labels or path parts.
 PATTERN_RULES = (
-    PatternRule("casino", r"(^|[./-])casino([./-]|$)", ("casino",)),
-    PatternRule("casino-win", r"casino-win\.", ("win",)),
-    PatternRule("free-bets", r"free-bets\.", ("bets",)),
-    PatternRule("cheap-pills", r"cheap-pills\.", ("pills",)),
-    PatternRule("adult", r"(^|[./-])(adult|xxx)[./-]", ()),
-    PatternRule("tracker", r"/(ads|track|pixel)/", ()),
+    PatternRule("casino", r"(^|[./-])casino([./-]|$)"),
+    PatternRule("casino-win", r"casino-win\."),
+    PatternRule("free-bets", r"free-bets\."),
+    PatternRule("cheap-pills", r"cheap-pills\."),
+    PatternRule("adult", r"(^|[./-])(adult|xxx)[./-]"),
+    PatternRule("tracker", r"/(ads|track|pixel)/"),
 )
 
 
@@ -80,9 +124,19 @@ def _token_counts(parts: DataFrame, tokens: set[str]) -> dict[str, int]:
     """How many URLs hold each of the given tokens; at most as many rows as there are tokens."""
     if not tokens:
         return {}
-    found = F.array_intersect(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"), F.array(*map(F.lit, sorted(tokens))))
-    rows = parts.select(F.explode(found).alias("t")).groupBy("t").count().collect()
-    return {r["t"]: r["count"] for r in rows}
+    asked = parts.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "t string")
+    own = parts.select(F.explode(F.array_distinct(F.split(F.lower(F.concat("host", "path")), "[^a-z0-9]+"))).alias("t"))
+    return {r["t"]: r["count"] for r in own.join(F.broadcast(asked), "t").groupBy("t").count().collect()}
+
+
+def pattern_index(rules: tuple[PatternRule, ...], counts: dict[str, int]) -> dict[str, list[int]]:
+    """token -> rules to try on URLs that hold it; those under the empty token, on all."""
+    index: dict[str, list[int]] = {}
+    for i, rule in enumerate(rules):
+        ways = rule.tokens()
+        for token in {""} if ways is None else {min(way, key=lambda t: (counts.get(t, 0), t)) for way in ways}:
+            index.setdefault(token, []).append(i)
+    return index
 
 
 def judge_urls(
@@ -96,19 +150,14 @@ def judge_urls(
     """id, host, path, rule, verdict, pattern: one row for each input row, in any order.
 
     The longest fitting host rule decides (``rule``). Without one (``rule`` null) the first
-    matching pattern rule in list order does (``pattern``), and without that ``default``.
+    matching pattern rule in list order does (``pattern``), and without that ``default``; which
+    other URLs there are makes no difference.
     Null and odd URLs have an empty host and path. Other columns are dropped.
     """
     if len(host_rules) + len(pattern_rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
-    for r in pattern_rules:
-        re.compile(r.regex)
     parts = with_parts(pages.select(pages[id_column].alias(id_column), pages[url].cast("string").alias("_url")), "_url").drop("_url")
-    counts = _token_counts(parts, {t for r in pattern_rules for t in r.tokens})
-    index: dict[str, list[int]] = {}
-    for i, r in enumerate(pattern_rules):
-        rarest = min(r.tokens, key=lambda t: (counts.get(t, 0), t), default="")
-        index.setdefault(rarest, []).append(i)
+    index = pattern_index(pattern_rules, _token_counts(parts, {t for r in pattern_rules for way in r.tokens() or () for t in way}))
     hosts = {}
     for r in sorted(host_rules, key=lambda r: -len(r.rule)):
         hosts.setdefault(r.host, []).append((r.path, r.rule, r.verdict))
