@@ -414,3 +414,20 @@ def join_components(documents: DataFrame, rule: Rule = Rule(), id_column: str =
     plain = found.select("doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return plain.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
+
+
+def oracle_sql(rule: Rule = Rule()) -> str:
+    """DuckDB SQL for ``join_components`` over ``documents``; for small tables."""
+    return rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {rule.words} THEN [array_to_string(w, ' ')]
+        ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {rule.words - 2}), lambda i: array_to_string(w[i:i + {rule.words - 1}], ' ')))) END AS s FROM w),
+    k AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY md5(array_to_string(s, '  '))) END AS rep, s FROM s),
+    g AS (SELECT rep, n, unnest(s) AS x FROM k WHERE doc_id = rep AND n > 0),
+    c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2),
+    l AS (SELECT a, b FROM c WHERE 100 * c >= {rule.percent} * (na + nb - c)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+    m AS (SELECT node, min(root) AS m FROM r GROUP BY node)
+    SELECT doc_id, n::BIGINT AS n_shingles, coalesce(m, rep) AS component_id FROM k LEFT JOIN m ON node = rep
+    """

@@ -76,4 +76,7 @@ QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_lm_score, op3_token_counts, op4_suffix_dedup, op5_language_id, op6_bm25_search, op7_decontaminate, op8_sentencepiece, op9_ngram_jaccard, op10_quality,
 )}
 
-ORACLE_SQL = {"op1_url_filter": url_filter.oracle_sql(), "op6_bm25_search": bm25_search.oracle_sql()}
+ORACLE_SQL = {
+    "op1_url_filter": url_filter.oracle_sql(), "op4_suffix_dedup": suffix_dedup.oracle_sql(), "op6_bm25_search": bm25_search.oracle_sql(),
+    "op9_ngram_jaccard": jaccard_join.oracle_sql(),
+}

@@ -478,3 +478,20 @@ def remove_repeats(
         return done.select(F.col("_extra.id").alias(id_column), *names[1:])
     kept = [F.col("_text") if c == text_column else F.col("_extra").getField(f"c{i}") for i, c in enumerate(documents.columns)]
     return done.select(*[x.alias(c) for x, c in zip(kept, documents.columns)])
+
+
+def oracle_sql(length: int = LENGTH) -> str:
+    """DuckDB SQL for the digest over ``documents``; for small tables."""
+    return f"""
+    WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    p AS (SELECT doc_id, unnest(range(0, length(h) // 2 - {length - 1})) AS i, h FROM h),
+    k AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * length})) AS k FROM p),
+    f AS (SELECT doc_id, i FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+    o AS (SELECT doc_id, i, i > lag(i) OVER w + {length} OR lag(i) OVER w IS NULL AS new FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    u AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+    s AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b, lag(max(i) + {length}, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS before FROM u GROUP BY doc_id, run),
+    g AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM s GROUP BY doc_id),
+    t AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM s JOIN h USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+        sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN g USING (doc_id) LEFT JOIN t USING (doc_id)
+    """
