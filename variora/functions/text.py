@@ -17,17 +17,25 @@ _PRECOMPOSED = [chr(c) for a, b in ((0xC0, 0x250), (0x370, 0x400), (0x1E00, 0x20
 _PAIRS = [(c, d[0]) for c in _PRECOMPOSED if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(x) for x in d[1:])]
 _FROM, _TO = "".join(c for c, _ in _PAIRS), "".join(d for _, d in _PAIRS)
 
+#: White space as Unicode has it, with the four separators of ASCII: a class of characters.
+SPACES = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
 #: Stripped from both ends of a word.
 PUNCTUATION = ".,;:!?·()[]{}<>\"'«»“”‘’—–-…⸀⸁⸂⸃⸄⸅"
 
 
 def drop_marks(x: Column) -> Column:
     """Base letters without combining marks (canonical decomposition, then \\p{M} dropped)."""
-    return F.regexp_replace(F.translate(x, _FROM, _TO), r"\p{M}+", "")
+    bare = F.regexp_replace(F.translate(x, _FROM, _TO), r"\p{M}+", "")
+    return F.when(F.octet_length(x) == F.length(x), x).otherwise(bare)  # ASCII has none
+
+
+def strip(x: Column) -> Column:
+    return F.regexp_replace(x, f"^{SPACES}+|{SPACES}+$", "")
 
 
 def collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, r"\s+", " "))
+    return F.trim(F.regexp_replace(x, f"{SPACES}+", " "))
 
 
 def casefold(x: Column) -> Column:
@@ -36,7 +44,7 @@ def casefold(x: Column) -> Column:
 
 
 def alignment_key(x: Column, movable_nu: dict[str, str] | None = None) -> Column:
-    out = F.replace(drop_marks(F.lower(F.trim(x))), F.lit("ς"), F.lit("σ"))
+    out = F.replace(drop_marks(F.lower(strip(x))), F.lit("ς"), F.lit("σ"))
     for with_nu, without in (movable_nu or {}).items():
         out = F.replace(out, F.lit(with_nu), F.lit(without))
     return out
@@ -60,7 +68,7 @@ def uncial(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """White-space words, none for an empty text."""
-    return F.filter(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(x, F.lit("")), f"{SPACES}+"), lambda w: w != "")
 
 
 def is_greek(x: Column) -> Column:
@@ -72,21 +80,31 @@ def strip_punctuation(x: Column, chars: str = PUNCTUATION) -> Column:
 
 
 def is_punctuation(x: Column, chars: str = PUNCTUATION) -> Column:
-    return (F.trim(x) != "") & (F.btrim(F.trim(x), F.lit(chars)) == "")
+    return (strip(x) != "") & (F.btrim(strip(x), F.lit(chars)) == "")
 
 
-def shingles(key: Column, n: int = 8) -> Column:
-    """Distinct word n-grams; a shorter text is one shingle, an empty one has none."""
+def _shingled(key: Column, n: int, made) -> Column:
+    """``made`` of the words of each distinct n-gram, of all words if they are fewer."""
 
     def of(w):
         size = F.size(w)
-        many = F.array_distinct(F.transform(F.sequence(F.lit(0), size - n), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
-        return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(w, " "))).otherwise(many)
+        many = F.array_distinct(F.transform(F.sequence(F.lit(0), size - n), lambda i: made(F.slice(w, i + 1, n))))
+        return F.when(size == 0, F.slice(F.array(made(w)), 1, 0)).when(size < n, F.array(made(w))).otherwise(many)
 
     # the one-entry array binds the words, which else were split anew for each shingle
     return F.get(F.transform(F.array(words(key)), of), F.lit(0))
 
 
+def shingles(key: Column, n: int = 8) -> Column:
+    """Distinct word n-grams; a shorter text is one shingle, an empty one has none."""
+    return _shingled(key, n, lambda w: F.array_join(w, " "))
+
+
+def shingle_hashes(key: Column, n: int = 8) -> Column:
+    """``xxhash64`` of each shingle."""
+    return _shingled(key, n, lambda w: F.xxhash64(F.array_join(w, " ")))
+
+
 def parse_reference(x: Column) -> Column:
     """struct(book, chapter, first, last) of ``1 John 1:1-3``; a bare chapter has no verses;
     null where it isn't a reference."""

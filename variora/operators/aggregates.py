@@ -53,7 +53,9 @@ def token_f1(rows: DataFrame, key: str, pred: Column, gold: Column, normalise=la
 
 
 def exact_match_rate(rows: DataFrame, pred: Column, gold: Column, normalise=loose) -> DataFrame:
-    return rows.agg(F.coalesce(F.avg((normalise(pred) == normalise(gold)).cast("double")), F.lit(0.0)).alias("rate"))
+    """One row (rate); a pair with a null side is no match, no pairs at all give 0."""
+    same = F.coalesce(normalise(pred) == normalise(gold), F.lit(False))
+    return rows.agg(F.coalesce(F.avg(same.cast("double")), F.lit(0.0)).alias("rate"))
 
 
 def harvest(rows: DataFrame, key: str, gloss: str, order: str) -> DataFrame:
@@ -78,6 +80,15 @@ def code_conflicts(rows: DataFrame, key: str, code: str) -> DataFrame:
     return rows.groupBy(key).agg(F.countDistinct(code).alias("codes")).where("codes > 1")
 
 
-def log_mean_exp(x: str) -> Column:
-    """log of the mean of exp(x), by the maximum: an aggregate over two levels of SQL."""
-    return F.expr(f"max({x}) + ln(aggregate(collect_list({x}), 0D, (s, v) -> s + exp(v - array_max(collect_list({x})))) / count({x}))")
+def log_mean_exp(rows: DataFrame, by: list[str], value: str, name: str = "log_mean_exp") -> DataFrame:
+    """(by, log of the mean of exp(value)), kept stable by each group's largest value."""
+    most = rows.groupBy(*by).agg(F.max(value).alias("_most"))
+    parts = rows.join(most, by) if by else rows.join(F.broadcast(most))
+    total = F.max("_most") + F.log(F.avg(F.exp(F.col(value) - F.col("_most"))))
+    return parts.groupBy(*by).agg(total.alias(name))
+
+
+def bottleneck_nll(rows: DataFrame, by: list[str], nll: str) -> DataFrame:
+    """(by, nll) of a mixture: minus the log of the mean likelihood of its samples."""
+    made = log_mean_exp(rows.withColumn("_minus", -F.col(nll)), by, "_minus", "_l")
+    return made.select(*by, (-F.col("_l")).alias("nll"))

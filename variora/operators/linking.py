@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,11 +37,27 @@ def verse_ranges(ranges: DataFrame, cap: int = 40) -> DataFrame:
     return rows.withColumn("v_low", F.when(F.col("chapter") == F.col("c1"), F.col("v1")).otherwise(1)).withColumn("v_high", F.when(F.col("chapter") == F.col("c2"), F.col("v2")).otherwise(cap))
 
 
-def find_range(points: DataFrame, ranges: DataFrame, at: Column, low: Column, high: Column, on: str, first: str, value: str) -> DataFrame:
-    """points with ``value`` of the first range (same ``on``) that holds ``at`` in tuple order."""
-    keyed = points.withColumn("_id", F.monotonically_increasing_id())
-    hits = keyed.join(ranges, on).where((low <= at) & (at <= high)).groupBy("_id").agg(F.min_by(value, first).alias(value))
-    return keyed.join(hits, "_id", "left").drop("_id")
+def find_range(
+    points: DataFrame, ranges: DataFrame, on: list[str], at: tuple[str, str], low: tuple[str, str], high: tuple[str, str], first: str, value: str
+) -> DataFrame:
+    """points with ``value`` of the first range (same ``on``) that holds ``at`` in tuple order:
+    low <= at <= high, each (chapter, verse).
+
+    Ranges are expanded to one row a chapter, so that a point meets those of its chapter alone;
+    each place is looked up once, however many points share it.
+    """
+    chapter, verse = at
+    last = F.lit((1 << 31) - 1)
+    spans = ranges.where(F.col(low[0]) <= F.col(high[0])).withColumn("_c", F.explode(F.sequence(F.col(low[0]).cast("int"), F.col(high[0]).cast("int"))))
+    spans = spans.select(
+        *on, "_c", F.col(value).alias("_value"), F.col(first).alias("_first"),
+        F.when(F.col("_c") == F.col(low[0]), F.col(low[1])).otherwise(-last).alias("_low"), F.when(F.col("_c") == F.col(high[0]), F.col(high[1])).otherwise(last).alias("_high"),
+    )
+    places = points.select(*on, F.col(chapter).cast("int").alias("_c"), F.col(verse).alias("_v")).distinct()
+    hits = places.join(spans, [*on, "_c"]).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+    hits = hits.groupBy(*on, "_c", "_v").agg(F.min_by("_value", "_first").alias(value))
+    keyed = points.withColumns({"_c": F.col(chapter).cast("int"), "_v": F.col(verse)})
+    return keyed.join(hits, [*on, "_c", "_v"], "left").drop("_c", "_v")
 
 
 def parallels(ranges: DataFrame, key: str, member: str) -> DataFrame:
@@ -66,6 +84,22 @@ def rotate(rows: DataFrame, order: str, value: str, shifts: dict[str, int]) -> D
     return out.drop("_n")
 
 
+def ranked(rows: DataFrame, by: list[str], order: list[str], place: str, size: str) -> DataFrame:
+    """rows with their place (0 on) in their group and the group's size, by way of one order of
+    all rows, so that no group has to fit into a task; nulls are a group."""
+    placed = numbered(rows, [*by, *order], "_at")
+    groups = placed.groupBy(*by).agg(F.min("_at").alias("_first"), F.count("*").alias(size))
+    joined = join_null_safe(placed, groups, by)
+    return joined.withColumn(place, F.col("_at") - F.col("_first")).drop("_at", "_first")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join on columns of the same names in which nulls meet; ``right``'s are dropped."""
+    other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on))
+    return left.join(other, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 #: Rows sampled for each part of a numbering; parts are then alike within a few percent.
 SAMPLED = 60
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variora.functions.text import words
+from variora.operators.linking import numbered
+from variora.storage import materialise
 
 
 def positions(rows: DataFrame, keys: list[str], order: str, name: str = "position") -> DataFrame:
@@ -24,32 +27,86 @@ def islands(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFra
     return rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def passage_windows(passages: DataFrame, target: int = 150, most: int = 300) -> DataFrame:
+def _flow(sizes: list[int], held: int, target: int, most: int) -> tuple[list[int], int]:
+    """(windows ended before each passage is in one, words held at the end): one pass over
+    passages that come after ``held`` words of an open window."""
+    number, out = 0, []
+    for n in sizes:
+        if held and held + n > most:
+            number, held = number + 1, 0
+        out.append(number)
+        held += n
+        if held >= target:
+            number, held = number + 1, 0
+    return [*out, number], held
+
+
+def _outcomes(sizes: list[int], target: int, most: int) -> tuple[list[int], list[int]]:
+    """(windows ended, words held at the end) for each number of words, below ``target``, that
+    may be held at the beginning. Different beginnings soon agree and go on as one."""
+    held = np.arange(target)
+    ended = np.zeros(target, np.int64)
+    for i, n in enumerate(sizes):
+        full = (held > 0) & (held + n > most)
+        ended += full
+        held = np.where(full, 0, held) + n
+        ended += held >= target
+        held = np.where(held >= target, 0, held)
+        if (held == held[0]).all():
+            rest, last = _flow(sizes[i + 1 :], int(held[0]), target, most)
+            return (ended + rest[-1]).tolist(), [last] * target
+    return ended.tolist(), held.tolist()
+
+
+def passage_windows(passages: DataFrame, target: int = 150, most: int = 300, part_rows: int = 500_000) -> DataFrame:
     """(source, window, ref, n_words, text) from (source, ord, ref, text), in reading order.
 
     A window ends before a passage that would take it over ``most`` words and after the one
-    that takes it to ``target``; a single longer passage is a window. Wordless ones are left out.
-    """
-    size = F.size(words(F.col("text")))
-    rows = passages.select("source", "ord", "ref", F.concat_ws(" ", words(F.col("text"))).alias("text"), size.alias("n")).where("n > 0")
+    that takes it to ``target``; a single longer passage is a window. Wordless ones are left
+    out. ``ord`` orders a source's passages and doesn't repeat there.
 
-    def chunk(part: pd.DataFrame) -> pd.DataFrame:
+    Only sizes go through Python. The reading order is cut into parts of about ``part_rows``
+    passages; each says what it does to whatever words an open window may bring in, so that a
+    short pass over the parts tells what it does bring, and the parts are walked alone.
+    """
+    spark = passages.sparkSession
+    rows = passages.select("source", "ord", "ref", F.array_join(words(F.col("text")), " ").alias("text"), F.size(words(F.col("text"))).alias("n")).where("n > 0")
+    sizes = rows.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z"), "ord", "n")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-sizes.count() // part_rows))
+    placed = materialise(numbered(sizes, ["s", "z", "ord"], "_at", parts), "sizes")
+    # a part of the numbering is told by its places
+    step = F.lit(part_rows).cast("long")
+    placed = placed.withColumn("part", F.floor(F.col("_at") / step))
+
+    def outcome(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ord")
+        ended, held = _outcomes(part["n"].tolist(), target, most)
+        return pd.DataFrame({"s": part["s"].iloc[:1], "z": part["z"].iloc[:1], "part": part["part"].iloc[:1], "ended": [ended], "held": [held]})
+
+    def enter(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("part")
+        number, now, out = 0, 0, []
+        for ended, held in zip(parts["ended"], parts["held"]):
+            out.append((number, now))
+            number, now = number + int(ended[now]), int(held[now])
+        return parts[["s", "z", "part"]].assign(number=[n for n, _ in out], now=[h for _, h in out])
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ord")
-        number, total, labels = 0, 0, []
-        for n in part["n"]:
-            if total and total + n > most:
-                number, total = number + 1, 0
-            labels.append(number)
-            total += n
-            if total >= target:
-                number, total = number + 1, 0
-        return part.assign(window=labels)[["source", "ord", "ref", "text", "n", "window"]]
-
-    numbered = rows.groupBy("source").applyInPandas(chunk, "source string, ord long, ref string, text string, n int, window int")
+        numbers, _ = _flow(part["n"].tolist(), int(part["now"].iloc[0]), target, most)
+        return part[["s", "z", "ord"]].assign(window=np.array(numbers[:-1], np.int64) + int(part["number"].iloc[0]))
+
+    key = "s string, z boolean"
+    outcomes = placed.groupBy("s", "z", "part").applyInPandas(outcome, f"{key}, part long, ended array<long>, held array<long>")
+    entries = outcomes.groupBy("s", "z").applyInPandas(enter, f"{key}, part long, number long, now long")
+    entered = placed.join(entries, ["s", "z", "part"])
+    labels = entered.groupBy("s", "z", "part").applyInPandas(label, f"{key}, ord {rows.schema['ord'].dataType.simpleString()}, window long")
+    numbered_rows = rows.withColumns({"s": F.coalesce("source", F.lit("")), "z": F.col("source").isNull()}).join(labels, ["s", "z", "ord"])
     items = F.array_sort(F.collect_list(F.struct("ord", "ref", "text")))
-    made = numbered.groupBy("source", "window").agg(items.alias("i"), F.sum("n").alias("n_words"))
+    made = numbered_rows.groupBy("source", "window").agg(items.alias("i"), F.sum("n").alias("n_words"))
     first, last = F.col("i")[0]["ref"], F.element_at("i", -1)["ref"]
-    return made.select("source", "window", F.when(first == last, first).otherwise(F.concat(first, F.lit("–"), last)).alias("ref"), "n_words", F.array_join(F.transform("i", lambda x: x["text"]), " ").alias("text"))
+    ref = F.when(first == last, first).otherwise(F.concat(first, F.lit("–"), last))
+    return made.select("source", "window", ref.alias("ref"), "n_words", F.array_join(F.transform("i", lambda x: x["text"]), " ").alias("text"))
 
 
 def continuations(rows: DataFrame, text: str = "text", least: int = 20, share: float = 0.5, prompt: str = "continue: ") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from variora.functions.text import dedup_key, shingles
+from variora.functions.text import dedup_key, shingle_hashes, shingles, strip
 
 
 def contamination_index(held_out: DataFrame, text: str = "text", n: int = 8) -> DataFrame:
@@ -15,17 +15,21 @@ def contamination_index(held_out: DataFrame, text: str = "text", n: int = 8) ->
 def contaminated(rows: DataFrame, held_out: DataFrame, key: str, text: str = "text", n: int = 8) -> DataFrame:
     """Keys of rows that share a shingle with the held-out texts.
 
-    Shingles meet by their 64-bit hash, and a match is confirmed on the words.
+    Shingles meet by their 64-bit hash, and only rows with a hit are compared word by word.
     """
-    own = rows.select(key, F.explode(shingles(dedup_key(F.col(text)), n)).alias("shingle"))
-    return own.join(contamination_index(held_out, text, n), "shingle", "left_semi").select(key).distinct()
+    index = contamination_index(held_out, text, n).select("shingle", F.xxhash64("shingle").alias("h"))
+    hashed = rows.select(key, F.explode(shingle_hashes(dedup_key(F.col(text)), n)).alias("h"))
+    hits = hashed.join(index.select("h").distinct(), "h", "left_semi").select(key).distinct()
+    some = rows.select(key, text).join(hits, key, "left_semi")
+    own = some.select(key, F.explode(shingles(dedup_key(F.col(text)), n)).alias("shingle"))
+    return own.join(index.select("shingle"), "shingle", "left_semi").select(key).distinct()
 
 
 def first_of_each(rows: DataFrame, text: str, order: str) -> DataFrame:
     """Rows whose normalised text no earlier row has; empty texts are left out."""
-    keyed = rows.withColumn("_k", F.sha2(dedup_key(F.col(text)), 256)).where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "")
-    firsts = keyed.groupBy("_k").agg(F.min(order).alias(order))
-    return keyed.join(firsts, ["_k", order], "left_semi").drop("_k")
+    keyed = rows.select(order, F.sha2(dedup_key(F.col(text)), 256).alias("_k")).where(strip(F.coalesce(F.col(text), F.lit(""))) != "")
+    firsts = keyed.groupBy("_k").agg(F.min(order).alias(order)).select(order)
+    return rows.join(firsts, order, "left_semi")
 
 
 def screen(rows: DataFrame, held_out: DataFrame, key: str, text: str = "text", n: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ Replicates work on one (sum, count) a group, so their cost is replicates times g
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from variora.operators.linking import numbered
@@ -15,11 +15,12 @@ from variora.operators.sampling import uniform
 def replicates(rows: DataFrame, group: str, values: list[str], n: int, seed: str = "42") -> DataFrame:
     """(replicate, <value>...): means over samples of groups drawn with replacement."""
     sums = rows.groupBy(group).agg(F.count("*").alias("_c"), *[F.sum(v).alias(v) for v in values])
-    sums = numbered(sums, [group], "_i")
     groups = sums.count()
+    few = groups <= 100_000
+    sums = sums.withColumn("_i", F.row_number().over(Window.orderBy(group)) - 1) if few else numbered(sums, [group], "_i")
     draws = rows.sparkSession.range(n).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(groups, 1) - 1))).alias("_j"))
     draws = draws.withColumn("_i", F.floor(uniform("replicate", "_j", seed=seed) * groups))
-    return draws.join(F.broadcast(sums) if groups <= 100_000 else sums, "_i").groupBy("replicate").agg(*[(F.sum(v) / F.sum("_c")).alias(v) for v in values])
+    return draws.join(F.broadcast(sums) if few else sums, "_i").groupBy("replicate").agg(*[(F.sum(v) / F.sum("_c")).alias(v) for v in values])
 
 
 def summary(reps: DataFrame, value: str, confidence: float = 0.95) -> DataFrame:

@@ -14,8 +14,9 @@ ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "screened_passages"
 
 #: SQL for the normalisers, on column {x}
-_KEY = "trim(regexp_replace(replace(replace(lower(strip_accents({x})), 'ß', 'ss'), 'ς', 'σ'), '\\s+', ' ', 'g'))"
-_WORDS = "list_filter(string_split_regex(coalesce({x}, ''), '\\s+'), lambda w: w <> '')"
+_SPACES = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_KEY = "trim(regexp_replace(replace(replace(lower(strip_accents({x})), 'ß', 'ss'), 'ς', 'σ'), '@', ' ', 'g'))"
+_WORDS = "list_filter(string_split_regex(coalesce({x}, ''), '@'), lambda w: w <> '')"
 _U = "(('0x' || substr(md5({x}), 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
 
 
@@ -34,11 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def key(x: str) -> str:
-    return _KEY.format(x=x)
+    return _KEY.format(x=x).replace("@", _SPACES)
 
 
 def words(x: str) -> str:
-    return _WORDS.format(x=x)
+    return _WORDS.format(x=x).replace("@", _SPACES)
+
+
+def loose(x: str) -> str:
+    return f"replace(replace(lower(trim(regexp_replace({x}, '{_SPACES}', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')"
 
 
 def shingled(x: str, n: int) -> str:
@@ -47,7 +52,7 @@ def shingled(x: str, n: int) -> str:
 
 
 @query(f"""SELECT doc_id, md5({key('text')}) AS dedup, md5(lower(strip_accents(trim(text)))) AS alignment, md5(lower(strip_accents(text))) AS stripped,
-    md5(upper(replace(strip_accents(text), 'ß', 'ss'))) AS uncial, md5(replace(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss'), 'ς', 'σ')) AS loose FROM documents""")
+    md5(upper(replace(strip_accents(text), 'ß', 'ss'))) AS uncial, md5({loose('text')}) AS loose FROM documents""")
 def normalisers(spark, sf_dir):
     x = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.dedup_key(x)).alias("dedup"), F.md5(T.alignment_key(x)).alias("alignment"), F.md5(T.strip_accents(x)).alias("stripped"), F.md5(T.uncial(x)).alias("uncial"), F.md5(T.loose(x)).alias("loose"))
@@ -81,10 +86,17 @@ def screened_passages(spark, sf_dir):
     return kept.groupBy("source").agg(F.count("*").alias("passages"), F.sum(F.size(T.words(F.col("text")))).alias("words"))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT source, doc_id, array_to_string(w, ' ') AS text, len(w) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i
+        FROM (SELECT source, doc_id, {words('text')} AS w FROM documents) WHERE len(w) > 0),
+    r(source, i, mine, next, held) AS (SELECT source, i, 0, (n >= 150)::INT, CASE WHEN n >= 150 THEN 0 ELSE n END FROM p WHERE i = 1
+        UNION ALL SELECT p.source, p.i, next + f, next + f + (t >= 150)::INT, CASE WHEN t >= 150 THEN 0 ELSE t END
+        FROM (SELECT p.source, p.i, r.next, (r.held > 0 AND r.held + p.n > 300)::INT AS f, CASE WHEN r.held > 0 AND r.held + p.n > 300 THEN p.n ELSE r.held + p.n END AS t
+              FROM r JOIN p ON p.source = r.source AND p.i = r.i + 1) p)
+    SELECT source, mine::BIGINT AS window, CASE WHEN count(*) = 1 THEN min(doc_id)::VARCHAR ELSE min(doc_id) || '–' || max(doc_id) END AS ref, sum(n)::BIGINT AS n_words,
+        md5(string_agg(text, ' ' ORDER BY doc_id)) AS text FROM r JOIN p USING (source, i) GROUP BY source, mine""")
 def passage_windows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("ref"), "text")
-    return order.passage_windows(docs)
+    return order.passage_windows(docs).withColumn("text", F.md5("text"))
 
 
 @query(f"""SELECT doc_id, md5('continue: ' || array_to_string(w[1:c], ' ')) AS input, md5(array_to_string(w[c + 1:], ' ')) AS target FROM (
@@ -107,10 +119,12 @@ def interval_assignment(spark, sf_dir):
     LEFT JOIN r ON s.k = r.k AND (c1, v1) <= (c, v) AND (c, v) <= (c2, v2) GROUP BY s_suppkey""")
 def range_lookup(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    ranges = n.select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("pid"), (F.col("n_nationkey") % 7).alias("c1"), F.lit(3).alias("v1"), (F.col("n_nationkey") % 7 + 2).alias("c2"), F.lit(5).alias("v2"))
-    points = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("k"), (F.col("s_suppkey") % 9).cast("int").alias("c"), (F.col("s_suppkey") % 11).cast("int").alias("v"))
-    pair = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
-    return linking.find_range(points, ranges, pair("c", "v"), pair("c1", "v1"), pair("c2", "v2"), "k", "pid", "pid").select("s_suppkey", "pid")
+    start = (F.col("n_nationkey") % 7).alias("c1"), F.lit(3).alias("v1")
+    ranges = n.select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").alias("pid"), *start, (F.col("n_nationkey") % 7 + 2).alias("c2"), F.lit(5).alias("v2"))
+    points = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", (F.col("s_nationkey") % 5).alias("k"), (F.col("s_suppkey") % 9).alias("c"), (F.col("s_suppkey") % 11).alias("v")
+    )
+    return linking.find_range(points, ranges, ["k"], ("c", "v"), ("c1", "v1"), ("c2", "v2"), "pid", "pid").select("s_suppkey", "pid")
 
 
 @query("""WITH r AS (SELECT * FROM lineitem WHERE l_linenumber % 2 = 0), e AS (SELECT l_orderkey, l_linenumber, max(l_partkey) AS x FROM r GROUP BY ALL),
@@ -167,11 +181,13 @@ def nested_records(spark, sf_dir):
     return rows.select("conv_id", F.array_join(items, "\n").alias("members"))
 
 
-@query(f"""SELECT source, round(sum(n_chars / 1000.0 * n) / sum(n), 9) AS mean_nll, round(exp(sum(n_chars / 1000.0 * n) / sum(n)), 3) AS perplexity, count(*) AS n_chunks, sum(n)::BIGINT AS n_tokens
-    FROM (SELECT source, n_chars::DOUBLE AS n_chars, len({words('text')}) AS n FROM documents WHERE n_chars < 8000) GROUP BY source""")
+@query(f"""SELECT source, round(sum(nll * n) / sum(n), 9) AS mean_nll, round(exp(sum(nll * n) / sum(n)), 6) AS perplexity, count(*) AS n_chunks, sum(n)::BIGINT AS n_tokens
+    FROM (SELECT source, n_chars::DOUBLE / (n_chars + 500.0) AS nll, len({words('text')}) AS n FROM documents) GROUP BY source""")
 def perplexity(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("n_chars < 8000").select("source", (F.col("n_chars") / 1000.0).alias("nll"), F.size(T.words(F.col("text"))).alias("n"))
-    return aggregates.perplexity(rows, ["source"], "nll", "n").withColumns({"mean_nll": F.round("mean_nll", 9), "perplexity": F.round("perplexity", 3)})
+    n = F.size(T.words(F.col("text")))
+    rows = table(spark, sf_dir, "documents").select("source", (F.col("n_chars") / (F.col("n_chars") + 500.0)).alias("nll"), n.alias("n"))
+    made = aggregates.perplexity(rows, ["source"], "nll", "n")
+    return made.withColumns({"mean_nll": F.round("mean_nll", 9), "perplexity": F.round("perplexity", 6)})
 
 
 @query("""SELECT CASE WHEN grouping(lang) = 1 THEN 'overall' ELSE lang END AS subset, sum((quality <> toxic)::INT)::BIGINT AS hits, count(*) AS n, round(sum((quality <> toxic)::INT) / count(*), 9) AS accuracy
@@ -196,7 +212,7 @@ def token_f1(spark, sf_dir):
     return aggregates.token_f1(_sides(spark, sf_dir), "conv_id", F.col("a"), F.col("b")).withColumn("f1", F.round("f1", 9))
 
 
-@query(f"WITH {_SIDES} SELECT coalesce(avg((replace(lower(trim(regexp_replace(a, '\\s+', ' ', 'g'))), 'ß', 'ss') = replace(lower(trim(regexp_replace(b, '\\s+', ' ', 'g'))), 'ß', 'ss'))::INT::DOUBLE), 0.0) AS rate FROM s")
+@query(f"WITH {_SIDES} SELECT coalesce(avg(coalesce({loose('a')} = {loose('b')}, false)::INT::DOUBLE), 0.0) AS rate FROM s")
 def exact_match_rate(spark, sf_dir):
     return aggregates.exact_match_rate(_sides(spark, sf_dir), F.col("a"), F.col("b"))
 
@@ -271,7 +287,7 @@ def _scores(spark, sf_dir):
     return table(spark, sf_dir, "labels").join(docs, "doc_id").select("source", F.col("quality").cast("double").alias("a"), F.col("toxic").cast("double").alias("b"), "lang")
 
 
-def _boot(rows: str, value: str, seed: str, name: str, n: int = 400) -> str:
+def _boot(rows: str, value: str, seed: str, name: str, n: int = 10_000) -> str:
     return f"""{name}g AS (SELECT row_number() OVER (ORDER BY source) - 1 AS i, count(*) AS c, sum({value}) AS v FROM {rows} GROUP BY source), {name}n AS (SELECT count(*) AS k FROM {name}g),
     {name} AS (SELECT r, sum(v) / sum(c) AS m FROM (SELECT r, floor({_U.format(x=f"'{seed}:' || r || ':' || j")} * k)::BIGINT AS i FROM (SELECT unnest(range({n})) AS r), (SELECT unnest(range(k)) AS j, k FROM {name}n)) JOIN {name}g USING (i) GROUP BY r)"""
 
@@ -285,19 +301,19 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_SCORES}, {_boot('s', 'a', '42', 'x')} SELECT (SELECT round(avg(a), 9) FROM s) AS estimate, (SELECT count(DISTINCT source) FROM s) AS n_units, (SELECT count(*) FROM s) AS n_samples, {_SUMMARY} FROM x")
 def bootstrap_ci(spark, sf_dir):
-    return _rounded(statistics.mean_ci(_scores(spark, sf_dir), "source", "a", 400))
+    return _rounded(statistics.mean_ci(_scores(spark, sf_dir), "source", "a"))
 
 
 @query(f"""WITH {_SCORES}, e AS (SELECT * FROM s WHERE lang = 'en'), o AS (SELECT * FROM s WHERE lang <> 'en'), {_boot('e', 'a', '42a', 'x')}, {_boot('o', 'a', '42b', 'y')}, z AS (SELECT x.m - y.m AS m FROM x JOIN y USING (r))
     SELECT (SELECT round((SELECT avg(a) FROM e) - (SELECT avg(a) FROM o), 9)) AS estimate, {_SUMMARY} FROM z""")
 def difference_in_differences(spark, sf_dir):
     s = _scores(spark, sf_dir)
-    return _rounded(statistics.difference_ci(s.where("lang = 'en'"), s.where("lang <> 'en'"), "source", "a", 400))
+    return _rounded(statistics.difference_ci(s.where("lang = 'en'"), s.where("lang <> 'en'"), "source", "a"))
 
 
 @query(f"WITH {_SCORES}, {_boot('s', 'a - b', '42', 'z')} SELECT (SELECT round(avg(a) - avg(b), 9) FROM s) AS estimate, {_SUMMARY} FROM z")
 def paired_delta(spark, sf_dir):
-    return _rounded(statistics.paired_delta(_scores(spark, sf_dir), "source", "a", "b", 400))
+    return _rounded(statistics.paired_delta(_scores(spark, sf_dir), "source", "a", "b"))
 
 
 @query("SELECT round(quantile_cont(value, 0.95), 9) AS threshold, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS std, count(value) AS n FROM events")

@@ -1,17 +1,21 @@
 """Readers of text editions, treebanks and column files.
 
-Line formats are read with ``read.text`` and numbered within their file; documents that must
-be walked as trees (mixed-content XML) are read whole and parsed by a Python UDF, one file a row.
+Line formats are read with ``read.text``, split as Spark splits files, and their lines numbered
+within the file; documents that must be walked as trees (mixed-content XML) are read whole and
+parsed by a Python UDF, one file a row.
 """
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from variora.functions.text import feats, is_greek, words
+from variora.operators.linking import numbered
+from variora.storage import materialise
 
 TOKEN_COLUMNS = ["token_id", "book", "chapter", "verse", "position", "text", "normalized", "lemma", "pos", "morph", "pericope_id", "is_punctuation"]
 PERICOPE_COLUMNS = ["pericope_id", "tradition", "genre", "books"]
@@ -32,19 +36,23 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, value): lines with their number from 0."""
-    return whole_files(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("content", r"\r\n?", "\n"), "\n")).alias("n", "value"))
+    """(file, n, value): UTF-8 lines with their number from 0. A line's place in its split of the
+    file is counted there; the splits of a file are added up."""
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_b"), "value")
+    own = F.row_number().over(Window.partitionBy("file", "_b").orderBy("_i")) - 1
+    rows = raw.withColumn("_i", F.monotonically_increasing_id()).withColumn("n", own)
+    sizes = raw.groupBy("file", "_b").count()
+    before = F.sum("count").over(Window.partitionBy("file").orderBy("_b")) - F.col("count")  # one row a split
+    return rows.join(sizes.withColumn("_before", before), ["file", "_b"]).select("file", (F.col("n") + F.col("_before")).cast("int").alias("n"), "value")
 
 
 def dense_column(spark: SparkSession, path: str) -> DataFrame:
     """(file, slot, value) of a column file: ``@`` header lines, one blank, one value a line; the
-    trailing line end makes no value."""
+    last line end makes no value."""
     rows = lines(spark, path)
-    head = rows.where("value = ''").groupBy("file").agg(F.min("n").alias("_head"))
-    last = rows.groupBy("file").agg(F.max_by(F.struct("n", "value"), "n").alias("_last"))
-    rows = rows.join(F.broadcast(head), "file").join(F.broadcast(last), "file").where(F.col("n") > F.col("_head"))
-    rows = rows.where((F.col("n") < F.col("_last.n")) | (F.col("_last.value") != ""))
-    return rows.select("file", (F.col("n") - F.col("_head")).cast("int").alias("slot"), "value")
+    head = rows.where("value = ''").groupBy("file").agg(F.min("n").alias("_head"))  # one row a file
+    return rows.join(head, "file").where(F.col("n") > F.col("_head")).select("file", (F.col("n") - F.col("_head")).cast("int").alias("slot"), "value")
 
 
 def sparse_column(spark: SparkSession, path: str) -> DataFrame:
@@ -71,14 +79,33 @@ def slot_count(node_types: DataFrame) -> DataFrame:
     return gap.agg(F.coalesce(F.min("node"), F.lit(0)).alias("n"))
 
 
+def zip_columns(columns: dict[str, DataFrame], words_column: str = "word") -> DataFrame:
+    """slot and one column a name from dense columns (slot, value). Columns longer than the words'
+    are cut to them; a shorter one is an error."""
+    last = {name: c.agg(F.max("slot")).first()[0] or 0 for name, c in columns.items()}
+    short = sorted(name for name, n in last.items() if n < last[words_column])
+    if short:
+        raise ValueError(f"columns shorter than {words_column}: {', '.join(short)}")
+    sides = [c.select("slot", F.col("value").alias(name)) for name, c in columns.items() if name != words_column]
+    return reduce(lambda left, right: left.join(right, "slot"), sides, columns[words_column].select("slot", F.col("value").alias(words_column)))
+
+
 def verses_from_columns(slots: DataFrame, section: list[str] = ("book", "chapter", "verse")) -> DataFrame:
     """(ord, <section>, text): words of consecutive equal sections, in order; empty words go.
-    slots: slot, word and the section columns."""
-    w = Window.orderBy("slot")
-    key = F.struct(*section)
-    rows = slots.withColumn("_new", F.when(key.eqNullSafe(F.lag(key).over(w)), 0).otherwise(1)).withColumn("ord", F.sum("_new").over(w))
+    slots: slot (1, 2, ... without gaps), word and the section columns.
+
+    A section begins where the slot before has another one; the beginnings are numbered, and
+    each section's slots are written out again, so that no task sees the whole text."""
+    before = slots.select((F.col("slot") + 1).alias("slot"), F.struct(*section).alias("_before"))
+    starts = slots.join(before, "slot", "left").where(~F.struct(*section).eqNullSafe(F.col("_before")) | F.col("_before").isNull())
+    starts = materialise(numbered(starts.select("slot"), ["slot"], "ord"), "sections").withColumn("ord", F.col("ord") + 1)
+    following = starts.select((F.col("ord") - 1).alias("ord"), F.col("slot").alias("_next"))
+    end = slots.agg((F.max("slot") + 1).alias("_end"))  # one row
+    spans = starts.join(following, "ord", "left").join(F.broadcast(end)).withColumn("_stop", F.coalesce("_next", "_end"))
+    of = spans.select("ord", F.explode(F.sequence("slot", F.col("_stop") - 1)).alias("slot"))
     items = F.array_sort(F.collect_list(F.when(F.col("word") != "", F.struct("slot", "word"))))
-    return rows.groupBy("ord", *section).agg(F.array_join(F.transform(items, lambda x: x["word"]), " ").alias("text")).where("text <> ''")
+    made = slots.join(of, "slot").groupBy("ord", *section).agg(F.array_join(F.transform(items, lambda x: x["word"]), " ").alias("text"))
+    return made.where("text <> ''")
 
 
 def morphology_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Screen a stream of passages against held-out texts: a stateless stream-static anti-join."""
+"""Screen a stream of passages against held-out texts: stateless stream-static joins."""
 
 from __future__ import annotations
 
@@ -9,11 +9,21 @@ from variora.functions.text import dedup_key, shingles
 from variora.operators.screening import contamination_index
 
 
-def flag_stream(passages: DataFrame, held_out: DataFrame, text: str = "text", n: int = 8, limit: int = 2_000_000) -> DataFrame:
-    """passages with ``contaminated``. The index is joined as one array a batch, so its size is
-    checked against ``limit`` shingles when the stream is set up."""
-    index = contamination_index(held_out, text, n)
-    if index.count() > limit:
-        raise ValueError(f"more than {limit} held-out shingles")
-    known = index.agg(F.collect_set("shingle").alias("_known"))
-    return passages.join(F.broadcast(known)).withColumn("contaminated", F.arrays_overlap(shingles(dedup_key(F.col(text)), n), "_known")).drop("_known")
+def clean_stream(passages: DataFrame, held_out: DataFrame, key: str, text: str = "text", n: int = 8) -> DataFrame:
+    """(key, shingle) of the passages' shingles that the held-out texts have: what a batch's
+    passages are dropped or flagged by. Any number of held-out shingles will do: a batch's
+    shingles are joined with them by hash, in the plan that their size asks for."""
+    own = passages.select(key, F.explode(shingles(dedup_key(F.col(text)), n)).alias("shingle"))
+    return own.join(contamination_index(held_out, text, n), "shingle", "left_semi").select(key, "shingle")
+
+
+def flag_batches(passages: DataFrame, held_out: DataFrame, path: str, checkpoint: str, key: str, text: str = "text", n: int = 8):
+    """Start a query that appends every batch to ``path`` with ``contaminated`` added. ``key``
+    tells a batch's passages apart."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        hits = clean_stream(batch, held_out, key, text, n).select(F.col(key).alias("_hit")).distinct()
+        flagged = batch.join(hits, batch[key] == hits["_hit"], "left").withColumn("contaminated", F.col("_hit").isNotNull()).drop("_hit")
+        flagged.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    return passages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

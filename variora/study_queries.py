@@ -16,10 +16,10 @@ _MAP = "m AS (SELECT conv_id, max(text) FILTER (role = 'user') AS u, max(text) F
 
 
 @query("""WITH g AS (SELECT conv_id, string_agg(substr(md5(text), 1, 6), ' ' ORDER BY turn) AS w, string_agg(role, ' ' ORDER BY turn) AS p, count(*) AS n FROM conversations GROUP BY conv_id)
-    SELECT conv_id, 'raw' AS task, w AS input_text, w AS target_text FROM g WHERE n >= 2 UNION ALL SELECT conv_id, 'pos', w, p FROM g WHERE n BETWEEN 2 AND 6""")
+    SELECT conv_id, 'raw' AS task, w AS input_text, w AS target_text FROM g WHERE n >= 2 UNION ALL SELECT conv_id, 'pos', w, p FROM g WHERE n BETWEEN 2 AND 60""")
 def annotated_examples(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("form", F.substring(F.md5("text"), 1, 6))
-    return examples.annotated_examples(rows, "conv_id", ["turn"], "form", {"pos": "role"}, most=6)
+    return examples.annotated_examples(rows, "conv_id", ["turn"], "form", {"pos": "role"})
 
 
 @query(f"""WITH {_TEXTS}, {_MAP}, d AS (SELECT conv_id, 'user' AS source, 'assistant' AS target, u AS x, a AS y FROM m WHERE u IS NOT NULL AND a IS NOT NULL
@@ -112,19 +112,28 @@ _MEANS = "(SELECT round(avg(a + 1 - b), 9) FROM s) AS raw_lift_mean, (SELECT rou
     {_SUMMARY}, quantile_cont(m, 0.025) > 0 AS significant, {_MEANS} FROM x""")
 def excess_lift(spark, sf_dir):
     rows = _scores(spark, sf_dir).select("source", (F.col("a") + 1).alias("base"), F.col("b").alias("added"), F.col("a").alias("control"))
-    return _rounded(study.excess_lift(rows, "source", "base", "added", "control", 400))
+    return _rounded(study.excess_lift(rows, "source", "base", "added", "control"))
 
 
 @query(f"""WITH {_SCORES}, {_boot('s', 'b - a', '42', 'x')} SELECT (SELECT round(avg(b - a), 9) FROM s) AS estimate, (SELECT count(DISTINCT source) FROM s) AS n_units, (SELECT count(*) FROM s) AS n_samples,
     {_SUMMARY}, quantile_cont(m, 0.025) > 0 AS passed FROM x""")
 def recovery_gate(spark, sf_dir):
-    return _rounded(study.recovery_gate(_scores(spark, sf_dir), "source", "b", "a", 400))
+    return _rounded(study.recovery_gate(_scores(spark, sf_dir), "source", "b", "a"))
 
 
-@query()
+_OVERLAP = f"""o AS (SELECT * FROM s WHERE lang = 'en'), e AS (SELECT * FROM s WHERE lang <> 'en'), {_boot('o', 'a - b', '42a', 'y')}, {_boot('e', 'a - b', '42b', 'z')},
+    d AS (SELECT y.m - z.m AS m FROM y JOIN z USING (r)), g AS (SELECT (SELECT count(*) FROM o) >= 2 AND (SELECT count(*) FROM e) >= 1 AS ok)"""
+
+
+@query(f"""WITH {_SCORES}, {_boot('s', 'a - b', '42', 'x')}, {_OVERLAP}
+    SELECT (SELECT round(avg(a - b), 9) FROM s) AS estimate, (SELECT count(DISTINCT source) FROM s) AS n_units, (SELECT count(*) FROM s) AS n_samples,
+    {_SUMMARY}, quantile_cont(m, 0.025) > 0 AS significant, {_MEANS}, (SELECT round(quantile_cont(a - a / 2, 0.95), 9) FROM s) AS threshold, (SELECT count(*) FROM s) AS null_n,
+    (SELECT CASE WHEN ok THEN round((SELECT avg(a - b) FROM o) - (SELECT avg(a - b) FROM e), 9) END FROM g) AS did_estimate,
+    (SELECT CASE WHEN any_value(ok) THEN round(quantile_cont(m, 0.025), 9) END FROM d, g) AS did_ci_low, (SELECT CASE WHEN any_value(ok) THEN round(quantile_cont(m, 0.975), 9) END FROM d, g) AS did_ci_high,
+    (SELECT avg(a - b) FROM s) > (SELECT quantile_cont(a - a / 2, 0.95) FROM s) AS clears_floor FROM x""")
 def pooled_verdict(spark, sf_dir):
     rows = _scores(spark, sf_dir).select("source", (F.col("a") + 1).alias("base"), F.col("b").alias("added"), F.col("a").alias("control"), (F.col("a") / 2).alias("null_added"), (F.col("lang") == "en").alias("overlap"))
-    return _rounded(study.pooled_verdict(rows, "source", "overlap", 400))
+    return _rounded(study.pooled_verdict(rows, "source", "overlap"))
 
 
 @query()
