@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from variora import study_queries  # noqa: F401  (adds its queries)
+from variora import corpus_queries, source_queries, study_queries  # noqa: F401  (add their queries to the core ones)
 from variora.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

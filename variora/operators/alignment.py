@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Fixed values.
 MATCH, MISMATCH, OPEN, EXTEND = 2.5, -100.0, -5.0, -0.5
 
 
@@ -48,7 +49,21 @@ def gotoh(a: list, b: list) -> list[tuple[int | None, int | None]]:
             out.append((i, None))
             came = [pair[i, j] + OPEN, left[i, j] + OPEN, up[i, j] + EXTEND]
             state = int(np.argmin(np.abs(np.array(came) - here)))
-    return out[::-1]
+    return gaps_in_order(out[::-1])
+
+
+def gaps_in_order(pairs: list[tuple[int | None, int | None]]) -> list[tuple[int | None, int | None]]:
+    """Between two pairs, gaps in ``a`` come before gaps in ``b``; after the last pair, the other
+    way round."""
+    out: list = []
+    gaps: tuple[list, list] = ([], [])
+    for i, j in pairs:
+        if i is not None and j is not None:
+            out += [*gaps[0], *gaps[1], (i, j)]
+            gaps = ([], [])
+        else:
+            gaps[0 if i is None else 1].append((i, j))
+    return [*out, *gaps[1], *gaps[0]]
 
 
 def align(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -62,9 +77,19 @@ def align(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return rows.select(*keys, run(a, b).alias("pairs"))
 
 
-def alignment_score(aligned: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
-    """(keys, n_aligned, n_gaps, match_rate); empty tokens never match, the rate's denominator
-    is 1 at least. aligned: keys, pairs and the two arrays."""
+def alignment_score(aligned: DataFrame, keys: list[str], fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """(keys, n_aligned, n_gaps_a, n_gaps_b, <field>_match_rate): aligned: keys, pairs and two arrays
+    a field. Empty values never match; a rate's denominator is 1 at least."""
     both = F.filter("pairs", lambda p: p["idx_a"].isNotNull() & p["idx_b"].isNotNull())
-    same = F.filter(both, lambda p: (F.get(F.col(a), p["idx_a"]) == F.get(F.col(b), p["idx_b"])) & (F.get(F.col(a), p["idx_a"]) != ""))
-    return aligned.select(*keys, F.size(both).alias("n_aligned"), (F.size("pairs") - F.size(both)).alias("n_gaps"), (F.size(same) / F.greatest(F.lit(1), F.size(both))).alias("match_rate"))
+
+    def rate(a, b):
+        one, two = (lambda p: F.get(F.col(a), p["idx_a"])), (lambda p: F.get(F.col(b), p["idx_b"]))
+        same = F.filter(both, lambda p: (one(p) == two(p)) & (one(p) != ""))
+        return F.size(same) / F.greatest(F.lit(1), F.size(both))
+
+    def missing(side):
+        return F.size(F.filter("pairs", lambda p: p[f"idx_{side}"].isNull()))
+
+    gaps = {f"n_gaps_{x}": missing(x) for x in "ab"}
+    rates = [rate(a, b).alias(f"{name}_match_rate") for name, (a, b) in fields.items()]
+    return aligned.select(*keys, F.size(both).alias("n_aligned"), *[c.alias(n) for n, c in gaps.items()], *rates)

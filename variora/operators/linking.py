@@ -8,6 +8,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def merge_with_fallback(left: DataFrame, right: DataFrame, keys: list[str], order: str, fallback: list[str], value: str) -> DataFrame:
@@ -125,12 +126,18 @@ def numbered(rows: DataFrame, order: list[str], name: str = "_n", parts: int | N
     return placed.withColumn(name, (own + F.element_at(F.lit(before), F.col("_p") + 1) - 1).cast("long")).drop("_p")
 
 
+def _literal(value, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+    return F.lit(value).cast(kind)
+
+
 def _part(key: Column, cuts: list[tuple], schema) -> Column:
     """How many of the sorted ``cuts`` are at or before a key, by comparing first with every
     tenth or so and then with those between two of them."""
     if not cuts:
         return F.lit(0)
-    literal = lambda cut: F.struct(*[F.lit(v).cast(f.dataType).alias(f"k{i}") for i, (v, f) in enumerate(zip(cut, schema))])
+    literal = lambda cut: F.struct(*[_literal(v, f.dataType).alias(f"k{i}") for i, (v, f) in enumerate(zip(cut, schema))])
     step = max(1, int(len(cuts) ** 0.5))
     at_or_before = lambda xs: F.size(F.filter(xs, lambda x: x <= key))
     coarse = at_or_before(F.array(*[literal(c) for c in cuts[::step]]))

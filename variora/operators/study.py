@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from variora.operators.statistics import difference_ci, mean_ci
+from variora.operators.statistics import difference_ci, lift_power, mean_ci, minimum_effect
 
 
 def member_counts(rows: DataFrame, key: str, member: str, members: list[str]) -> DataFrame:
@@ -119,7 +119,12 @@ def epoch_coverage(pools: DataFrame, size: str, weight: str, drawn: int) -> Data
     return full.join(F.broadcast(total)).withColumn("epochs", drawn * F.col(weight) / F.col("_t") / F.col(size)).drop("_t")
 
 
-def report_markdown(title: str, rows: DataFrame) -> str:
-    """A small report table as Markdown; for one-row verdicts and censuses, not for data."""
-    lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "-|" * len(rows.columns)]
-    return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect()]])
+def power_report(spark, taus: list[float], effects: list[float], lift: list[float], overlap: list[float], rest: list[float], sims: int = 2_000, draws: int = 800, target: float = 0.8) -> DataFrame:
+    """(tau, sample, effect): the smallest effect that is found with the target's power, for each
+    spread between units and for the lift and the difference; infinite where none is."""
+    out = None
+    for tau in taus:
+        for name, power in (("lift", lift_power(spark, effects, lift, tau, sims, draws)), ("difference", difference_power(spark, effects, overlap, rest, tau, sims, draws))):
+            part = minimum_effect(power, target).select(F.lit(tau).alias("tau"), F.lit(name).alias("sample"), "effect")
+            out = part if out is None else out.unionAll(part)
+    return out

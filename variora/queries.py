@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variora.functions import text as T
-from variora.operators import aggregates, alignment, linking, order, sampling, screening, statistics
+from variora.operators import aggregates, alignment, evaluation, linking, order, pools, sampling, screening, statistics
 from variora.plans import reader
 
 QUERIES: dict = {}
@@ -323,16 +323,15 @@ def null_threshold(spark, sf_dir):
 
 @query("""SELECT user_id, round(gap, 9) AS gap, gap > 0.25 AS flagged FROM (SELECT user_id, (avg(value) FILTER (event_type = 'purchase') - avg(value) FILTER (event_type = 'view')) / 100.0 AS gap FROM events GROUP BY user_id) WHERE gap IS NOT NULL""")
 def memorisation_gap(spark, sf_dir):
-    mean = lambda t: F.avg(F.when(F.col("event_type") == t, F.col("value")))
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(((mean("purchase") - mean("view")) / 100.0).alias("gap")).where("gap is not null")
-    none = F.lit(None).cast("double")
-    return rows.select("user_id", F.round("gap", 9).alias("gap"), statistics.contamination_flag(F.col("gap"), none, none).alias("flagged"))
+    of = lambda t: F.when(F.col("event_type") == t, F.col("value") / 100.0)
+    rows = evaluation.memorisation_gap(table(spark, sf_dir, "events"), "user_id", of("purchase"), of("view"))
+    return rows.where("gap is not null").withColumn("gap", F.round("gap", 9))
 
 
 @query("""SELECT o_orderpriority AS task, count(*) AS n, count(*) FILTER (o_totalprice > 200000 OR o_custkey > 1000) AS dropped FROM orders GROUP BY 1""")
 def length_filter_report(spark, sf_dir):
-    over = (F.col("o_totalprice") > 200000) | (F.col("o_custkey") > 1000)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("task")).agg(F.count("*").alias("n"), F.count_if(over).alias("dropped"))
+    rows = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "task")
+    return pools.overlong_report(rows, 1000, F.col("o_totalprice") / 200, F.col("o_custkey"), ["none"])
 
 
 @query("SELECT DISTINCT lang FROM documents EXCEPT SELECT DISTINCT lang FROM documents WHERE source = 'src1' AND doc_id < 100")
@@ -364,8 +363,9 @@ def tags_and_json(spark, sf_dir):
 @query()
 def aligned_turns(spark, sf_dir):
     rows = _sides(spark, sf_dir).where("a is not null and b is not null").select("conv_id", T.words(T.alignment_key(F.col("a"))).alias("a"), T.words(T.alignment_key(F.col("b"))).alias("b"))
-    pairs = alignment.align(rows, ["conv_id", "a", "b"], "a", "b")
-    return alignment.alignment_score(pairs, ["conv_id"])
+    size = lambda x: F.transform(x, lambda w: F.length(w).cast("string"))
+    pairs = alignment.align(rows, ["conv_id", "a", "b"], "a", "b").withColumns({"x": size("a"), "y": size("b")})
+    return alignment.alignment_score(pairs, ["conv_id"], {"word": ("a", "b"), "size": ("x", "y")})
 
 
 @query()
