@@ -9,6 +9,7 @@ from variora.functions.text import strip_accents
 from variora.operators import linking
 from variora.operators.aggregates import classify, harvest
 from variora.operators.alignment import align
+from variora.operators.sampling import hash_order
 
 # Traditions by the witnesses that hold a passage, the first that fits.
 WITNESSES = ["Matthew", "Mark", "Luke"]
@@ -196,3 +197,21 @@ def triple_ids(units: DataFrame, key: str, only: DataFrame | None = None) -> Dat
 
 def group_ids(examples: DataFrame, key: str) -> DataFrame:
     return examples.select(key)
+
+
+def corpus_sizes(tokens: DataFrame, pericopes: DataFrame) -> DataFrame:
+    return tokens.agg(F.count("*").alias("n_tokens")).join(pericopes.agg(F.count("*").alias("n_pericopes")))
+
+
+def corpus_report(tokens: DataFrame, pericopes: DataFrame, pairs: DataFrame, tokens_between: tuple[int, int] = (45_000, 52_000), least_pericopes: int = 100, least_pairs: int = 50,
+                  least_match: float = 0.70, sampled: int = 10) -> DataFrame:
+    """One row of booleans that say whether a corpus is fit for use. pericopes: pericope_id,
+    tradition; pairs: pericope_id, lemma_match_rate. The mean match rate is that of the pairs of
+    ``sampled`` passages, the first by a hash of their ids."""
+    sizes = corpus_sizes(tokens, pericopes).select(F.col("n_tokens").between(*tokens_between).alias("tokens_ok"), (F.col("n_pericopes") >= least_pericopes).alias("pericopes_ok"))
+    kinds = pericopes.agg((F.count_if(F.col("tradition") == "triple") > 0).alias("triples_ok"), (F.count_if(F.col("tradition") == "double") > 0).alias("doubles_ok"))
+    triples = pericopes.where("tradition = 'triple'").select("pericope_id")
+    enough = pairs.join(triples, "pericope_id", "left_semi").agg((F.count("*") >= least_pairs).alias("pairs_ok"))
+    few = pairs.select("pericope_id").distinct().orderBy(hash_order("pericope_id"), "pericope_id").limit(sampled)
+    match = pairs.join(few, "pericope_id", "left_semi").agg((F.coalesce(F.avg("lemma_match_rate"), F.lit(0.0)) >= least_match).alias("match_ok"))
+    return sizes.join(kinds).join(enough).join(match)  # rows of one each

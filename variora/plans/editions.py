@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from variora.functions.labels import code_label, pos_label
 from variora.functions.text import is_greek, words
 from variora.operators.aggregates import label_index
-from variora.operators.corpus import gloss_for, zip_features
+from variora.operators.corpus import gloss_for
 from variora.sources.readers import Features
+from variora.storage import materialise
 
 
 @dataclass(frozen=True)
@@ -50,13 +51,14 @@ def edition_words(features: Features, schema: Schema | None = None) -> DataFrame
     strong, after, ref): every word that has a book, a chapter and a verse. Only the features
     that the schema names are read."""
     schema = schema or detect(features)
-    slots = features.column("book").select("node", F.col("value").alias("book"))
-    for name in ("chapter", "verse"):
-        slots = slots.join(features.column(name).select("node", F.col("value").cast("int").alias(name)), "node")
     named = {"surface": schema.surface, "sp": schema.pos}
     named |= {part: features.first_present(getattr(schema, part)) for part in ("lemma", "gloss", "strong", "after")}
     named |= {f"_{k}": v for k, v in schema.features.items() if features.has(v)}
-    rows = zip_features(slots, {k: features.column(v) for k, v in named.items()})
+    read = features.columns(sorted({"book", "chapter", "verse", *named.values()}))
+    value = lambda c: F.coalesce(F.col(c), F.lit(""))
+    place = F.col("book").alias("book"), F.col("chapter").cast("int").alias("chapter"), F.col("verse").cast("int").alias("verse")
+    rows = read.where("book is not null and chapter is not null and verse is not null").select("node", *place, *[value(v).alias(k) for k, v in named.items()])
+    rows = materialise(rows, "edition")
     given = [F.struct(F.lit(k).alias("k"), F.col(f"_{k}").alias("v")) for k in schema.features if f"_{k}" in named]
     own = F.map_from_entries(F.filter(F.array(*given), lambda e: e["v"] != "")) if given else F.create_map().cast("map<string,string>")
     number = label_index(rows, "book", "node").select("book", F.col("index").cast("int").alias("book_number"))  # one row a book

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from variora.functions import text as T
-from variora.operators import aggregates, alignment, evaluation, linking, order, pools, sampling, screening, statistics
+from variora.operators import aggregates, alignment, corpus, evaluation, linking, order, pools, sampling, screening, statistics
 from variora.plans import reader
 
 QUERIES: dict = {}
@@ -373,9 +373,12 @@ def lift_power(spark, sf_dir):
     return statistics.lift_power(spark, [0.0, 0.1, 0.2, 0.4], [50.0] * 65, 0.2)
 
 
-@query("""SELECT (SELECT count(*) FROM documents) BETWEEN 100 AND 100000000 AS enough, (SELECT count(*) = count(DISTINCT doc_id) FROM documents) AS unique_ids, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) = 0 AS labels_known""")
+@query("""WITH f AS (SELECT doc_id FROM (SELECT DISTINCT doc_id FROM labels) ORDER BY md5('42:' || doc_id), doc_id LIMIT 10)
+    SELECT (SELECT count(*) FROM documents) BETWEEN 100 AND 100000000 AS tokens_ok, (SELECT count(*) FROM documents) >= 100 AS pericopes_ok, (SELECT count(*) FROM documents WHERE lang = 'en') > 0 AS triples_ok,
+    (SELECT count(*) FROM documents WHERE lang = 'fr') > 0 AS doubles_ok, (SELECT count(*) FROM labels JOIN documents USING (doc_id) WHERE lang = 'en') >= 50 AS pairs_ok,
+    (SELECT avg(quality) FROM labels WHERE doc_id IN (SELECT doc_id FROM f)) >= 0.7 AS match_ok""")
 def corpus_checks(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    sizes = docs.agg(F.count("*").between(100, 100_000_000).alias("enough"), (F.count("*") == F.countDistinct("doc_id")).alias("unique_ids"))
-    unknown = labels.join(docs.select("doc_id"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("labels_known"))
-    return sizes.join(unknown)
+    kinds = docs.select(F.col("doc_id").alias("pericope_id"), F.when(F.col("lang") == "en", "triple").when(F.col("lang") == "fr", "double").otherwise("other").alias("tradition"))
+    pairs = labels.select(F.col("doc_id").alias("pericope_id"), F.col("quality").cast("double").alias("lemma_match_rate"))
+    return corpus.corpus_report(docs, kinds, pairs, (100, 100_000_000))

@@ -40,7 +40,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("path").alias("file"), F.coalesce(utf8, F.decode("content", "ISO-8859-1")).alias("content"))
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, n, value): UTF-8 lines with their number from 0. A line's place in its split of the
     file is counted there; the splits of a file are added up."""
     raw = spark.read.option("recursiveFileLookup", True).text(path)
@@ -52,7 +52,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(sizes.withColumn("_before", before), ["file", "_b"]).select("file", (F.col("n") + F.col("_before")).cast("int").alias("n"), "value")
 
 
-def dense_column(spark: SparkSession, path: str) -> DataFrame:
+def dense_column(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, slot, value) of a column file: ``@`` header lines, one blank, one value a line; the
     last line end makes no value."""
     rows = lines(spark, path)
@@ -60,7 +60,7 @@ def dense_column(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(head, "file").where(F.col("n") > F.col("_head")).select("file", (F.col("n") - F.col("_head")).cast("int").alias("slot"), "value")
 
 
-def sparse_column(spark: SparkSession, path: str) -> DataFrame:
+def sparse_column(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, node, value) of a sparse column file: ``value`` (the next node), ``n<tab>value`` or
     ``n1-n2<tab>value``. An empty value takes its node but stores nothing."""
     rows = dense_column(spark, path)
@@ -136,12 +136,13 @@ def morphology_lines(spark: SparkSession, path: str) -> DataFrame:
     ``BBCCVV``, or ``ABBR c:v/p`` with the place's two parts as columns of their own. A verse's
     words are counted in file order unless the place says where a word stands."""
     rows = lines(spark, path).withColumn("c", words(F.col("value"))).where("size(c) >= 7 and not value like '#%'")
-    two = F.col("c")[1].rlike(r"^\d+:\d+(/\d+)?$")
-    code = place_code(F.when(two, F.concat_ws(" ", F.col("c")[0], F.col("c")[1])).otherwise(F.col("c")[0]))
+    one, other = F.get("c", F.lit(0)), F.get("c", F.lit(1))
+    two = other.rlike(r"^\d+:\d+(/\d+)?$")
+    code = place_code(F.when(two, F.concat_ws(" ", one, other)).otherwise(one))
     rest = F.when(two, F.slice("c", F.lit(3), F.size("c"))).otherwise(F.slice("c", F.lit(2), F.size("c")))
     rows = rows.withColumns({"_at": code, "_c": rest}).where("_at is not null and size(_c) >= 6")
     names = ("pos", "parsing", "text", "word", "normalized", "lemma")
-    rows = rows.select("file", "n", "_at.*", *[F.col("_c")[i].alias(x) for i, x in enumerate(names)], two.alias("_own"))
+    rows = rows.select("file", "n", "_at.*", *[F.get("_c", F.lit(i)).alias(x) for i, x in enumerate(names)], two.alias("_own"))
     count = F.row_number().over(Window.partitionBy("file", "book", "chapter", "verse").orderBy("n")) - 1
     return rows.withColumn("position", F.when(F.col("_own"), F.col("position")).otherwise(count)).select("file", "book", "chapter", "verse", "position", *names)
 
@@ -308,6 +309,12 @@ class Features:
             return self.spark.createDataFrame([], "node int, value string")
         return sparse_column(self.spark, f"{self.path}/{name}.tf").select("node", "value")
 
+    def columns(self, names: list[str]) -> DataFrame:
+        """node and one column a name, null where a node has no value: one scan of these files."""
+        paths = [f"{self.path}/{n}.tf" for n in names if self.has(n)]
+        rows = sparse_column(self.spark, paths).withColumn("_f", F.regexp_extract("file", r"([^/]*)\.tf$", 1))
+        return rows.groupBy("node").agg(*[F.max(F.when(F.col("_f") == n, F.col("value"))).alias(n) for n in names])
+
     def first_present(self, names: tuple[str, ...]) -> str:
         """The first of the names that is there, else the first."""
         return next((n for n in names if self.has(n)), names[0] if names else "")

@@ -6,7 +6,7 @@ import gzip
 import json
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The exported columns, and the names of split folders.
@@ -31,15 +31,11 @@ def write_splits(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
-def write_document(spark: SparkSession, document, path: str, zipped: bool = False) -> None:
-    """One small JSON document as a file, on any file system that Spark reads, put in place by a
-    rename. For reports and indexes, not for data."""
-    raw = json.dumps(document, ensure_ascii=False, indent=None if zipped else 2, default=str).encode()
-    raw = gzip.compress(raw, 9) if zipped else raw
+def write_bytes(spark: SparkSession, raw: bytes, path: str) -> None:
+    """One small file on any file system that Spark reads, put in place by a rename."""
     jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target, partial = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, path + ".partial"))
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    partial = jvm.org.apache.hadoop.fs.Path(path + ".partial")
     out = fs.create(partial, True)
     out.write(bytearray(raw))
     out.close()
@@ -48,6 +44,12 @@ def write_document(spark: SparkSession, document, path: str, zipped: bool = Fals
         raise OSError(f"can't write {path}")
 
 
+def write_document(spark: SparkSession, document, path: str, zipped: bool = False) -> None:
+    """One small JSON document as a file. For reports and indexes, not for data."""
+    raw = json.dumps(document, ensure_ascii=False, indent=None if zipped else 2, default=str).encode()
+    write_bytes(spark, gzip.compress(raw, 9) if zipped else raw, path)
+
+
 def write_corpus(tokens: DataFrame, pericopes: DataFrame, path: str) -> None:
     """Token and passage tables side by side; ``books`` as JSON, as other tools read it."""
     write_table(tokens, f"{path}/tokens.parquet")
@@ -111,7 +113,7 @@ def index_rows(words: DataFrame, book_order: str = "book_number") -> DataFrame:
     """(book, number, chapters MAP<chapter, MAP<verse, ARRAY<JSON word>>>) of a reader's words, one
     row a book; words as lists of surface, lemma, pos, features, gloss, strong, after."""
     word = F.to_json(F.array(*[F.to_json(F.col(c)) if c == "features" else F.col(c) for c in ("surface", "lemma", "pos", "features", "gloss", "strong", "after")]))
-    one = lambda key, value: F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), value))))
+    one = lambda key, value: F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), value)))
     verses = words.groupBy("book", "chapter", "verse").agg(F.min(book_order).alias("number"), F.array_sort(F.collect_list(F.struct("position", word.alias("w")))).alias("l"))
     verses = verses.select("book", "number", "chapter", "verse", F.transform("l", lambda x: x["w"]).alias("w"))
     chapters = verses.groupBy("book", "chapter").agg(F.min("number").alias("number"), one("verse", F.col("w")).alias("v"))
@@ -156,8 +158,3 @@ class JsonLines(logging.Formatter):
         if record.exc_info:
             said["exception"] = self.formatException(record.exc_info)
         return json.dumps(said, ensure_ascii=False, default=str)
-
-
-def split_column(split: Column) -> Column:
-    """The folder name of a split."""
-    return F.when(split == "val", "validation").otherwise(split)
