@@ -7,8 +7,6 @@ large rows, and each reduce task sorts plain integer arrays.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from variora.storage import materialise, shared_dir  # noqa: F401  (used through this module)
+
 #: Bytes of text that one vectorised step looks at; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -23,30 +23,10 @@ STEP_BYTES = 1 << 20
 # ---------------------------------------------------------------- shared storage
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where it is unset, a session on one machine (a
-    test) gets a new temporary one; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        folder = "file://" + tempfile.mkdtemp(prefix="variora-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 #: Writer options for rows of several MB: a page holds one of them, a row group a few.
 LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 
-def materialise(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/variora/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
