@@ -1,11 +1,15 @@
-"""Exact BM25 top-k search: sharded inverted index, block-max pruning, exact merge.
+"""Exact BM25 top-k search: sharded inverted index, block-max WAND, exact merge.
 
 Documents are indexed in shards that are written to the shared folder; global counts make the
 shards' scores comparable. A shard keeps the largest impact of each term in each block of
-BLOCK documents. For a query the blocks' bounds are summed first; blocks are then scored from
-the highest bound down until no bound reaches the k-th best score. A shard's documents lie in
-the order of their most frequent word and length, so that blocks are alike and bounds tight; a
-task carries each query's k best on to its next shard. Tasks' results are merged exactly.
+BLOCK documents, and all terms' blocks have the same ends, so that the cursors of a query's
+terms stand on one block together: its pivot is the next block, at or after the cursors, whose
+summed block maxima reach the k-th best score so far. Blocks before the pivot are skipped, the
+pivot's postings are scored, the k-th best score rises, and the cursors go on behind it. The
+few blocks with the largest sums are scored before the walk, so that it starts with a high k-th
+best score; a task also carries each query's k best on to its next shard. A shard's documents
+lie in the order of their most frequent word and length, so that blocks are alike and bounds
+tight. Tasks' results are merged exactly.
 Queries come in broadcast blocks of bounded size, each against all shards.
 """
 
@@ -30,6 +34,8 @@ TASK_SHARDS = 64
 #: Cells (word, block) of a shard's table of bounds; where BLOCK would make more, blocks are longer.
 CELLS = 4 << 20
 DIGITS = 6
+#: Blocks scored before the walk, and pivots that one step of it scores together.
+FIRST_BLOCKS, PIVOTS = 8, 16
 
 
 def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -116,16 +122,23 @@ class Shard:
     def top(self, at: np.ndarray, idf: np.ndarray, k: int, threshold: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k for terms ``at`` (in the shard) with these weights, of
         documents that score ``threshold`` at least."""
-        bound = idf @ self.bound[at]
-        order = np.argsort(-bound)
-        order = order[bound[order] > 0]
-        scores = np.zeros(len(self.ids))
-        best, done, take = np.zeros(0, np.int64), 0, 8
-        while done < len(order):
-            now = order[done : done + take]
-            now = now[bound[now] >= threshold - 10.0**-DIGITS]
-            if not len(now):
-                break
+        reach = idf @ self.bound[at]  # block-max sums
+        scores, best = np.zeros(len(self.ids)), np.zeros(0, np.int64)
+        cursor, primed = 0, False
+        while True:
+            least = max(threshold - 10.0**-DIGITS, 0.0)
+            if primed:
+                now = cursor + np.flatnonzero((reach[cursor:] > 0) & (reach[cursor:] >= least))[:PIVOTS]
+                if not len(now):
+                    break
+                cursor = int(now[-1]) + 1
+            else:
+                now = np.argpartition(-reach, FIRST_BLOCKS)[:FIRST_BLOCKS] if len(reach) > FIRST_BLOCKS else np.arange(len(reach))
+                now = now[(reach[now] > 0) & (reach[now] >= least)]
+                primed = True
+                if not len(now):
+                    break
+            reach[now] = 0.0
             cells = (at[:, None] * self.blocks + now).ravel()
             begin = self.begin[cells]
             size = self.begin[cells + 1] - begin
@@ -134,12 +147,11 @@ class Shard:
             scores += np.bincount(self.doc[postings], weight * self.impact[postings], len(scores))
             docs = (now[:, None] * self.size + np.arange(self.size)).ravel()
             docs = docs[docs < len(self.ids)]
-            best = np.concatenate([best, docs[scores[docs] > max(0.0, threshold - 10.0**-DIGITS)]])
+            best = np.concatenate([best, docs[scores[docs] > least]])
             rounded = np.round(scores[best], DIGITS)
             best = best[np.lexsort((self.ids[best], -rounded))[:k]]
             if len(best) == k:
                 threshold = max(threshold, scores[best].min())
-            done, take = done + take, take * 2
         return self.ids[best], np.round(scores[best], DIGITS)
 
 
@@ -148,8 +160,10 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
 
     A query's words count once each. Scores are rounded to DIGITS digits; ties go to the
     smaller id. Only documents that share a word are found, so empty queries have no rows.
-    Rows without id are neither found nor asked for. Sets the session's Arrow batches to
-    BATCH_BYTES.
+    Ids are integers (whatever casts to one; others end the job). Rows without id are neither
+    found nor asked for. Rows that share one are found, and asked for, each by its own text
+    under that id, and the best k are those of all of them together. Sets the session's Arrow
+    batches to BATCH_BYTES.
     """
     spark = documents.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
