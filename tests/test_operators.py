@@ -283,3 +283,13 @@ def test_ranges_hold_their_ends(spark):
     points = [("B", c, v) for c in range(0, 6) for v in (1, 2, 3, 5, 9, 29, 30, 99)]
     got = {(r.c, r.v): r.pid for r in linking.find_range(spark.createDataFrame(points, "k string, c int, v int"), ranges, ["k"], ("c", "v"), ("c1", "v1"), ("c2", "v2"), "pid", "pid").collect()}
     assert got == {(c, v): next((p for p, lo, hi in ((1, (1, 30), (3, 2)), (2, (2, 5), (2, 9))) if lo <= (c, v) <= hi), None) for _, c, v in points}
+
+
+def test_a_probe_learns_what_is_linear(spark):
+    from variora.operators.probe import linear_probe
+
+    draw = random.Random(3)
+    rows = [([draw.gauss(0, 1) for _ in range(4)],) for _ in range(300)]
+    made = spark.createDataFrame([(v, "ab"[v[0] + v[1] > 0]) for (v,) in rows], "v array<double>, l string")
+    r = linear_probe(made.limit(200), made.unionAll(spark.createDataFrame([([0.0] * 4, "new")] * 100, made.schema)), "v", "l").first()
+    assert r.n == 400 and 0.65 < r.accuracy <= 0.75

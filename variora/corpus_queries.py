@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from variora.functions import labels as L
 from variora.functions import scores as S
 from variora.functions import text as T
-from variora.operators import aggregates, corpus, evaluation, examples, linking, pools, sampling, statistics, study
+from variora.operators import aggregates, corpus, evaluation, examples, linking, pools, probe, sampling, statistics, study
 from variora.queries import _SCORES, _SIDES, _SUMMARY, _U, _boot, _rounded, _scores, _sides, query, table, words
 from variora.sources import readers
 
@@ -642,3 +642,9 @@ def task_pools(spark, sf_dir):
     rows, pairs = _four(spark, sf_dir)
     greek = rows.withColumn("form", F.when(F.col("position") == 0, "κἀγὼ").otherwise("λόγοι"))
     return pools.task_pools([greek], pairs, None).groupBy("task").agg(F.count("*").alias("n"))
+
+
+@query()
+def linear_probe(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("embedding")[0] > F.col("embedding")[1], "a").otherwise("b").alias("label"))
+    return probe.linear_probe(rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0"), "embedding", "label")
