@@ -109,3 +109,26 @@ def test_repeats_by_any_id_under_any_column_name(spark):
     assert found in either
     named = spark.createDataFrame([("b", a), ("a", a), ("c", b[:90])], "doc_id string, text string")
     assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(named, "digest").collect()} == {"a": 149, "b": 150, "c": 0}
+
+
+def test_items_in_several_blocks_give_the_same_leaks(spark, monkeypatch):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(30)]
+    docs = spark.createDataFrame([(i, f"before {t} after" if i % 2 else "before after") for i, t in items], "doc_id long, text string")
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, i) for i, _ in items if i % 2}
+    for name, value in (("HELD", decontaminate.HELD), ("BLOCK_ITEMS", 7), ("BLOCK_BYTES", 300)):
+        monkeypatch.setattr(decontaminate, name, value)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, asked).collect()} == want
+
+
+def test_queries_in_several_blocks_give_the_same_best(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 9))) for i in range(60)], "doc_id long, text string")
+    whole = sorted(map(tuple, bm25_search.search(docs, docs, 3).collect()))
+    monkeypatch.setattr(bm25_search, "QUERIES", 11)
+    assert sorted(map(tuple, bm25_search.search(docs, docs, 3).collect())) == whole and len(whole) == 180
+    monkeypatch.setattr(bm25_search, "QUERIES", 4_000)
+    for first, pivots in ((1, 1), (3, 2)):
+        monkeypatch.setattr(bm25_search, "FIRST_BLOCKS", first)
+        monkeypatch.setattr(bm25_search, "PIVOTS", pivots)
+        monkeypatch.setattr(bm25_search, "BLOCK", 4)
+        assert sorted(map(tuple, bm25_search.search(docs, docs, 3).collect())) == whole

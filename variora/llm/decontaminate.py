@@ -8,7 +8,8 @@ what is found. Where a document holds enough seeds close together, a bound that
 order of the words is taken, and what passes it is aligned locally with the item, so that
 edited and paraphrased copies score as far as they agree.
 
-Items are broadcast in blocks of BLOCK_ITEMS at most; documents are never shuffled.
+Items are broadcast in blocks of some BLOCK_BYTES of text and BLOCK_ITEMS items; each block
+takes two passes over the documents, which are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from variora.llm.common import Words, steps, text_buffer
 
-#: Items in one broadcast block, and seed words of a step of text that are held at once.
-BLOCK_ITEMS, HELD = 4_000, 4_000_000
+#: Items in one broadcast block and bytes of their text; seed words of a step of text that are
+#: held at once. Items are dealt by hash, so that blocks are alike; numbers of items fit 16 bits.
+BLOCK_ITEMS, BLOCK_BYTES, HELD = 20_000, 8 << 20, 4_000_000
 SEED_HITS = 4
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 MIN_SCORE = 0.4
@@ -189,7 +191,8 @@ def find_leaks(
     key = rows.schema[id_column].dataType.simpleString()
     items = benchmark.select(benchmark[item_id].alias("item"), F.coalesce(benchmark[item_text].cast("string"), F.lit("")).alias("text"))
     out_schema = f"`{id_column}` {key}, `{item_id}` {items.schema['item'].dataType.simpleString()}, score double, begin long, end long"
-    blocks = max(1, -(-items.count() // BLOCK_ITEMS))
+    size = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_ITEMS), -(-(size["bytes"] or 0) // BLOCK_BYTES))
     found = []
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
