@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from variora.functions.tags import lookup
-from variora.functions.text import alignment_key, is_greek, strip, strip_accents, strip_punctuation, words
+from variora.functions.text import alignment_key, is_greek, strip, strip_accents, words
 
 # Fixed values.
 POS_LABELS = {
@@ -135,7 +135,3 @@ def plan_digest(assignment: Column, n_folds: int, seed: str) -> Column:
     """``digest`` of a fold plan; assignment: MAP<id, fold>."""
     sorted_map = F.map_from_entries(F.array_sort(F.map_entries(assignment)))
     return F.sha2(F.concat(F.lit('{"assignment":'), F.to_json(sorted_map), F.lit(f',"n_folds":{n_folds},"seed":{json.dumps(seed)}}}')), 256)
-
-
-def strip_ends(x: Column) -> Column:
-    return strip_punctuation(x)

@@ -29,7 +29,10 @@ LEMMA_POS = {
     "δε": "C-", "γαρ": "C-", "ουν": "C-", "μεν": "C-", "αρα": "C-", "μεντοι": "C-", "διο": "C-", "δη": "X-", "αν": "X-", "γε": "X-",
     "ιδου": "X-", "αμην": "X-", "ναι": "X-", "κυρηναιος": "N-", "κορινθιος": "N-", "χηρα": "A-",
 }
-BOOKS = {"Matt": "Matthew", "Mt": "Matthew", "Matthew": "Matthew", "Mark": "Mark", "Mk": "Mark", "Marc": "Mark", "Luke": "Luke", "Lk": "Luke", "Luk": "Luke", "John": "John", "Jn": "John"}
+BOOKS = {
+    "Matt": "Matthew", "Mt": "Matthew", "Matthew": "Matthew", "Mark": "Mark", "Mk": "Mark", "Marc": "Mark", "Luke": "Luke", "Lk": "Luke",
+    "Luk": "Luke", "John": "John", "Jn": "John"
+}
 
 
 def lookup(x: Column, table: dict[str, str], otherwise: Column | None = None) -> Column:
@@ -55,4 +58,7 @@ def verse_span(ref: Column, books: dict[str, str] = BOOKS) -> Column:
     pattern = r"^\s*(\w+)\s+(\d+):(\d+)(?:-(\d+))?"
     part = lambda i: F.nullif(F.regexp_extract(ref, pattern, i), F.lit(""))
     at = lambda v: part(2).cast("int") * 1000 + v.cast("int")
-    return F.when(ref.rlike(pattern), F.struct(lookup(part(1), books, part(1)).alias("book"), at(part(3)).alias("first"), at(F.coalesce(part(4), part(3))).alias("last")))
+    return F.when(
+        ref.rlike(pattern),
+        F.struct(lookup(part(1), books, part(1)).alias("book"), at(part(3)).alias("first"), at(F.coalesce(part(4), part(3))).alias("last"))
+    )

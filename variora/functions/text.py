@@ -110,13 +110,21 @@ def parse_reference(x: Column) -> Column:
     null where it isn't a reference."""
     pattern = r"^\s*((?:[1-3]\s*)?[^\d:]+?)\s+(\d+)(?::(\d+)(?:\s*[-–]\s*(\d+))?)?\s*$"
     number = lambda i: F.nullif(F.regexp_extract(x, pattern, i), F.lit("")).cast("int")
-    return F.when(x.rlike(pattern), F.struct(F.regexp_extract(x, pattern, 1).alias("book"), number(2).alias("chapter"), number(3).alias("first"), F.coalesce(number(4), number(3)).alias("last")))
+    return F.when(
+        x.rlike(pattern),
+        F.struct(
+            F.regexp_extract(x, pattern, 1).alias("book"), number(2).alias("chapter"), number(3).alias("first"),
+            F.coalesce(number(4), number(3)).alias("last")
+        )
+    )
 
 
 def range_label(book: Column, c1: Column, v1: Column, c2: Column, v2: Column) -> Column:
     """``B c:v``, ``B c:v-v2`` or ``B c:v-c2:v2``."""
     start = F.concat(book, F.lit(" "), c1.cast("string"), F.lit(":"), v1.cast("string"))
-    end = F.when((c1 == c2) & (v1 == v2), F.lit("")).when(c1 == c2, F.concat(F.lit("-"), v2.cast("string"))).otherwise(F.concat(F.lit("-"), c2.cast("string"), F.lit(":"), v2.cast("string")))
+    end = F.when((c1 == c2) & (v1 == v2), F.lit("")).when(c1 == c2, F.concat(F.lit("-"), v2.cast("string"))).otherwise(
+        F.concat(F.lit("-"), c2.cast("string"), F.lit(":"), v2.cast("string"))
+    )
     return F.concat(start, end)
 
 

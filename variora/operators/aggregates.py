@@ -40,16 +40,23 @@ def perplexity(rows: DataFrame, by: list[str], nll: str, tokens: str) -> DataFra
 def pooled_accuracy(rows: DataFrame, subset: str, correct: Column) -> DataFrame:
     """Accuracy of each subset and over all rows: sums of numerators, not means of means."""
     rolled = rows.withColumn("_c", correct.cast("int")).rollup(subset).agg(F.sum("_c").alias("hits"), F.count("_c").alias("n"), F.grouping(subset).alias("_g"))
-    return rolled.select(F.when(F.col("_g") == 1, "overall").otherwise(F.col(subset)).alias("subset"), "hits", "n", (F.col("hits") / F.col("n")).alias("accuracy"))
+    return rolled.select(
+        F.when(F.col("_g") == 1, "overall").otherwise(F.col(subset)).alias("subset"), "hits", "n", (F.col("hits") / F.col("n")).alias("accuracy")
+    )
 
 
 def token_f1(rows: DataFrame, key: str, pred: Column, gold: Column, normalise=lambda x: x, empty: float = 1.0) -> DataFrame:
     """(key, f1) of word multisets; ``empty``: the score where both are empty."""
     sides = rows.select(key, F.lit(1).alias("p"), F.lit(0).alias("g"), F.explode_outer(words(normalise(pred))).alias("w"))
     sides = sides.unionAll(rows.select(key, F.lit(0).alias("p"), F.lit(1).alias("g"), F.explode_outer(words(normalise(gold))).alias("w")))
-    each = sides.groupBy(key, "w").agg(F.sum("p").alias("p"), F.sum("g").alias("g")).withColumns({c: F.when(F.col("w").isNull(), 0).otherwise(F.col(c)) for c in ("p", "g")})
+    each = sides.groupBy(key, "w").agg(F.sum("p").alias("p"), F.sum("g").alias("g")).withColumns(
+        {c: F.when(F.col("w").isNull(), 0).otherwise(F.col(c)) for c in ("p", "g")}
+    )
     total = each.groupBy(key).agg(F.sum(F.least("p", "g")).alias("c"), F.sum("p").alias("p"), F.sum("g").alias("g"))
-    return total.select(key, F.when((F.col("p") == 0) & (F.col("g") == 0), empty).when(F.col("c") == 0, 0.0).otherwise(2.0 * F.col("c") / (F.col("p") + F.col("g"))).alias("f1"))
+    return total.select(
+        key,
+        F.when((F.col("p") == 0) & (F.col("g") == 0), empty).when(F.col("c") == 0, 0.0).otherwise(2.0 * F.col("c") / (F.col("p") + F.col("g"))).alias("f1")
+    )
 
 
 def exact_match_rate(rows: DataFrame, pred: Column, gold: Column, normalise=loose) -> DataFrame:

@@ -73,7 +73,10 @@ def parallel_pairs(texts: DataFrame, alignments: DataFrame, key: str, member: st
     alignment filed as (b, a) is turned round, one that is missing is empty."""
     pairs = linking.unordered_pairs(texts.where(F.length(value) > 0), key, member, value)
     flipped = F.transform("pairs", lambda p: F.struct(p["idx_b"].alias("idx_a"), p["idx_a"].alias("idx_b")))
-    either = alignments.select(key, F.least("book_a", "book_b").alias("a"), F.greatest("book_a", "book_b").alias("b"), F.col("book_a") > F.col("book_b"), F.when(F.col("book_a") > F.col("book_b"), flipped).otherwise(F.col("pairs")).alias("pairs"))
+    either = alignments.select(
+        key, F.least("book_a", "book_b").alias("a"), F.greatest("book_a", "book_b").alias("b"), F.col("book_a") > F.col("book_b"),
+        F.when(F.col("book_a") > F.col("book_b"), flipped).otherwise(F.col("pairs")).alias("pairs")
+    )
     either = either.toDF(key, "a", "b", "_turned", "pairs").groupBy(key, "a", "b").agg(F.min_by("pairs", "_turned").alias("pairs"))
     joined = pairs.join(either, [key, "a", "b"], "left")
     return joined.withColumn("pairs", F.coalesce("pairs", F.slice(F.array(F.struct(F.lit(0).alias("idx_a"), F.lit(0).alias("idx_b"))), 1, 0)))
@@ -208,8 +211,12 @@ def corpus_report(tokens: DataFrame, pericopes: DataFrame, pairs: DataFrame, tok
     """One row of booleans that say whether a corpus is fit for use. pericopes: pericope_id,
     tradition; pairs: pericope_id, lemma_match_rate. The mean match rate is that of the pairs of
     ``sampled`` passages, the first by a hash of their ids."""
-    sizes = corpus_sizes(tokens, pericopes).select(F.col("n_tokens").between(*tokens_between).alias("tokens_ok"), (F.col("n_pericopes") >= least_pericopes).alias("pericopes_ok"))
-    kinds = pericopes.agg((F.count_if(F.col("tradition") == "triple") > 0).alias("triples_ok"), (F.count_if(F.col("tradition") == "double") > 0).alias("doubles_ok"))
+    sizes = corpus_sizes(tokens, pericopes).select(
+        F.col("n_tokens").between(*tokens_between).alias("tokens_ok"), (F.col("n_pericopes") >= least_pericopes).alias("pericopes_ok")
+    )
+    kinds = pericopes.agg(
+        (F.count_if(F.col("tradition") == "triple") > 0).alias("triples_ok"), (F.count_if(F.col("tradition") == "double") > 0).alias("doubles_ok")
+    )
     triples = pericopes.where("tradition = 'triple'").select("pericope_id")
     enough = pairs.join(triples, "pericope_id", "left_semi").agg((F.count("*") >= least_pairs).alias("pairs_ok"))
     few = pairs.select("pericope_id").distinct().orderBy(hash_order("pericope_id"), "pericope_id").limit(sampled)

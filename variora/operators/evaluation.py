@@ -17,10 +17,15 @@ def tagging_scores(rows: DataFrame, subset: str, gold: Column, predicted: Column
     lists are equal."""
     keep = mask if mask is not None else F.transform(gold, lambda x: F.lit(True))
     each = F.zip_with(F.zip_with(gold, predicted, lambda g, p: g.eqNullSafe(p) & g.isNotNull()), keep, lambda hit, k: F.when(k, hit))
-    made = rows.select(F.col(subset).alias("subset"), F.filter(F.slice(each, F.lit(1), F.size(gold)), lambda x: x.isNotNull()).alias("_e"), (gold == predicted).alias("_w"))
+    made = rows.select(
+        F.col(subset).alias("subset"), F.filter(F.slice(each, F.lit(1), F.size(gold)), lambda x: x.isNotNull()).alias("_e"),
+        (gold == predicted).alias("_w")
+    )
     made = made.select("subset", F.size("_e").alias("scored"), F.size(F.filter("_e", lambda x: x)).alias("hit"), "_w")
     exact = F.col("_w") if whole else F.col("hit") == F.col("scored")
-    sums = made.rollup("subset").agg(F.sum("hit").alias("h"), F.sum("scored").alias("s"), F.count_if(exact).alias("e"), F.count("*").alias("n"), F.grouping("subset").alias("_g"))
+    sums = made.rollup("subset").agg(
+        F.sum("hit").alias("h"), F.sum("scored").alias("s"), F.count_if(exact).alias("e"), F.count("*").alias("n"), F.grouping("subset").alias("_g")
+    )
     share = lambda a, b: F.coalesce(F.col(a) / F.greatest(F.col(b), F.lit(1)), F.lit(0.0))
     name = F.when(F.col("_g") == 1, "overall").otherwise(F.col("subset"))
     return sums.select(name.alias("subset"), share("h", "s").alias("tok"), share("e", "n").alias("em"), "n")
@@ -115,7 +120,10 @@ def generation_scores(rows: DataFrame, key: str, nll: str, tokens: str, generate
 def passes_gates(pos: DataFrame, lemma: DataFrame, pos_nt: float, pos_classical: float, lemma_overall: float) -> DataFrame:
     """One row (passed): whether tagging scores reach what they must; a missing score doesn't."""
     tok = lambda df, name, least: df.agg(F.coalesce(F.max(F.when(F.col("subset") == name, F.col("tok"))) >= least, F.lit(False)).alias("ok"))
-    a, b, c = (tok(*x).withColumnRenamed("ok", f"ok{i}") for i, x in enumerate([(pos, "nt", pos_nt), (pos, "classical", pos_classical), (lemma, "overall", lemma_overall)]))
+    a, b, c = (
+        tok(*x).withColumnRenamed("ok", f"ok{i}") for i,
+        x in enumerate([(pos, "nt", pos_nt), (pos, "classical", pos_classical), (lemma, "overall", lemma_overall)])
+    )
     return a.join(b).join(c).select((F.col("ok0") & F.col("ok1") & F.col("ok2")).alias("passed"))
 
 
@@ -160,7 +168,9 @@ def _all():
 
 def correctness(rows: DataFrame, gold: str, predicted: str) -> DataFrame:
     """rows with ``correct`` 0 or 1; a missing prediction or gold is an error."""
-    right = F.when(F.col(gold).isNull() | F.col(predicted).isNull(), F.raise_error(F.lit("gold and predictions differ in length"))).otherwise((F.col(gold) == F.col(predicted)).cast("double"))
+    right = F.when(
+        F.col(gold).isNull() | F.col(predicted).isNull(), F.raise_error(F.lit("gold and predictions differ in length"))
+    ).otherwise((F.col(gold) == F.col(predicted)).cast("double"))
     return rows.withColumn("correct", right)
 
 

@@ -34,7 +34,10 @@ def _by_member(texts: DataFrame, key: str, member: str, value: str, need: list[s
 def directed_pairs(texts: DataFrame, key: str, member: str, value: str, directions: list[tuple[str, str]], need: list[str] = ()) -> DataFrame:
     """(key, source, target, source_text, target_text) for each direction of which both sides
     have text, over groups that hold all of ``need``."""
-    pairs = [F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col("_m")[a].alias("source_text"), F.col("_m")[b].alias("target_text")) for a, b in directions]
+    pairs = [
+        F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col("_m")[a].alias("source_text"), F.col("_m")[b].alias("target_text")) for a,
+        b in directions
+    ]
     made = _by_member(texts, key, member, value, list(need)).select(key, F.explode(F.array(*pairs)).alias("p")).select(key, "p.*")
     return made.where("source_text is not null and target_text is not null")
 
@@ -54,14 +57,18 @@ def source_dropout(examples: DataFrame) -> DataFrame:
 def restoration_examples(rows: DataFrame, text: str = "text", prompt: str = "restore: ") -> DataFrame:
     """rows with input_text (the prompt and the text in bare capitals) and target_text; texts
     without marks are left out."""
-    return rows.where(drop_marks(F.col(text)) != F.col(text)).withColumns({"input_text": F.concat(F.lit(prompt), uncial(F.col(text))), "target_text": F.col(text)})
+    return rows.where(drop_marks(F.col(text)) != F.col(text)).withColumns(
+        {"input_text": F.concat(F.lit(prompt), uncial(F.col(text))), "target_text": F.col(text)}
+    )
 
 
 def completion_probe(rows: DataFrame, text: str = "text", least: int = 6) -> DataFrame:
     """rows with the first half of a text's words as input_text, the rest as target_text."""
     rows = rows.withColumn("_w", words(F.col(text))).where(F.size("_w") >= least)
     half = F.floor(F.size("_w") / 2).cast("int")
-    return rows.withColumns({"input_text": F.array_join(F.slice("_w", F.lit(1), half), " "), "target_text": F.array_join(F.slice("_w", half + 1, F.size("_w")), " ")}).drop("_w")
+    return rows.withColumns(
+        {"input_text": F.array_join(F.slice("_w", F.lit(1), half), " "), "target_text": F.array_join(F.slice("_w", half + 1, F.size("_w")), " ")}
+    ).drop("_w")
 
 
 def corrupt_spans(rows: DataFrame, key: str, tokens: str, density: float = 0.15, mean_span: float = 3.0, seed: int = 42) -> DataFrame:

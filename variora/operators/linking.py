@@ -16,7 +16,9 @@ def merge_with_fallback(left: DataFrame, right: DataFrame, keys: list[str], orde
     where keys repeat), else of the first right row of the same ``fallback`` columns."""
     exact = right.groupBy(*keys).agg(F.max_by(value, order).alias("_exact"), F.lit(True).alias("_met"))
     near = right.groupBy(*fallback).agg(F.min_by(value, order).alias("_near"))
-    return left.join(exact, keys, "left").join(near, fallback, "left").withColumn(value, F.when(F.col("_met"), F.col("_exact")).otherwise(F.col("_near"))).drop("_exact", "_near", "_met")
+    return left.join(exact, keys, "left").join(near, fallback, "left").withColumn(
+        value, F.when(F.col("_met"), F.col("_exact")).otherwise(F.col("_near"))
+    ).drop("_exact", "_near", "_met")
 
 
 def expand_ranges(ranges: DataFrame, low: str, high: str, point: str, by: list[str], first: str) -> DataFrame:
@@ -35,7 +37,9 @@ def verse_ranges(ranges: DataFrame, cap: int = 40) -> DataFrame:
     """(book, chapter, v_low, v_high, ...) of ranges (book, c1, v1, c2, v2): chapters before the
     last are taken to have ``cap`` verses."""
     rows = ranges.withColumn("chapter", F.explode(F.sequence("c1", "c2")))
-    return rows.withColumn("v_low", F.when(F.col("chapter") == F.col("c1"), F.col("v1")).otherwise(1)).withColumn("v_high", F.when(F.col("chapter") == F.col("c2"), F.col("v2")).otherwise(cap))
+    return rows.withColumn("v_low", F.when(F.col("chapter") == F.col("c1"), F.col("v1")).otherwise(1)).withColumn(
+        "v_high", F.when(F.col("chapter") == F.col("c2"), F.col("v2")).otherwise(cap)
+    )
 
 
 def find_range(
@@ -52,7 +56,9 @@ def find_range(
     spans = ranges.where(F.col(low[0]) <= F.col(high[0])).withColumn("_c", F.explode(F.sequence(F.col(low[0]).cast("int"), F.col(high[0]).cast("int"))))
     spans = spans.select(
         *on, "_c", F.col(value).alias("_value"), F.col(first).alias("_first"),
-        F.when(F.col("_c") == F.col(low[0]), F.col(low[1])).otherwise(-last).alias("_low"), F.when(F.col("_c") == F.col(high[0]), F.col(high[1])).otherwise(last).alias("_high"),
+        F.when(F.col("_c") == F.col(low[0]), F.col(low[1])).otherwise(-last).alias("_low"), F.when(
+            F.col("_c") == F.col(high[0]), F.col(high[1])
+        ).otherwise(last).alias("_high"),
     )
     places = points.select(*on, F.col(chapter).cast("int").alias("_c"), F.col(verse).alias("_v")).distinct()
     hits = places.join(spans, [*on, "_c"]).where(F.col("_v").between(F.col("_low"), F.col("_high")))

@@ -70,7 +70,9 @@ def passage_windows(passages: DataFrame, target: int = 150, most: int = 300, par
     short pass over the parts tells what it does bring, and the parts are walked alone.
     """
     spark = passages.sparkSession
-    rows = passages.select("source", "ord", "ref", F.array_join(words(F.col("text")), " ").alias("text"), F.size(words(F.col("text"))).alias("n")).where("n > 0")
+    rows = passages.select(
+        "source", "ord", "ref", F.array_join(words(F.col("text")), " ").alias("text"), F.size(words(F.col("text"))).alias("n")
+    ).where("n > 0")
     sizes = rows.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z"), "ord", "n")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-sizes.count() // part_rows))
     placed = materialise(numbered(sizes, ["s", "z", "ord"], "_at", parts), "sizes")
@@ -114,4 +116,9 @@ def continuations(rows: DataFrame, text: str = "text", least: int = 20, share: f
     w = words(F.col(text))
     cut = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * share).cast("int")))
     rows = rows.withColumn("_w", w).withColumn("_n", F.size("_w")).where(F.col("_n") >= least).withColumn("_cut", cut)
-    return rows.withColumns({"input_text": F.concat(F.lit(prompt), F.array_join(F.slice("_w", F.lit(1), F.col("_cut")), " ")), "target_text": F.array_join(F.slice("_w", F.col("_cut") + 1, F.col("_n")), " ")}).drop("_w", "_n", "_cut")
+    return rows.withColumns(
+        {
+            "input_text": F.concat(F.lit(prompt), F.array_join(F.slice("_w", F.lit(1), F.col("_cut")), " ")),
+            "target_text": F.array_join(F.slice("_w", F.col("_cut") + 1, F.col("_n")), " ")
+        }
+    ).drop("_w", "_n", "_cut")

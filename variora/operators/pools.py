@@ -206,23 +206,35 @@ def crasis_examples(rows: DataFrame, text: str = "text", forms: dict[str, str] =
     return rows.withColumns({"input_text": F.concat(F.lit("normalize: "), F.col(text)), "target_text": F.array_join(target, " ")}).drop("_w", "_x", "_at")
 
 
-def itacism_examples(rows: DataFrame, text: str, key: str, attested: DataFrame | None, seed: int = 42, rate: float = EDIT_RATE, least: int = LEAST_EDITS) -> DataFrame:
+def itacism_examples(
+    rows: DataFrame, text: str, key: str, attested: DataFrame | None, seed: int = 42, rate: float = EDIT_RATE, least: int = LEAST_EDITS
+) -> DataFrame:
     """rows with input_text and target_text: up to ``max(least, floor(rate * words))`` words with a
     vowel written as it sounds, and the text. A changed word that is itself attested isn't taken.
 
     Every word's possible changes are listed and tested by a join with the attested forms, and a
     hash of seed, key, place and change orders words and, within a word, changes."""
     split = rows.select(F.col(key).alias("_k"), F.posexplode(words(F.col(text))).alias("_i", "_w"))
-    made = F.array(*[F.struct(F.lit(j).alias("j"), F.col("_w").contains(a).alias("has"), _replace_first(F.col("_w"), a, b).alias("new")) for j, (a, b) in enumerate(ITACISMS)])
+    made = F.array(
+        *[
+            F.struct(F.lit(j).alias("j"), F.col("_w").contains(a).alias("has"), _replace_first(F.col("_w"), a, b).alias("new")) for j,
+            (a, b) in enumerate(ITACISMS)
+        ]
+    )
     tried = split.select("_k", "_i", F.explode(F.filter(made, lambda x: x["has"])).alias("x")).select("_k", "_i", "x.j", "x.new")
     tried = tried.withColumn("form", strip_accents(F.col("new")))
     if attested is not None:
         tried = tried.join(attested, "form", "left_anti")
     rank = lambda *parts: F.xxhash64(F.lit(seed), "_k", *parts)
     each = tried.groupBy("_k", "_i").agg(F.min_by("new", rank("_i", "j")).alias("_new"))
-    sized = rows.withColumn("_n", F.size(words(F.col(text)))).select(F.col(key).alias("_k"), F.greatest(F.lit(least), F.floor(F.col("_n") * rate)).alias("_budget"))
+    sized = rows.withColumn("_n", F.size(words(F.col(text)))).select(
+        F.col(key).alias("_k"), F.greatest(F.lit(least), F.floor(F.col("_n") * rate)).alias("_budget")
+    )
     chosen = each.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct(rank("_i").alias("h"), "_i", "_new"))).alias("_c")).join(sized, "_k")
-    chosen = chosen.select("_k", F.map_from_entries(F.transform(F.slice("_c", F.lit(1), F.col("_budget").cast("int")), lambda x: F.struct(x["_i"], x["_new"]))).alias("_edits"))
+    chosen = chosen.select(
+        "_k",
+        F.map_from_entries(F.transform(F.slice("_c", F.lit(1), F.col("_budget").cast("int")), lambda x: F.struct(x["_i"], x["_new"]))).alias("_edits")
+    )
     out = rows.join(chosen, rows[key] == chosen["_k"])
     changed = F.transform(words(F.col(text)), lambda w, i: F.coalesce(F.col("_edits")[i], w))
     return out.withColumns({"input_text": F.concat(F.lit("normalize: "), F.array_join(changed, " ")), "target_text": F.col(text)}).drop("_k", "_edits")
@@ -254,7 +266,9 @@ def compositions(rows: DataFrame, key: str, n: str, k: str, seed: int = 42) -> D
 
     @F.pandas_udf("array<int>")
     def cut(ids: pd.Series, total: pd.Series, parts: pd.Series) -> pd.Series:
-        return pd.Series([split_into_parts(int(a), max(1, min(int(a), int(b))), random.Random(f"{seed}:{i}")) if a > 0 else [] for i, a, b in zip(ids, total, parts)])
+        return pd.Series(
+            [split_into_parts(int(a), max(1, min(int(a), int(b))), random.Random(f"{seed}:{i}")) if a > 0 else [] for i, a, b in zip(ids, total, parts)]
+        )
 
     return rows.withColumn("parts", cut(F.col(key).cast("string"), n, k))
 
@@ -267,7 +281,10 @@ def held_out_texts(tokens: DataFrame, splits: DataFrame, held: list[str]) -> Dat
     return own.groupBy("pericope_id", "book").agg(F.array_join(F.transform(items, lambda x: x["text"]), " ").alias("text"))
 
 
-def build_corpus(passages: DataFrame, held_out: DataFrame, eval_share: float = 0.02, target: int = 150, most: int = 300, n: int = 8, least: int = 20, seed: str = "42") -> dict[str, DataFrame]:
+def build_corpus(
+    passages: DataFrame, held_out: DataFrame, eval_share: float = 0.02, target: int = 150, most: int = 300, n: int = 8, least: int = 20,
+    seed: str = "42"
+) -> dict[str, DataFrame]:
     """The training artifact from passages (source, ord, ref, text): ``corpus`` (denoise and
     continuation rows of training windows), ``eval_perplexity``, ``eval_continuation`` and
     ``manifest`` (one row: settings and totals as JSON)."""
@@ -277,15 +294,26 @@ def build_corpus(passages: DataFrame, held_out: DataFrame, eval_share: float = 0
     clean = materialise(sampling.carve(clean, "id", eval_share, seed), "clean")
     train, held = clean.where("split = 'train'"), clean.where("split = 'eval'")
     none = F.lit(None).cast("string")
-    denoise = train.select(F.lit("denoise").alias("task"), F.col("text").alias("raw_text"), none.alias("input_text"), none.alias("target_text"), "source", "register")
-    going_on = order.continuations(train, least=least).select(F.lit("continuation").alias("task"), none.alias("raw_text"), "input_text", "target_text", "source", "register")
-    settings = json.dumps({"target_words": target, "max_words": most, "eval_frac": eval_share, "shingle_n": n, "min_cont_words": least, "seed": seed}, sort_keys=True)
+    denoise = train.select(
+        F.lit("denoise").alias("task"), F.col("text").alias("raw_text"), none.alias("input_text"), none.alias("target_text"), "source", "register"
+    )
+    going_on = order.continuations(train, least=least).select(
+        F.lit("continuation").alias("task"), none.alias("raw_text"), "input_text", "target_text", "source", "register"
+    )
+    settings = json.dumps(
+        {"target_words": target, "max_words": most, "eval_frac": eval_share, "shingle_n": n, "min_cont_words": least, "seed": seed}, sort_keys=True
+    )
     totals = clean.agg(
-        F.count("*").alias("clean_windows"), F.count_if(F.col("split") == "train").alias("train_windows"), F.count_if(F.col("split") == "eval").alias("eval_windows"),
+        F.count("*").alias("clean_windows"), F.count_if(
+            F.col("split") == "train"
+        ).alias("train_windows"), F.count_if(F.col("split") == "eval").alias("eval_windows"),
         F.coalesce(F.sum(F.when(F.col("split") == "train", F.size(words(F.col("text"))))), F.lit(0)).alias("corpus_words"),
     )
     raw = every.agg(F.count("*").alias("raw_windows")).join(dirty.agg(F.count("*").alias("contaminated")))
-    manifest = F.struct(F.lit(settings).alias("config"), "raw_windows", "contaminated", "clean_windows", (F.col("raw_windows") - F.col("clean_windows")).alias("dropped"), "train_windows", "eval_windows", "corpus_words")
+    manifest = F.struct(
+        F.lit(settings).alias("config"), "raw_windows", "contaminated", "clean_windows",
+        (F.col("raw_windows") - F.col("clean_windows")).alias("dropped"), "train_windows", "eval_windows", "corpus_words"
+    )
     return {
         "corpus": denoise.unionAll(going_on), "eval_perplexity": held.select("text", "source", "ref"),
         "eval_continuation": order.continuations(held, least=least).select(F.lit("continuation").alias("task"), "input_text", "target_text", "source"),

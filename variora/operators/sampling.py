@@ -73,11 +73,15 @@ def draws(pools: DataFrame, pool: str, weight: str, size: str, slots: DataFrame,
     pools don't count. pools: one row a pool."""
     full = pools.where(F.col(size) > 0)
     total = Window.orderBy(pool)  # one row a pool
-    full = full.withColumn("_high", F.sum(weight).over(total) / F.sum(weight).over(Window.partitionBy())).withColumn("_low", F.coalesce(F.lag("_high").over(total), F.lit(0.0)))
+    full = full.withColumn(
+        "_high", F.sum(weight).over(total) / F.sum(weight).over(Window.partitionBy())
+    ).withColumn("_low", F.coalesce(F.lag("_high").over(total), F.lit(0.0)))
     bands = full.agg(F.array_sort(F.collect_list(F.struct("_high", F.col(pool).alias("p"), F.col(size).alias("n")))).alias("_bands"))
     drawn = slots.select(slot).withColumn("_u", uniform(slot, F.lit("pool"), seed=seed)).join(F.broadcast(bands))
     chosen = F.coalesce(F.get(F.filter("_bands", lambda b: b["_high"] > F.col("_u")), F.lit(0)), F.element_at("_bands", -1))
-    return drawn.withColumn("_b", chosen).select(slot, F.col("_b.p").alias("pool"), F.floor(uniform(slot, F.lit("item"), seed=seed) * F.col("_b.n")).cast("long").alias("item"))
+    return drawn.withColumn("_b", chosen).select(
+        slot, F.col("_b.p").alias("pool"), F.floor(uniform(slot, F.lit("item"), seed=seed) * F.col("_b.n")).cast("long").alias("item")
+    )
 
 
 def first_of_group(rows: DataFrame, by: str, k: int, *order: Column | str) -> DataFrame:

@@ -53,7 +53,10 @@ def paired_delta(rows: DataFrame, group: str, a: str, b: str, n: int = 10_000, s
 
 
 def null_threshold(rows: DataFrame, value: str, quantile: float = 0.95) -> DataFrame:
-    return rows.agg(F.percentile(value, F.lit(quantile)).alias("threshold"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.count(value).alias("n"))
+    return rows.agg(
+        F.percentile(value, F.lit(quantile)).alias("threshold"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
+        F.count(value).alias("n")
+    )
 
 
 def contamination_flag(gap, match_rate, ease):

@@ -33,7 +33,10 @@ def split_check(rows: DataFrame, key: str, split: str, known: DataFrame) -> Data
     own = rows.groupBy(key).agg(F.countDistinct(split).alias("n"))
     other = known.select(key).distinct().withColumn("known", F.lit(True))
     both = own.join(other, key, "full")
-    return both.agg((F.count_if(F.col("n") > 1) == 0).alias("disjoint"), (F.count_if(F.coalesce("n", F.lit(0)) == 0) == 0).alias("covering"), (F.count_if(F.col("known").isNull()) == 0).alias("closed"))
+    return both.agg(
+        (F.count_if(F.col("n") > 1) == 0).alias("disjoint"), (F.count_if(F.coalesce("n", F.lit(0)) == 0) == 0).alias("covering"),
+        (F.count_if(F.col("known").isNull()) == 0).alias("closed")
+    )
 
 
 def word_aligned_scores(rows: DataFrame, gold: Column, predicted: Column, source: Column) -> DataFrame:
@@ -43,13 +46,17 @@ def word_aligned_scores(rows: DataFrame, gold: Column, predicted: Column, source
     edits = F.zip_with("g", "s", lambda x, y: F.when(~x.eqNullSafe(y), x))
     made = rows.select(gold.alias("g"), predicted.alias("p"), source.alias("s"))
     each = made.select(
-        F.size("g").alias("n"), same("g", "p").alias("hit"), same("g", "s").alias("copied"), same(edits, F.col("p")).alias("edited"), (F.col("g") == F.col("p")).cast("int").alias("em"),
+        F.size("g").alias("n"), same("g", "p").alias("hit"), same("g", "s").alias("copied"), same(edits, F.col("p")).alias("edited"), (
+            F.col("g") == F.col("p")
+        ).cast("int").alias("em"),
     )
     sums = each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "hit", "copied", "edited", "em")], F.count("*").alias("rows"))
     share = lambda a, b: a / F.greatest(b, F.lit(1))
     tok, copy = share(F.col("hit"), F.col("n")), share(F.col("copied"), F.col("n"))
     return sums.select(
-        tok.alias("tok"), share(F.col("em"), F.col("rows")).alias("em"), copy.alias("copy"), (tok - copy).alias("lift"), share(F.col("edited"), F.col("n") - F.col("copied")).alias("edit"), F.col("rows").alias("n"),
+        tok.alias("tok"), share(F.col("em"), F.col("rows")).alias("em"), copy.alias("copy"), (tok - copy).alias("lift"), share(
+            F.col("edited"), F.col("n") - F.col("copied")
+        ).alias("edit"), F.col("rows").alias("n"),
     )
 
 
@@ -76,7 +83,9 @@ def pooled_verdict(scores: DataFrame, group: str, overlap: str, n: int = 10_000,
     whether it is cleared, and the contrast of overlap and rest (null with fewer than two
     overlap rows or no other)."""
     seen = excess_lift(scores, group, "base", "added", "control", n, seed)
-    null = scores.select((F.col("control") - F.col("null_added")).alias("d")).agg(F.percentile("d", F.lit(0.95)).alias("threshold"), F.count("d").alias("null_n"))
+    null = scores.select((F.col("control") - F.col("null_added")).alias("d")).agg(
+        F.percentile("d", F.lit(0.95)).alias("threshold"), F.count("d").alias("null_n")
+    )
     rows = scores.withColumn("_excess", F.col("control") - F.col("added"))
     enough = scores.agg(((F.count_if(overlap) >= 2) & (F.count_if(~F.col(overlap)) >= 1)).alias("e"))
     contrast = difference_ci(rows.where(overlap), rows.where(~F.col(overlap)), group, "_excess", n, seed)
@@ -84,7 +93,9 @@ def pooled_verdict(scores: DataFrame, group: str, overlap: str, n: int = 10_000,
     return seen.join(null).join(contrast).withColumn("clears_floor", F.col("estimate") > F.col("threshold"))
 
 
-def difference_power(spark, effects: list[float], overlap: list[float], rest: list[float], tau: float, sims: int = 200, draws: int = 200, seed: int = 42) -> DataFrame:
+def difference_power(
+    spark, effects: list[float], overlap: list[float], rest: list[float], tau: float, sims: int = 200, draws: int = 200, seed: int = 42
+) -> DataFrame:
     """(effect, power): how often the interval of the difference of two simulated groups of
     units excludes zero; unit i has variance tau^2 + 1/weight and only the overlap the effect."""
     import numpy as np
@@ -119,12 +130,18 @@ def epoch_coverage(pools: DataFrame, size: str, weight: str, drawn: int) -> Data
     return full.join(F.broadcast(total)).withColumn("epochs", drawn * F.col(weight) / F.col("_t") / F.col(size)).drop("_t")
 
 
-def power_report(spark, taus: list[float], effects: list[float], lift: list[float], overlap: list[float], rest: list[float], sims: int = 2_000, draws: int = 800, target: float = 0.8) -> DataFrame:
+def power_report(
+    spark, taus: list[float], effects: list[float], lift: list[float], overlap: list[float], rest: list[float], sims: int = 2_000, draws: int = 800,
+    target: float = 0.8
+) -> DataFrame:
     """(tau, sample, effect): the smallest effect that is found with the target's power, for each
     spread between units and for the lift and the difference; infinite where none is."""
     out = None
     for tau in taus:
-        for name, power in (("lift", lift_power(spark, effects, lift, tau, sims, draws)), ("difference", difference_power(spark, effects, overlap, rest, tau, sims, draws))):
+        for name, power in (
+            ("lift", lift_power(spark, effects, lift, tau, sims, draws)),
+            ("difference", difference_power(spark, effects, overlap, rest, tau, sims, draws))
+        ):
             part = minimum_effect(power, target).select(F.lit(tau).alias("tau"), F.lit(name).alias("sample"), "effect")
             out = part if out is None else out.unionAll(part)
     return out

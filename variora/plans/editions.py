@@ -68,7 +68,9 @@ def edition_words(features: Features, schema: Schema | None = None) -> DataFrame
     ref = F.concat("book", F.lit(" "), "chapter", F.lit(":"), "verse")
     after = F.when(F.col("after") == "", " ").otherwise(F.col("after"))
     return rows.select(
-        "book", "book_number", "chapter", "verse", "position", "surface", "lemma", pos_label(F.col("sp")).alias("pos"), own.alias("features"), "gloss", "strong",
+        "book", "book_number", "chapter", "verse", "position", "surface", "lemma", pos_label(
+            F.col("sp")
+        ).alias("pos"), own.alias("features"), "gloss", "strong",
         after.alias("after"), ref.alias("ref"),
     )
 

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def tokens(table: DataFrame, book: str | None = None, pericope: str | None = None, splits: DataFrame | None = None, split: str | None = None, punctuation: bool = False) -> DataFrame:
+def tokens(
+    table: DataFrame, book: str | None = None, pericope: str | None = None, splits: DataFrame | None = None, split: str | None = None,
+    punctuation: bool = False
+) -> DataFrame:
     """Token filter; without a split table the split isn't looked at."""
     if book is not None:
         table = table.where(F.col("book") == book)

@@ -52,20 +52,30 @@ def slot_count(spark, sf_dir):
     return readers.slot_count(types).select(F.col("n").cast("long").alias("n"))
 
 
-@query("""SELECT (n_nationkey // 3 + 1)::BIGINT AS ord, 'B' || n_nationkey // 12 AS book, (n_nationkey // 3 % 4)::VARCHAR AS chapter, 'v' AS verse, string_agg(n_name, ' ' ORDER BY n_nationkey) AS text
+@query("""SELECT (n_nationkey // 3 + 1)::BIGINT AS ord, 'B' || n_nationkey // 12 AS book, (n_nationkey // 3 % 4)::VARCHAR AS chapter, 'v' AS verse,
+        string_agg(n_name, ' ' ORDER BY n_nationkey) AS text
     FROM nation WHERE n_nationkey % 4 <> 0 GROUP BY n_nationkey // 3, n_nationkey // 12""")
 def verses_from_columns(spark, sf_dir):
     rows = _nations(spark, sf_dir)
-    parts = {"word": ["" if k % 4 == 0 else n for k, _, n in rows], "book": [f"B{k // 12}" for k, _, _ in rows] + ["more"], "chapter": [k // 3 % 4 for k, _, _ in rows], "verse": ["v" for _ in rows]}
+    parts = {
+        "word": ["" if k % 4 == 0 else n for k, _, n in rows], "book": [f"B{k // 12}" for k, _, _ in rows] + ["more"],
+        "chapter": [k // 3 % 4 for k, _, _ in rows], "verse": ["v" for _ in rows]
+    }
     folder = _files(spark, "verses", {f"{name}.tf": _column(values) for name, values in parts.items()})
     columns = {name: readers.dense_column(spark, f"{folder}/{name}.tf") for name in parts}
     return readers.verses_from_columns(materialise(readers.zip_columns(columns), "slots"))
 
 
 _EDITION = {
-    "otype": lambda rows: ["word"] * len(rows), "book": lambda rows: [f"B{k // 10}" for k, _, _ in rows], "chapter": lambda rows: [k // 4 + 1 for k, _, _ in rows],
-    "verse": lambda rows: ["" if k == 7 else k % 4 // 2 + 1 for k, _, _ in rows], "lex": lambda rows: [n.lower() for _, _, n in rows], "word": lambda rows: [n for _, _, n in rows],
-    "sp": lambda rows: ["subs" if k % 2 else "verb" for k, _, _ in rows], "gn": lambda rows: ["m" if k % 3 == 0 else "" for k, _, _ in rows], "after": lambda rows: ["," if k % 5 == 0 else "" for k, _, _ in rows],
+    "otype": lambda rows: ["word"] * len(rows), "book": lambda rows: [
+        f"B{k // 10}" for k, _, _ in rows
+    ], "chapter": lambda rows: [k // 4 + 1 for k, _, _ in rows],
+    "verse": lambda rows: [
+        "" if k == 7 else k % 4 // 2 + 1 for k, _, _ in rows
+    ], "lex": lambda rows: [n.lower() for _, _, n in rows], "word": lambda rows: [n for _, _, n in rows],
+    "sp": lambda rows: [
+        "subs" if k % 2 else "verb" for k, _, _ in rows
+    ], "gn": lambda rows: ["m" if k % 3 == 0 else "" for k, _, _ in rows], "after": lambda rows: ["," if k % 5 == 0 else "" for k, _, _ in rows],
 }
 
 
@@ -75,8 +85,10 @@ def _edition(spark, sf_dir):
     return editions.edition_words(readers.Features(spark, folder))
 
 
-_WORDS = """w AS (SELECT 'B' || n_nationkey // 10 AS book, (n_nationkey // 10)::INTEGER AS book_number, (n_nationkey // 4 + 1)::INTEGER AS chapter, (n_nationkey % 4 // 2 + 1)::INTEGER AS verse, n_name AS surface, lower(n_name) AS lemma,
-    CASE WHEN n_nationkey % 2 = 1 THEN 'noun' ELSE 'verb' END AS pos, CASE WHEN n_nationkey % 3 = 0 THEN '{"gender":"m"}' ELSE '{}' END AS features, '' AS gloss, '' AS strong,
+_WORDS = """w AS (SELECT 'B' || n_nationkey // 10 AS book, (n_nationkey // 10)::INTEGER AS book_number, (n_nationkey // 4 + 1)::INTEGER AS chapter,
+        (n_nationkey % 4 // 2 + 1)::INTEGER AS verse, n_name AS surface, lower(n_name) AS lemma,
+    CASE WHEN n_nationkey % 2 = 1 THEN 'noun' ELSE 'verb' END AS pos, CASE WHEN n_nationkey % 3 = 0 THEN '{"gender":"m"}'
+        ELSE '{}' END AS features, '' AS gloss, '' AS strong,
     CASE WHEN n_nationkey % 5 = 0 THEN ',' ELSE ' ' END AS after, n_nationkey FROM nation WHERE n_nationkey <> 7),
     p AS (SELECT * EXCLUDE (n_nationkey), (row_number() OVER (PARTITION BY book, chapter, verse ORDER BY n_nationkey) - 1)::INTEGER AS position FROM w)"""
 
@@ -103,24 +115,32 @@ def index_table(spark, sf_dir):
 # ---------------------------------------------------------------- line formats
 
 
-@query("""SELECT CASE WHEN n_regionkey = 0 THEN '05' WHEN n_regionkey < 4 THEN ['Matthew', 'Mark', 'Luke'][n_regionkey] ELSE 'John' END AS book, (n_nationkey // 5 + 1)::INTEGER AS chapter, 2 AS verse,
-    CASE WHEN n_regionkey = 4 THEN n_nationkey::INTEGER ELSE (row_number() OVER (PARTITION BY n_regionkey, n_nationkey // 5 ORDER BY n_nationkey) - 1)::INTEGER END AS position, 'N-' AS pos, '----NSF-' AS parsing, n_name || ',' AS text,
+@query("""SELECT CASE WHEN n_regionkey = 0 THEN '05' WHEN n_regionkey < 4 THEN ['Matthew', 'Mark', 'Luke'][n_regionkey] ELSE 'John' END AS book,
+        (n_nationkey // 5 + 1)::INTEGER AS chapter, 2 AS verse,
+    CASE WHEN n_regionkey = 4 THEN n_nationkey::INTEGER ELSE (row_number() OVER (PARTITION BY n_regionkey, n_nationkey // 5
+        ORDER BY n_nationkey) - 1)::INTEGER END AS position, 'N-' AS pos, '----NSF-' AS parsing, n_name || ',' AS text,
     n_name AS word, lower(n_name) AS normalized, 'l' || n_nationkey AS lemma FROM nation""")
 def morphology_lines(spark, sf_dir):
     def place(k, r):
         return f"JHN {k // 5 + 1}:2/{k + 1}" if r == 4 else f"{r or 5:02}{k // 5 + 1:02}02"
 
-    lines = ["# comment", "", "too few columns"] + [f"{place(k, r)} N- ----NSF- {n}, {n} {n.lower()} l{k}" for k, r, n in _nations(spark, sf_dir)] + ["9x0101 N- ----NSF- a b c d"]
+    lines = ["# comment", "", "too few columns"] + [
+        f"{place(k, r)} N- ----NSF- {n}, {n} {n.lower()} l{k}" for k, r, n in _nations(spark, sf_dir)
+    ] + ["9x0101 N- ----NSF- a b c d"]
     return readers.morphology_lines(spark, _files(spark, "morph", {"a.txt": "\n".join(lines)})).drop("file")
 
 
-@query("""SELECT 'a.txt.Mark.' || (n_nationkey // 5 + 1) || '.2' AS key, (row_number() OVER (PARTITION BY n_nationkey // 5 ORDER BY n_nationkey) - 1)::INTEGER AS position, lower(n_name) AS form, 'N-' AS pos, 'l' AS lemma, 'NNSF' AS morph FROM nation""")
+@query(
+    """SELECT 'a.txt.Mark.' || (n_nationkey // 5 + 1) || '.2' AS key, (row_number() OVER (PARTITION BY n_nationkey // 5 ORDER BY n_nationkey) - 1)::INTEGER AS position, lower(n_name) AS form, 'N-' AS pos, 'l' AS lemma, 'NNSF' AS morph FROM nation"""
+)
 def verse_keyed_lines(spark, sf_dir):
     lines = [f"02{k // 5 + 1:02}02 N- ----NSF- {n} {n} {n.lower()}, l" for k, _, n in _nations(spark, sf_dir)]
     return readers.verse_keyed_lines(spark, _files(spark, "keyed", {"a.txt": "\n".join(lines)}))
 
 
-@query("""SELECT n_regionkey::INTEGER AS sentence, 'The Greek New Testament, ' || n_regionkey AS source, string_agg(n_name || '/' || lower(n_name) || '/Nb', ' ' ORDER BY n_nationkey) AS tokens FROM nation GROUP BY n_regionkey""")
+@query(
+    """SELECT n_regionkey::INTEGER AS sentence, 'The Greek New Testament, ' || n_regionkey AS source, string_agg(n_name || '/' || lower(n_name) || '/Nb', ' ' ORDER BY n_nationkey) AS tokens FROM nation GROUP BY n_regionkey"""
+)
 def conllu_sentences(spark, sf_dir):
     blocks = []
     for region in range(5):
@@ -135,7 +155,9 @@ def conllu_sentences(spark, sf_dir):
 # ---------------------------------------------------------------- marked-up and plain text
 
 
-@query("""SELECT 'B' || n_regionkey AS book, (n_nationkey // 10 + 1)::INTEGER AS chapter, 1 AS verse, (row_number() OVER (PARTITION BY n_regionkey, n_nationkey // 10 ORDER BY n_nationkey) - 1)::INTEGER AS position, n_name AS text FROM nation""")
+@query(
+    """SELECT 'B' || n_regionkey AS book, (n_nationkey // 10 + 1)::INTEGER AS chapter, 1 AS verse, (row_number() OVER (PARTITION BY n_regionkey, n_nationkey // 10 ORDER BY n_nationkey) - 1)::INTEGER AS position, n_name AS text FROM nation"""
+)
 def edition_xml(spark, sf_dir):
     files = {}
     for region in range(5):
@@ -148,7 +170,9 @@ def edition_xml(spark, sf_dir):
     return readers.edition_xml(spark, _files(spark, "xml", {**files, "bad.xml": "<book>"})).drop("file")
 
 
-@query("SELECT n_regionkey::INTEGER AS f, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS position, n_name AS word FROM nation QUALIFY row_number() OVER (ORDER BY n_regionkey, n_nationkey) <= 12")
+@query(
+    "SELECT n_regionkey::INTEGER AS f, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER AS position, n_name AS word FROM nation QUALIFY row_number() OVER (ORDER BY n_regionkey, n_nationkey) <= 12"
+)
 def tei_words(spark, sf_dir):
     rows = _nations(spark, sf_dir)
     text = lambda region: "".join(f"<s>{n} </s>" for _, r, n in rows if r == region)
@@ -157,7 +181,9 @@ def tei_words(spark, sf_dir):
     return made.select(F.regexp_extract("file", r"t(\d)\.xml$", 1).cast("int").alias("f"), "position", "word")
 
 
-@query("SELECT n_nationkey::INTEGER AS f, 0 AS position, 'é' || n_name AS word FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey::INTEGER, 1, 'x' FROM nation WHERE n_regionkey = 2")
+@query(
+    "SELECT n_nationkey::INTEGER AS f, 0 AS position, 'é' || n_name AS word FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey::INTEGER, 1, 'x' FROM nation WHERE n_regionkey = 2"
+)
 def plain_words(spark, sf_dir):
     folder = new_path(spark, "plain")
     for k, r, n in _nations(spark, sf_dir):
@@ -167,8 +193,10 @@ def plain_words(spark, sf_dir):
     return made.select(F.regexp_extract("file", r"-(\d+)\.txt$", 1).cast("int").alias("f"), "position", "word")
 
 
-@query("""SELECT CASE n_nationkey % 3 WHEN 0 THEN 'xml' WHEN 1 THEN 'tf' ELSE 'txt' END AS kind, CASE WHEN n_nationkey % 3 = 0 THEN 'λόγος ' || n_name WHEN n_nationkey % 3 = 1 THEN 'λόγος ' || repeat(n_name || ' ', 4) || 'τέλος'
-    ELSE 'λόγος ' || repeat(n_name || ' ', 4) || 'τέλος.' END AS chunk FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'txt', left(repeat('αβγδε', 200), 500)""")
+@query("""SELECT CASE n_nationkey % 3 WHEN 0 THEN 'xml' WHEN 1 THEN 'tf' ELSE 'txt' END AS kind, CASE
+        WHEN n_nationkey % 3 = 0 THEN 'λόγος ' || n_name WHEN n_nationkey % 3 = 1 THEN 'λόγος ' || repeat(n_name || ' ', 4) || 'τέλος'
+    ELSE 'λόγος ' || repeat(n_name || ' ', 4) || 'τέλος.' END AS chunk FROM nation WHERE n_nationkey <> 3 UNION ALL SELECT 'txt',
+        left(repeat('αβγδε', 200), 500)""")
 def text_chunks(spark, sf_dir):
     rows = _nations(spark, sf_dir)
     long = lambda n: "λόγος " + f"{n} " * 4 + "τέλος"
@@ -179,11 +207,17 @@ def text_chunks(spark, sf_dir):
     return made.select(F.regexp_extract("file", r"\.([^.]*)$", 1).alias("kind"), "chunk")
 
 
-@query("""SELECT (row_number() OVER (ORDER BY s, n) - 1)::BIGINT AS ord, text, source, CASE source WHEN 'lxx' THEN 'koine' ELSE 'classical' END AS register, ref FROM (
-    SELECT 0 AS s, n_nationkey AS n, n_name AS text, 'lxx' AS source, 'N' || n_nationkey AS ref FROM nation UNION ALL SELECT 1, r_regionkey, r_name, 'first1k', 'R' || r_regionkey FROM region)""")
+@query("""SELECT (row_number() OVER (ORDER BY s, n) - 1)::BIGINT AS ord, text, source, CASE source WHEN 'lxx' THEN 'koine'
+        ELSE 'classical' END AS register, ref FROM (
+    SELECT 0 AS s, n_nationkey AS n, n_name AS text, 'lxx' AS source, 'N' || n_nationkey AS ref FROM nation UNION ALL SELECT 1, r_regionkey, r_name,
+        'first1k', 'R' || r_regionkey FROM region)""")
 def raw_passages(spark, sf_dir):
-    part = lambda name, k, t, mark: table(spark, sf_dir, name).select(F.col(k).alias("n"), F.concat(F.lit(mark), k).alias("ref"), F.col(t).alias("text"))
-    return readers.raw_passages({"lxx": part("nation", "n_nationkey", "n_name", "N"), "first1k": part("region", "r_regionkey", "r_name", "R")}, {"lxx": "koine"})
+    part = lambda name, k, t, mark: table(spark, sf_dir, name).select(
+        F.col(k).alias("n"), F.concat(F.lit(mark), k).alias("ref"), F.col(t).alias("text")
+    )
+    return readers.raw_passages(
+        {"lxx": part("nation", "n_nationkey", "n_name", "N"), "first1k": part("region", "r_regionkey", "r_name", "R")}, {"lxx": "koine"}
+    )
 
 
 # ---------------------------------------------------------------- corpora and exports
@@ -194,20 +228,27 @@ def _passages(spark, sf_dir):
     key = F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.col("conv_id").cast("string"))
     turns = table(spark, sf_dir, "conversations")
     tokens = turns.select(
-        F.concat_ws(".", "role", "conv_id", "turn").alias("token_id"), F.col("role").alias("book"), F.col("conv_id").cast("int").alias("chapter"), F.col("turn").cast("int").alias("verse"), F.lit(0).alias("position"),
-        F.md5("text").alias("text"), F.lit("n").alias("normalized"), F.lit("l").alias("lemma"), F.lit("N-").alias("pos"), F.lit("--").alias("morph"), key.alias("pericope_id"), F.lit(False).alias("is_punctuation"),
+        F.concat_ws(
+            ".", "role", "conv_id", "turn"
+        ).alias("token_id"), F.col("role").alias("book"), F.col("conv_id").cast("int").alias("chapter"), F.col("turn").cast("int").alias("verse"), F.lit(0).alias("position"),
+        F.md5("text").alias("text"), F.lit("n").alias("normalized"), F.lit("l").alias("lemma"), F.lit("N-").alias("pos"), F.lit("--").alias("morph"), key.alias("pericope_id"), F.lit(False).alias(
+            "is_punctuation"
+        ),
     )
     some = tokens.where("pericope_id <> ''")
     books = corpus.members_of(some, "pericope_id", "book").withColumnRenamed("members", "books")
     pericopes = books.withColumns({"tradition": F.when(F.size("books") == 3, "triple").otherwise("double"), "genre": F.lit("other")})
     pairs = pericopes.where("size(books) > 1").select("pericope_id", F.col("books")[0].alias("book_a"), F.col("books")[1].alias("book_b"))
     pairs = pairs.withColumn("pairs", F.expr("array(named_struct('idx_a', 0, 'idx_b', 0), named_struct('idx_a', cast(null as int), 'idx_b', 1))"))
-    splits = pericopes.select("pericope_id", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("pericope_id").cast("int") % 3 + 1)).alias("split"))
+    splits = pericopes.select(
+        "pericope_id", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("pericope_id").cast("int") % 3 + 1)).alias("split")
+    )
     return tokens, pericopes, pairs, splits
 
 
 _PASSAGES = """t AS (SELECT conv_id, role, turn, CASE WHEN conv_id % 9 = 0 THEN '' ELSE conv_id::VARCHAR END AS pid FROM conversations),
-    b AS (SELECT pid, list_sort(list_distinct(list(role))) AS books, count(*) AS n, ['train', 'val', 'test'][any_value(conv_id) % 3 + 1] AS split FROM t WHERE pid <> '' GROUP BY pid)"""
+    b AS (SELECT pid, list_sort(list_distinct(list(role))) AS books, count(*) AS n, ['train', 'val', 'test'][any_value(conv_id) % 3 + 1] AS split
+        FROM t WHERE pid <> '' GROUP BY pid)"""
 
 
 def _exported(spark, sf_dir):
@@ -217,16 +258,23 @@ def _exported(spark, sf_dir):
     return path, parts
 
 
-@query(f"""WITH {_PASSAGES} SELECT pid AS pericope_id, CASE WHEN len(books) = 3 THEN 'triple' ELSE 'double' END AS tradition, 'other' AS genre, '["' || array_to_string(books, '","') || '"]' AS books, n AS n_tokens,
+@query(f"""WITH {_PASSAGES} SELECT pid AS pericope_id, CASE WHEN len(books) = 3 THEN 'triple' ELSE 'double' END AS tradition, 'other' AS genre,
+        '["' || array_to_string(books, '","') || '"]' AS books, n AS n_tokens,
     CASE WHEN len(books) > 1 THEN 2 ELSE 0 END::BIGINT AS n_alignment_pairs, split FROM b""")
 def exported_passages(spark, sf_dir):
     return spark.read.parquet(f"{_exported(spark, sf_dir)[0]}/pericopes.parquet")
 
 
-@query(f"WITH {_PASSAGES} SELECT CASE split WHEN 'val' THEN 'validation' ELSE split END AS folder, role || '.' || t.conv_id || '.' || turn AS token_id, '[\"' || array_to_string(books, '\",\"') || '\"]' AS books FROM t JOIN b USING (pid)")
+@query(
+    f"WITH {_PASSAGES} SELECT CASE split WHEN 'val' THEN 'validation' ELSE split END AS folder, role || '.' || t.conv_id || '.' || turn AS token_id, '[\"' || array_to_string(books, '\",\"') || '\"]' AS books FROM t JOIN b USING (pid)"
+)
 def exported_tokens(spark, sf_dir):
     path, _ = _exported(spark, sf_dir)
-    parts = [spark.read.parquet(f"{path}/data/{name}.parquet").select(F.lit(name).alias("folder"), "token_id", F.col("books_in_pericope").alias("books")) for name in sinks.SPLITS.values()]
+    parts = [
+        spark.read.parquet(f"{path}/data/{name}.parquet").select(
+            F.lit(name).alias("folder"), "token_id", F.col("books_in_pericope").alias("books")
+        ) for name in sinks.SPLITS.values()
+    ]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
@@ -236,7 +284,8 @@ def export_checks(spark, sf_dir):
     return sinks.export_checks(spark, path, tokens, pericopes, splits)
 
 
-@query(f"""WITH {_PASSAGES} SELECT pid AS pericope_id, array_to_string(books, ',') AS books, CASE WHEN len(books) > 1 THEN books[1] || '|' || books[2] || ' 0,0;,1' END AS aligned, split,
+@query(f"""WITH {_PASSAGES} SELECT pid AS pericope_id, array_to_string(books, ',') AS books, CASE
+        WHEN len(books) > 1 THEN books[1] || '|' || books[2] || ' 0,0;,1' END AS aligned, split,
     n AS n_tokens FROM b""")
 def corpus_round_trip(spark, sf_dir):
     tokens, pericopes, pairs, splits = _passages(spark, sf_dir)
@@ -254,15 +303,21 @@ def corpus_round_trip(spark, sf_dir):
     pair = lambda p: F.concat(F.coalesce(p["idx_a"].cast("string"), F.lit("")), F.lit(","), F.coalesce(p["idx_b"].cast("string"), F.lit("")))
     said = F.concat("book_a", F.lit("|"), "book_b", F.lit(" "), F.array_join(F.transform("pairs", pair), ";"))
     counts = made["tokens"].groupBy("pericope_id").agg(F.count("*").alias("n_tokens"))
-    rows = made["pericopes"].join(made["alignments"].select("pericope_id", said.alias("aligned")), "pericope_id", "left").join(made["splits"], "pericope_id").join(counts, "pericope_id")
+    rows = made["pericopes"].join(
+        made["alignments"].select("pericope_id", said.alias("aligned")), "pericope_id", "left"
+    ).join(made["splits"], "pericope_id").join(counts, "pericope_id")
     return rows.select("pericope_id", F.array_join("books", ",").alias("books"), "aligned", "split", "n_tokens")
 
 
-@query("SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'koine' WHEN doc_id % 3 = 1 THEN 'classical' ELSE 'given' END AS register FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'LXX' ELSE source END AS source FROM documents)")
+@query(
+    "SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN 'koine' WHEN doc_id % 3 = 1 THEN 'classical' ELSE 'given' END AS register FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'LXX' ELSE source END AS source FROM documents)"
+)
 def training_rows(spark, sf_dir):
     path = new_path(spark, "jsonl")
     source = F.when(F.col("doc_id") % 3 == 0, "LXX").otherwise(F.col("source"))
-    sinks.write_jsonl(table(spark, sf_dir, "documents").select("doc_id", source.alias("source"), F.when(F.col("doc_id") % 3 == 2, "given").alias("register")), path)
+    sinks.write_jsonl(
+        table(spark, sf_dir, "documents").select("doc_id", source.alias("source"), F.when(F.col("doc_id") % 3 == 2, "given").alias("register")), path
+    )
     return readers.training_rows(spark, path)
 
 
@@ -273,11 +328,15 @@ def split_folders(spark, sf_dir):
     return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n_tokens, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 9 <> 0) AS n_pericopes, 'Luke,Mark' AS stems FROM conversations")
+@query(
+    "SELECT count(*) AS n_tokens, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 9 <> 0) AS n_pericopes, 'Luke,Mark' AS stems FROM conversations"
+)
 def corpus_sizes(spark, sf_dir):
     tokens, pericopes, _, _ = _passages(spark, sf_dir)
     stems = ",".join(readers.excluded_stems(["Mark", "Luke"]))
-    return corpus.corpus_sizes(readers.require_columns(tokens, readers.TOKEN_COLUMNS), readers.require_columns(pericopes, readers.PERICOPE_COLUMNS)).withColumn("stems", F.lit(stems))
+    return corpus.corpus_sizes(
+        readers.require_columns(tokens, readers.TOKEN_COLUMNS), readers.require_columns(pericopes, readers.PERICOPE_COLUMNS)
+    ).withColumn("stems", F.lit(stems))
 
 
 # ---------------------------------------------------------------- the reader
@@ -285,10 +344,14 @@ def corpus_sizes(spark, sf_dir):
 
 def _held(spark, sf_dir):
     tokens, pericopes, _, splits = _passages(spark, sf_dir)
-    return tokens.withColumn("is_punctuation", F.when(F.col("verse") % 3 == 2, True).when(F.col("verse") % 3 == 1, F.lit(None).cast("boolean")).otherwise(False)), pericopes, splits
+    return tokens.withColumn(
+        "is_punctuation", F.when(F.col("verse") % 3 == 2, True).when(F.col("verse") % 3 == 1, F.lit(None).cast("boolean")).otherwise(False)
+    ), pericopes, splits
 
 
-@query("SELECT conv_id::INTEGER AS chapter, turn::INTEGER AS verse FROM conversations WHERE role = 'user' AND conv_id % 9 <> 0 AND conv_id % 3 = 0 AND turn % 3 <> 2")
+@query(
+    "SELECT conv_id::INTEGER AS chapter, turn::INTEGER AS verse FROM conversations WHERE role = 'user' AND conv_id % 9 <> 0 AND conv_id % 3 = 0 AND turn % 3 <> 2"
+)
 def token_filter(spark, sf_dir):
     tokens, _, splits = _held(spark, sf_dir)
     return reader.tokens(tokens, book="user", splits=splits, split="train").select("chapter", "verse")
@@ -301,7 +364,9 @@ def verse_lookup(spark, sf_dir):
 
 @query(f"WITH {_PASSAGES} SELECT pid AS pericope_id, len(books)::INTEGER AS books FROM b WHERE len(books) = 2 AND list_contains(books, 'assistant')")
 def passage_filter(spark, sf_dir):
-    return reader.pericopes(_held(spark, sf_dir)[1], tradition="double", genre="other", books=["assistant", "user"]).select("pericope_id", F.size("books").alias("books"))
+    return reader.pericopes(
+        _held(spark, sf_dir)[1], tradition="double", genre="other", books=["assistant", "user"]
+    ).select("pericope_id", F.size("books").alias("books"))
 
 
 @query("SELECT role AS book FROM conversations GROUP BY role")
@@ -318,14 +383,20 @@ def verse_picker(spark, sf_dir):
 def described_features(spark, sf_dir):
     features = F.create_map(F.lit("voice"), F.lit("active"), F.lit("person"), F.when(F.col("p_size") % 2 == 0, "first").otherwise(""))
     sign = F.when(F.col("p_size") % 3 == 0, " ·, ").when(F.col("p_size") % 3 == 1, "a,").otherwise("  ")
-    return table(spark, sf_dir, "part").select("p_partkey", T.describe_features(features, ["person", "voice", "mood"]).alias("features"), T.is_punctuation(sign).alias("punctuation"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", T.describe_features(features, ["person", "voice", "mood"]).alias("features"), T.is_punctuation(sign).alias("punctuation")
+    )
 
 
-@query("""WITH g AS (SELECT conv_id, [w || 'α' FOR w IN list(role ORDER BY turn)][1:5] AS l FROM conversations GROUP BY conv_id), e AS (SELECT conv_id, l, unnest(range(1, len(l) + 1)) AS i FROM g)
-    SELECT conv_id::VARCHAR AS id, (i - 1)::INTEGER AS position, l[i] AS surface, upper(l[i]) AS lemma, CASE WHEN length(l[i]) % 2 = 0 THEN 'noun' ELSE 'verb' END AS pos, true AS predicted,
+@query("""WITH g AS (SELECT conv_id, [w || 'α' FOR w IN list(role ORDER BY turn)][1:5] AS l FROM conversations GROUP BY conv_id),
+        e AS (SELECT conv_id, l, unnest(range(1, len(l) + 1)) AS i FROM g)
+    SELECT conv_id::VARCHAR AS id, (i - 1)::INTEGER AS position, l[i] AS surface, upper(l[i]) AS lemma, CASE WHEN length(l[i]) % 2 = 0 THEN 'noun'
+        ELSE 'verb' END AS pos, true AS predicted,
     CASE WHEN l[i] = 'userα' THEN 'asks' ELSE '' END AS gloss FROM e""")
 def analysed_texts(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit("α x")).alias("t")))).alias("l"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit("α x")).alias("t")))).alias("l")
+    )
     texts = rows.select(F.col("conv_id").cast("string").alias("id"), F.array_join(F.transform("l", lambda x: x["t"]), " ").alias("text"))
 
     def predict(task, lists):

@@ -67,13 +67,17 @@ def sparse_column(spark: SparkSession, path: str | list[str]) -> DataFrame:
     tab = F.instr("value", "\t") > 0
     spec = F.when(tab, F.substring_index("value", "\t", 1))
     low, high = F.expr("cast(substring_index(_s, '-', 1) as int)"), F.expr("cast(substring_index(_s, '-', -1) as int)")
-    rows = rows.withColumn("_s", spec).withColumn("_lo", low).withColumn("_hi", high).withColumn("v", F.when(tab, F.expr("substr(value, instr(value, '\t') + 1)")).otherwise(F.col("value")))
+    rows = rows.withColumn("_s", spec).withColumn("_lo", low).withColumn("_hi", high).withColumn(
+        "v", F.when(tab, F.expr("substr(value, instr(value, '\t') + 1)")).otherwise(F.col("value"))
+    )
     w = Window.partitionBy("file").orderBy("slot")
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_end", F.coalesce(F.last("_hi", ignorenulls=True).over(run), F.lit(0)))
     rows = rows.withColumn("_at", F.coalesce(F.last(F.when(F.col("_hi").isNotNull(), F.col("slot")), ignorenulls=True).over(run), F.lit(0)))
     own = F.col("_end") + F.col("slot") - F.col("_at")
-    return rows.where("v <> ''").select("file", F.explode(F.when(F.col("_lo").isNotNull(), F.sequence("_lo", "_hi")).otherwise(F.array(own))).alias("node"), F.col("v").alias("value"))
+    return rows.where("v <> ''").select(
+        "file", F.explode(F.when(F.col("_lo").isNotNull(), F.sequence("_lo", "_hi")).otherwise(F.array(own))).alias("node"), F.col("v").alias("value")
+    )
 
 
 def slot_count(node_types: DataFrame) -> DataFrame:
@@ -153,7 +157,9 @@ def verse_keyed_lines(spark: SparkSession, path: str) -> DataFrame:
     rows = morphology_lines(spark, path)
     key = F.concat_ws(".", F.element_at(F.split("file", "/"), -1), "book", F.col("chapter").cast("string"), F.col("verse").cast("string"))
     form = F.rtrim(F.col("normalized"), F.lit(",.:;·!?()"))
-    return rows.select(key.alias("key"), "position", form.alias("form"), "pos", "lemma", compact_tag(F.concat("pos", "parsing")).alias("morph")).where("form <> ''")
+    return rows.select(
+        key.alias("key"), "position", form.alias("form"), "pos", "lemma", compact_tag(F.concat("pos", "parsing")).alias("morph")
+    ).where("form <> ''")
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
@@ -162,7 +168,10 @@ def conllu(spark: SparkSession, path: str) -> DataFrame:
     blocks = whole_files(spark, path).select("file", F.posexplode(F.split(F.regexp_replace("content", r"\r\n?", "\n"), r"\n\s*\n")).alias("sentence", "block"))
     rows = blocks.withColumn("l", F.filter(F.split("block", "\n"), lambda x: F.trim(x) != ""))
     meta = F.filter("l", lambda x: x.rlike(r"^#.*="))
-    pairs = F.transform(meta, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^#\s*([^=]*)=", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^#[^=]*=(.*)$", 1)).alias("v")))
+    pairs = F.transform(
+        meta,
+        lambda x: F.struct(F.trim(F.regexp_extract(x, r"^#\s*([^=]*)=", 1)).alias("k"), F.trim(F.regexp_extract(x, r"^#[^=]*=(.*)$", 1)).alias("v"))
+    )
     cells = F.filter(F.transform(F.filter("l", lambda x: ~x.startswith("#")), lambda x: F.split(x, "\t")), lambda c: (F.size(c) == 10) & ~c[0].rlike("[-.]"))
     token = F.transform(cells, lambda c: F.struct(
         c[0].cast("int").alias("id"), c[1].alias("form"), c[2].alias("lemma"), c[3].alias("upos"), c[4].alias("xpos"), feats(c[5]).alias("feats"),
@@ -243,7 +252,9 @@ def _element_texts(content: str) -> list[str]:
         return []
 
 
-def text_chunks(spark: SparkSession, path: str, exclude: list[str] = (), skip: list[str] = ("README", "LICENSE", "NOTES", "Makefile", "makefile", "Pipfile")) -> DataFrame:
+def text_chunks(
+    spark: SparkSession, path: str, exclude: list[str] = (), skip: list[str] = ("README", "LICENSE", "NOTES", "Makefile", "makefile", "Pipfile")
+) -> DataFrame:
     """(file, n, chunk): Greek text of a folder of editions. XML and TEI: every element's text of
     more than 3 characters; column files: values after ``=`` of more than 20 characters in lines
     of more than 10; plain text: sentences of more than 20 characters. The latter two are cut at

@@ -61,7 +61,9 @@ def enriched_tokens(tokens: DataFrame, pericopes: DataFrame, splits: DataFrame)
     """Tokens with their passage's tradition, genre and books (empty, empty and ``[]`` without one)
     and split (empty without one)."""
     books = F.to_json("books") if pericopes.schema["books"].dataType.simpleString() != "string" else F.col("books")
-    dimension = pericopes.select("pericope_id", "tradition", "genre", books.alias("books_in_pericope")).join(splits.select("pericope_id", "split"), "pericope_id", "left")
+    dimension = pericopes.select(
+        "pericope_id", "tradition", "genre", books.alias("books_in_pericope")
+    ).join(splits.select("pericope_id", "split"), "pericope_id", "left")
     joined = tokens.drop("tradition", "genre").join(dimension, "pericope_id", "left")
     defaults = {"tradition": "", "genre": "", "books_in_pericope": "[]", "split": ""}
     return joined.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()}).select(*TOKEN_EXPORT, "split")
@@ -105,16 +107,23 @@ def export_checks(spark: SparkSession, path: str, tokens: DataFrame, pericopes:
     lost = own.select("pericope_id").distinct().join(ids.distinct(), "pericope_id", "left_anti").isEmpty()
     kept = spark.read.parquet(f"{path}/pericopes.parquet").count() == pericopes.count()
     readable = spark.read.schema("key string, pairs string").json(f"{path}/alignments.json").where("key is null").isEmpty()
-    checks = {"counts_kept": sum(counts.values()) == own.count(), "splits_filled": all(counts.values()), "ids_kept": lost, "pericopes_kept": kept, "alignments_readable": readable}
+    checks = {
+        "counts_kept": sum(counts.values()) == own.count(), "splits_filled": all(counts.values()), "ids_kept": lost, "pericopes_kept": kept,
+        "alignments_readable": readable
+    }
     return spark.createDataFrame([tuple(checks.values())], ", ".join(f"{c} boolean" for c in checks))
 
 
 def index_rows(words: DataFrame, book_order: str = "book_number") -> DataFrame:
     """(book, number, chapters MAP<chapter, MAP<verse, ARRAY<JSON word>>>) of a reader's words, one
     row a book; words as lists of surface, lemma, pos, features, gloss, strong, after."""
-    word = F.to_json(F.array(*[F.to_json(F.col(c)) if c == "features" else F.col(c) for c in ("surface", "lemma", "pos", "features", "gloss", "strong", "after")]))
+    word = F.to_json(
+        F.array(*[F.to_json(F.col(c)) if c == "features" else F.col(c) for c in ("surface", "lemma", "pos", "features", "gloss", "strong", "after")])
+    )
     one = lambda key, value: F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), value)))
-    verses = words.groupBy("book", "chapter", "verse").agg(F.min(book_order).alias("number"), F.array_sort(F.collect_list(F.struct("position", word.alias("w")))).alias("l"))
+    verses = words.groupBy("book", "chapter", "verse").agg(
+        F.min(book_order).alias("number"), F.array_sort(F.collect_list(F.struct("position", word.alias("w")))).alias("l")
+    )
     verses = verses.select("book", "number", "chapter", "verse", F.transform("l", lambda x: x["w"]).alias("w"))
     chapters = verses.groupBy("book", "chapter").agg(F.min("number").alias("number"), one("verse", F.col("w")).alias("v"))
     return chapters.groupBy("book").agg(F.min("number").alias("number"), one("chapter", F.col("v")).alias("chapters"))
@@ -123,7 +132,12 @@ def index_rows(words: DataFrame, book_order: str = "book_number") -> DataFrame:
 def index_document(words: DataFrame, name: str) -> dict:
     """The whole index as one document, on the driver: an edition's words, some hundred thousand."""
     books = index_rows(words).orderBy("number").collect()
-    plain = {r["book"]: {c: {v: [[json.loads(x) if i == 3 and x else x for i, x in enumerate(json.loads(w))] for w in ws] for v, ws in vs.items()} for c, vs in r["chapters"].items()} for r in books}
+    plain = {
+        r["book"]: {
+            c: {v: [[json.loads(x) if i == 3 and x else x for i, x in enumerate(json.loads(w))] for w in ws] for v, ws in vs.items()} for c,
+            vs in r["chapters"].items()
+        } for r in books
+    }
     return {"schema": 1, "name": name, "book_order": [r["book"] for r in books], "books": plain}
 
 
