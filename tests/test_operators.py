@@ -64,7 +64,7 @@ def test_alignments_are_complete_ordered_and_best():
         for begin, end in zip([-1, *paired], [*paired, len(pairs)]):
             gaps = [i is None for i, _ in pairs[begin + 1 : end]]
             assert gaps == sorted(gaps, reverse=end < len(pairs))  # gaps in a first, after the last pair last
-        assert plain_score(pairs, a, b) <= best_score(a, b) + 1e-9
+        assert plain_score(pairs, a, b) == pytest.approx(best_score(a, b))
         assert sum(i is not None and j is not None and a[i] == b[j] for i, j in pairs) == len(paired)
     with pytest.raises(ValueError):
         gotoh([], ["a"])

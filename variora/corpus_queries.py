@@ -8,7 +8,7 @@ from variora.functions import labels as L
 from variora.functions import scores as S
 from variora.functions import text as T
 from variora.operators import aggregates, corpus, evaluation, examples, linking, pools, probe, sampling, statistics, study
-from variora.queries import _SCORES, _SIDES, _SUMMARY, _U, _boot, _rounded, _scores, _sides, query, table, words
+from variora.queries import _SCORES, _SIDES, _SUMMARY, _U, _boot, _rounded, _scores, _sides, key, ORACLE_SQL, query, shingled, table, words
 from variora.sources import readers
 
 _ALL = ["user", "assistant", "system"]
@@ -704,7 +704,16 @@ def crasis_examples(spark, sf_dir):
     return pools.crasis_examples(rows).select("conv_id", "turn", "input_text", "target_text")
 
 
-@query()
+@query(f"""WITH t AS (SELECT conv_id || ':' || turn AS id, translate(text, 'eaio', 'ηωαι') || ' οικει' AS text FROM conversations),
+    w AS (SELECT id, unnest(range(len(l))) AS i, unnest(l) AS w, len(l) AS n FROM (SELECT id, {words('text')} AS l FROM t)),
+    a AS (SELECT DISTINCT lower(strip_accents(rtrim(w, ',.:;·!?()'))) AS form FROM w JOIN t USING (id) WHERE length(text) % 2 = 0),
+    r(j, old, new) AS (VALUES (0, 'ει', 'ι'), (1, 'η', 'ι'), (2, 'οι', 'υ'), (3, 'αι', 'ε'), (4, 'ω', 'ο')),
+    x AS (SELECT id, i, n, j, substr(w, 1, instr(w, old) - 1) || new || substr(w, instr(w, old) + length(old)) AS made FROM w JOIN r ON contains(w, old)),
+    e AS (SELECT id, i, n, min_by(made, md5('42:' || id || ':' || i || ':' || j)) AS made FROM x WHERE lower(strip_accents(made)) NOT IN (SELECT form
+        FROM a) GROUP BY ALL),
+    c AS (SELECT id, i, made FROM e QUALIFY row_number() OVER (PARTITION BY id ORDER BY md5('42:' || id || ':' || i)) <= greatest(2, floor(n * 0.4)))
+    SELECT id, 'normalize: ' || string_agg(coalesce(made, w), ' ' ORDER BY i) AS input_text, any_value(text) AS target_text FROM w LEFT
+        JOIN c USING (id, i) JOIN t USING (id) GROUP BY id HAVING count(made) > 0""")
 def itacism_examples(spark, sf_dir):
     rows = _turns(spark, sf_dir).select(
         F.concat_ws(":", "conv_id", "turn").alias("id"), F.concat(F.translate("text", "eaio", "ηωαι"), F.lit(" οικει")).alias("text")
@@ -723,10 +732,25 @@ def held_out_texts(spark, sf_dir):
     return pools.held_out_texts(rows.drop("split"), rows.select("pericope_id", "split").distinct(), ["val", "test"])
 
 
-@query()
+_WINDOWS = ORACLE_SQL["passage_windows"].replace("md5(string_agg(text, ' ' ORDER BY doc_id)) AS text", "string_agg(text, ' ' ORDER BY doc_id) AS text")
+_BUILT = _WINDOWS[: _WINDOWS.rindex("SELECT source, mine")], _WINDOWS[_WINDOWS.rindex("SELECT source, mine") :]
+
+
+@query(f"""{_BUILT[0].rstrip()}, v AS ({_BUILT[1]}), u AS (SELECT source || ':' || v."window" AS id, text
+        FROM v), i AS (SELECT DISTINCT unnest({shingled(key('text'), 8)}) AS s FROM benchmark),
+    c AS (SELECT DISTINCT id FROM (SELECT id, unnest({shingled(key('text'), 8)}) AS s FROM u) WHERE s IN (SELECT s FROM i)),
+        f AS (SELECT min(id) AS id FROM u GROUP BY md5({key('text')})),
+    k AS (SELECT id, len({words('text')}) AS n, row_number() OVER (ORDER BY md5('42:' || id), id) AS r, count(*) OVER () AS total FROM u
+        JOIN f USING (id) WHERE id NOT IN (SELECT id FROM c)),
+    z AS (SELECT *, r <= greatest(1, floor(total * 0.02)) AS eval FROM k)
+    SELECT (SELECT count(*) FROM u) AS raw_windows, (SELECT count(*) FROM c) AS contaminated, count(*) AS clean_windows, (SELECT count(*)
+        FROM u) - count(*) AS dropped,
+    count(*) FILTER (NOT eval) AS train_windows, count(*) FILTER (eval) AS eval_windows, sum(n) FILTER (NOT eval)::BIGINT AS corpus_words FROM z""")
 def corpus_build(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("ref"), "text")
-    return pools.build_corpus(docs, table(spark, sf_dir, "benchmark"))["manifest"]
+    totals = "raw_windows long, contaminated long, clean_windows long, dropped long, train_windows long, eval_windows long, corpus_words long"
+    made = pools.build_corpus(docs, table(spark, sf_dir, "benchmark"))["manifest"]
+    return made.select(F.from_json("manifest", totals).alias("m")).select("m.*")
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 40")
@@ -735,19 +759,25 @@ def control_chunks(spark, sf_dir):
     return readers.control_chunks(rows, 40).select("o_orderkey")
 
 
-@query()
+@query(
+    f"SELECT doc_id, len(w)::INTEGER AS n, greatest(1, floor(len(w) * 0.15))::INTEGER AS masked, true AS kept FROM (SELECT doc_id, {words('text')} AS w FROM documents) WHERE len(w) > 0"
+)
 def masked_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.words(F.col("text")), lambda w: F.length(w)).alias("ids")).where("size(ids) > 0")
     made = pools.mask_tokens(rows, "doc_id", "ids", mask=-1)
-    return made.select("doc_id", F.size("labels").alias("n"), F.size(F.filter("input_ids", lambda x: x == -1)).alias("masked"))
+    masked = F.size(F.filter("input_ids", lambda x: x == -1))
+    kept = F.forall(F.zip_with("input_ids", "labels", lambda x, y: (x == -1) | (x == y)), lambda x: x)
+    return made.select("doc_id", F.size("labels").alias("n"), masked.alias("masked"), kept.alias("kept"))
 
 
-@query()
+@query(
+    """SELECT p_partkey, p_size::INTEGER AS total, CASE WHEN p_size = 0 THEN 0 ELSE least(p_size, p_partkey % 7 + 1) END::INTEGER AS parts, true AS positive FROM part"""
+)
 def compositions(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").alias("n"), (F.col("p_partkey") % 7 + 1).cast("int").alias("k"))
-    return pools.compositions(rows, "p_partkey", "n", "k").select(
-        "p_partkey", "n", "k", F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts")
-    )
+    made = pools.compositions(rows, "p_partkey", "n", "k")
+    total = F.aggregate("parts", F.lit(0), lambda x, y: x + y)
+    return made.select("p_partkey", total.alias("total"), F.size("parts").alias("parts"), F.forall("parts", lambda x: x > 0).alias("positive"))
 
 
 def _four(spark, sf_dir):

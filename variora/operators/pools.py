@@ -132,7 +132,7 @@ def register_draws(pools: DataFrame, weights: dict[str, float], registers: dict[
     band = Window.partitionBy("task").orderBy(F.col("register").asc_nulls_first())  # one row a pool
     share = both.withColumn("_high", F.sum("w").over(band) / F.sum("w").over(Window.partitionBy("task")))
     bands = share.groupBy("task").agg(F.array_sort(F.collect_list(F.struct("_high", "register", "n"))).alias("_b"))
-    drawn = tasks.join(F.broadcast(bands), "task")
+    drawn = tasks.join(bands, "task")
     u = sampling.uniform(slot, F.lit("register"), seed=seed)
     chosen = F.coalesce(F.get(F.filter("_b", lambda b: b["_high"] > u), F.lit(0)), F.element_at("_b", -1))
     item = F.floor(sampling.uniform(slot, F.lit("within"), seed=seed) * F.col("_c.n")).cast("long")
@@ -182,7 +182,7 @@ def label_ids(tokens: DataFrame, key: list[str], order_by: list[str], text: str,
 
     some = tokens.where(F.coalesce(F.col(label), F.lit("")) != "").withColumn("_o", F.struct(*key, *order_by))
     index = label_index(some, label, "_o").select(F.col(label).alias("_label"), F.col("index").cast("int").alias("_i"))
-    joined = tokens.join(F.broadcast(index), tokens[label] == index["_label"], "left")  # a row a tag
+    joined = tokens.join(index, tokens[label] == index["_label"], "left")
     items = F.array_sort(F.collect_list(F.struct(*order_by, F.col(text).alias("_t"), F.coalesce("_i", F.lit(pad)).alias("_i"))))
     made = joined.groupBy(*key).agg(items.alias("_l"))
     padded = F.slice(F.concat(F.transform("_l", lambda x: x["_i"]), F.array_repeat(F.lit(pad), size)), 1, size)
@@ -225,7 +225,7 @@ def itacism_examples(
     tried = tried.withColumn("form", strip_accents(F.col("new")))
     if attested is not None:
         tried = tried.join(attested, "form", "left_anti")
-    rank = lambda *parts: F.xxhash64(F.lit(seed), "_k", *parts)
+    rank = lambda *parts: sampling.hash_order("_k", *parts, seed=str(seed))
     each = tried.groupBy("_k", "_i").agg(F.min_by("new", rank("_i", "j")).alias("_new"))
     sized = rows.withColumn("_n", F.size(words(F.col(text)))).select(
         F.col(key).alias("_k"), F.greatest(F.lit(least), F.floor(F.col("_n") * rate)).alias("_budget")

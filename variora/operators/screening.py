@@ -26,7 +26,8 @@ def contaminated(rows: DataFrame, held_out: DataFrame, key: str, text: str = "te
 
 
 def first_of_each(rows: DataFrame, text: str, order: str) -> DataFrame:
-    """Rows whose normalised text no earlier row has; empty texts are left out."""
+    """Rows whose normalised text no earlier row has; empty texts are left out. ``order`` tells rows
+    apart."""
     keyed = rows.select(order, F.sha2(dedup_key(F.col(text)), 256).alias("_k")).where(strip(F.coalesce(F.col(text), F.lit(""))) != "")
     firsts = keyed.groupBy("_k").agg(F.min(order).alias(order)).select(order)
     return rows.join(firsts, order, "left_semi")

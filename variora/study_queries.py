@@ -72,13 +72,13 @@ def completion_probe(spark, sf_dir):
     return rows.select("doc_id", F.md5("input_text").alias("input"), F.md5("target_text").alias("target"))
 
 
-@query()
+@query(f"""SELECT doc_id, n - hidden AS kept, hidden FROM (SELECT doc_id, n, greatest(least(greatest(1, round_even(n * 0.15, 0)::INTEGER), n - 1), 0) AS hidden
+    FROM (SELECT doc_id, len({words('text')})::INTEGER AS n FROM documents))""")
 def span_corruption(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("w"))
-    return examples.corrupt_spans(rows, "doc_id", "w").select(
-        "doc_id", F.size("corrupted").alias("n_corrupted"), F.size("target").alias("n_target"),
-        F.md5(F.array_join("corrupted", " ")).alias("corrupted")
-    )
+    made = examples.corrupt_spans(rows, "doc_id", "w")
+    words_in = lambda c: F.size(F.filter(c, lambda x: ~x.startswith("<extra_id_")))
+    return made.select("doc_id", words_in("corrupted").alias("kept"), (words_in("target") - 1).alias("hidden"))
 
 
 @query("""SELECT *, least("user", assistant, system) AS smallest, conv_id IN (1, 2, 3) AS overlap FROM (
