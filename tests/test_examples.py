@@ -26,8 +26,9 @@ def test_corrupted_spans_can_be_undone(spark):
 def test_tags(spark):
     row = spark.range(1).select(
         tags.morphology(F.lit("3AAI-S")).alias("m"), tags.verse_span(F.lit("Mk 6:45")).alias("v"), tags.verse_span(F.lit("no")).alias("n"), tags.part_of_speech(F.lit("Df"), F.lit("μέν")).alias("p"),
-        tags.part_of_speech(F.lit("Df"), F.lit("μέν"), {}).alias("q"),
+        tags.part_of_speech(F.lit("Df"), F.lit("μέν"), {}).alias("q"), tags.verse_span(F.lit(" Ματθαῖος 6:45-50")).alias("g"),
     ).first()
+    assert tuple(row.g) == ("Ματθαῖος", 6045, 6050)
     assert row.m == {"person": "third", "tense": "aorist", "voice": "active", "mood": "indicative", "number": "singular"}
     assert tuple(row.v) == ("Mark", 6045, 6045) and row.n is None and (row.p, row.q) == ("C-", "D-")
 

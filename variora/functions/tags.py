@@ -19,16 +19,17 @@ NUMBER = {"S": "singular", "P": "plural"}
 GENDER = {"M": "masculine", "F": "feminine", "N": "neuter"}
 DEGREE = {"C": "comparative", "S": "superlative"}
 FEATURES = {"person": PERSON, "tense": TENSE, "voice": VOICE, "mood": MOOD, "case": CASE, "number": NUMBER, "gender": GENDER, "degree": DEGREE}
-#: Treebank tag to part-of-speech code; others are X-.
+# Treebank tag to part-of-speech code; others are X-.
 TREEBANK_POS = {
     "V-": "V-", "Nb": "N-", "Ne": "N-", "F-": "N-", "S-": "RA", "A-": "A-", "Ma": "A-", "Mo": "A-", "Ps": "A-", "Df": "D-", "Du": "D-",
     "R-": "P-", "C-": "C-", "G-": "C-", "Dq": "C-", "Pp": "RP", "Pk": "RP", "Pc": "RP", "Pr": "RR", "Pd": "RD", "Pi": "RI", "I-": "I-",
 }
-#: Lemmas, without accents, whose code doesn't follow their tag.
+# Lemmas, without accents, whose code doesn't follow their tag.
 LEMMA_POS = {
     "δε": "C-", "γαρ": "C-", "ουν": "C-", "μεν": "C-", "αρα": "C-", "μεντοι": "C-", "διο": "C-", "δη": "X-", "αν": "X-", "γε": "X-",
     "ιδου": "X-", "αμην": "X-", "ναι": "X-", "κυρηναιος": "N-", "κορινθιος": "N-", "χηρα": "A-",
 }
+# Short names of books.
 BOOKS = {
     "Matt": "Matthew", "Mt": "Matthew", "Matthew": "Matthew", "Mark": "Mark", "Mk": "Mark", "Marc": "Mark", "Luke": "Luke", "Lk": "Luke",
     "Luk": "Luke", "John": "John", "Jn": "John"
@@ -55,7 +56,7 @@ def morphology(tag: Column) -> Column:
 def verse_span(ref: Column, books: dict[str, str] = BOOKS) -> Column:
     """struct(book, first, last) of ``Mk 6:45-50``, verses as chapter * 1000 + verse; null where
     it isn't a reference."""
-    pattern = r"^\s*(\w+)\s+(\d+):(\d+)(?:-(\d+))?"
+    pattern = r"(?U)^\s*(\w+)\s+([0-9]+):([0-9]+)(?:-([0-9]+))?"
     part = lambda i: F.nullif(F.regexp_extract(ref, pattern, i), F.lit(""))
     at = lambda v: part(2).cast("int") * 1000 + v.cast("int")
     return F.when(

@@ -20,7 +20,7 @@ _FROM, _TO = "".join(c for c, _ in _PAIRS), "".join(d for _, d in _PAIRS)
 #: White space as Unicode has it, with the four separators of ASCII: a class of characters.
 SPACES = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
-#: Stripped from both ends of a word.
+# Stripped from both ends of a word.
 PUNCTUATION = ".,;:!?·()[]{}<>\"'«»“”‘’—–-…⸀⸁⸂⸃⸄⸅"
 
 
