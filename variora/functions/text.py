@@ -17,8 +17,11 @@ _PRECOMPOSED = [chr(c) for a, b in ((0xC0, 0x250), (0x370, 0x400), (0x1E00, 0x20
 _PAIRS = [(c, d[0]) for c in _PRECOMPOSED if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(x) for x in d[1:])]
 _FROM, _TO = "".join(c for c, _ in _PAIRS), "".join(d for _, d in _PAIRS)
 
-#: White space as Unicode has it, with the four separators of ASCII: a class of characters.
-SPACES = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space as Unicode has it, with the four separators of ASCII: a class of characters, for
+#: patterns that begin with (?U).
+SPACES = r"[\s\x1c-\x1f]"
+_OTHER_SPACES = r"[\s\x1c-\x1f&&[^ ]]"
+_SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Stripped from both ends of a word.
 PUNCTUATION = ".,;:!?·()[]{}<>\"'«»“”‘’—–-…⸀⸁⸂⸃⸄⸅"
@@ -31,11 +34,12 @@ def drop_marks(x: Column) -> Column:
 
 
 def strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{SPACES}+|{SPACES}+$", "")
+    return F.btrim(x, F.lit(_SPACE_CHARS))
 
 
 def collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, f"{SPACES}+", " "))
+    """Words parted by one blank; a single blank is never touched."""
+    return F.trim(F.regexp_replace(x, f"(?U) {SPACES}+|{_OTHER_SPACES}{SPACES}*", " "))
 
 
 def casefold(x: Column) -> Column:
@@ -68,7 +72,7 @@ def uncial(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """White-space words, none for an empty text."""
-    return F.filter(F.split(F.coalesce(x, F.lit("")), f"{SPACES}+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(x, F.lit("")), f"(?U){SPACES}+"), lambda w: w != "")
 
 
 def is_greek(x: Column) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variora.functions.text import words
+from variora.functions.text import collapse, words
 from variora.operators.linking import numbered
 from variora.storage import materialise
 
@@ -70,12 +70,11 @@ def passage_windows(passages: DataFrame, target: int = 150, most: int = 300, par
     short pass over the parts tells what it does bring, and the parts are walked alone.
     """
     spark = passages.sparkSession
-    rows = passages.select(
-        "source", "ord", "ref", F.array_join(words(F.col("text")), " ").alias("text"), F.size(words(F.col("text"))).alias("n")
-    ).where("n > 0")
-    sizes = rows.select(F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z"), "ord", "n")
+    own = F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("z"), "ord"
+    sizes = passages.select(*own, F.size(words(F.col("text"))).alias("n")).where("n > 0")
+    sizes = materialise(sizes, "sizes")  # the texts are read for this once, and once for the windows
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-sizes.count() // part_rows))
-    placed = materialise(numbered(sizes, ["s", "z", "ord"], "_at", parts), "sizes")
+    placed = materialise(numbered(sizes, ["s", "z", "ord"], "_at", parts), "places")
     # a part of the numbering is told by its places
     step = F.lit(part_rows).cast("long")
     placed = placed.withColumn("part", F.floor(F.col("_at") / step))
@@ -96,16 +95,17 @@ def passage_windows(passages: DataFrame, target: int = 150, most: int = 300, par
     def label(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ord")
         numbers, _ = _flow(part["n"].tolist(), int(part["now"].iloc[0]), target, most)
-        return part[["s", "z", "ord"]].assign(window=np.array(numbers[:-1], np.int64) + int(part["number"].iloc[0]))
+        return part[["s", "z", "ord", "n"]].assign(window=np.array(numbers[:-1], np.int64) + int(part["number"].iloc[0]))
 
     key = "s string, z boolean"
     outcomes = placed.groupBy("s", "z", "part").applyInPandas(outcome, f"{key}, part long, ended array<long>, held array<long>")
     entries = outcomes.groupBy("s", "z").applyInPandas(enter, f"{key}, part long, number long, now long")
     entered = placed.join(entries, ["s", "z", "part"])
-    labels = entered.groupBy("s", "z", "part").applyInPandas(label, f"{key}, ord {rows.schema['ord'].dataType.simpleString()}, window long")
-    numbered_rows = rows.withColumns({"s": F.coalesce("source", F.lit("")), "z": F.col("source").isNull()}).join(labels, ["s", "z", "ord"])
+    kind = sizes.schema["ord"].dataType.simpleString()
+    labels = entered.groupBy("s", "z", "part").applyInPandas(label, f"{key}, ord {kind}, n int, window long")
+    texts = passages.select("source", *own, "ref", collapse(F.col("text")).alias("text"))
     items = F.array_sort(F.collect_list(F.struct("ord", "ref", "text")))
-    made = numbered_rows.groupBy("source", "window").agg(items.alias("i"), F.sum("n").alias("n_words"))
+    made = texts.join(labels, ["s", "z", "ord"]).groupBy("source", "window").agg(items.alias("i"), F.sum("n").alias("n_words"))
     first, last = F.col("i")[0]["ref"], F.element_at("i", -1)["ref"]
     ref = F.when(first == last, first).otherwise(F.concat(first, F.lit("–"), last))
     return made.select("source", "window", ref.alias("ref"), "n_words", F.array_join(F.transform("i", lambda x: x["text"]), " ").alias("text"))
