@@ -80,6 +80,28 @@ def test_join_judges_repeated_ids_by_their_own_texts(spark, monkeypatch):
         assert [r.component_id for r in got if r.doc_id is None] == [None]
 
 
+def test_a_common_line_makes_no_large_block(spark):
+    import random
+
+    draw = random.Random(4)
+    line = " ".join(f"line{i}" for i in range(15))
+    texts = [" ".join(f"w{draw.randint(0, 10**6)}" for _ in range(draw.choice((8, 12, 60)))) + " " + line for _ in range(300)]
+    texts += [t + " more" for t in texts[:9] + texts[:4]] + [line, line + " more"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rule = jaccard_join.Rule()
+    blocks = jaccard_join._blocks(jaccard_join.signatures(docs, rule, "doc_id", "text"), rule)
+    assert blocks.groupBy("block").count().agg(F.max("count")).first()[0] < 40
+    sets = [{tuple(w[j : j + 4]) for j in range(len(w) - 3)} for w in map(str.split, texts)]
+    near = list(range(len(texts)))
+    for _ in range(3):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 85 * len(a | b):
+                    near[i] = near[j] = min(near[i], near[j])
+    assert near[300:313] == [0, 1, 2, 3, 4, 5, 6, 7, 8, 0, 1, 2, 3] and near[314] == 313
+    assert {r.doc_id: r.component_id for r in jaccard_join.join_components(docs, rule).collect()} == dict(enumerate(near))
+
+
 def test_repeats_by_any_id_under_any_column_name(spark):
     a, b = "a" * 150, "qwertyuiop" * 20 + "z" * 150
     rows = [(5, a, 1, "x"), (5, b, 2, "y"), (None, b, 3, "z"), (7, a + b, 4, None), (5, a, 5, "x")]

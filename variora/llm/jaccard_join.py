@@ -2,8 +2,11 @@
 
 1. A text becomes the set of its distinct word n-grams (64-bit hashes); equal sets form a
    class, and one document of each class goes on.
-2. Two sets with a Jaccard similarity of t share one of the floor((1-t)n)+1 smallest hashes of
-   each, so documents meet in blocks, one for each such hash. Blocks of one member go.
+2. Two sets with a Jaccard similarity of t share one of the floor((1-t)n)+1 first hashes of
+   each, in any order that all sets follow, so documents meet in blocks, one for each such hash.
+   Common shingles come last in that order (by counts of hashed buckets, which decide nothing
+   but the order), so that a line that many documents have makes no block where they have others.
+   Blocks of one member go.
 3. In a block, documents are points: how many of their hashes fall into each of a number of groups (a
    power of two that grows with the set; finer counts are folded onto coarser ones).
    The overlap of two sets is at most the sum of the coordinates' minima. An R-tree over the
@@ -23,10 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from variora.llm.common import BLOBS, Words, blob_batches, components, gather, materialise, mix, shard_keys, shard_of, shingle_sets, shuffle_width, steps, text_buffer
+from variora.llm.common import BLOBS, Words, blob_batches, components, gather, grams, materialise, mix, shard_keys, shard_of, shingle_sets, shuffle_width, steps, text_buffer
 
 #: Hashes a group on average: with more groups for larger sets the bound stays sharp.
 PER_GROUP, LEAF = 2, 16
+#: Buckets (a power of two) that shingles are counted in; occurrences above a bucket's mean from
+#: which it is common (at least, and in roots of that mean); shingles counted at once.
+BUCKETS, COMMON, ROOTS, COUNTED = 1 << 20, 64, 6, 1 << 22
 #: Documents of a chunk of a block of shared prefix hashes: larger blocks are compared two chunks at a time.
 BLOCK_ROWS = 8_192
 #: Documents in one chunk of a candidate group; candidates up to this many are broadcast.
@@ -205,8 +211,71 @@ def digest(h: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    """The bucket of each hash: its middle bits, as prefixes follow high ones and vectors low ones."""
+    return ((h >> np.uint64(20)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+def commonness(documents: DataFrame, rule: Rule, text_column: str) -> np.ndarray:
+    """For each bucket of shingles 0, or how common they are: the binary logarithm of how often
+    they occur above the mean, by the least that counts as common.
+
+    All texts are counted. What falls into one bucket by chance, repeats in one text and copies
+    bend the order of shingles only, never a result."""
+    width = min(shuffle_width(documents.sparkSession), BUCKETS)
+    keys = shard_keys(width)
+    part = np.arange(BUCKETS) * width // BUCKETS
+    cuts = np.searchsorted(part, np.arange(width + 1))
+
+    def count(batches):
+        counts, parts, size = np.zeros(BUCKETS, np.int64), [], 0
+        for batch in batches:
+            buffer, offsets = text_buffer(batch.column(0))
+            for lo, hi in steps(offsets):
+                words = Words(buffer[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                parts.append(_bucket(grams(words.hash, rule.words)))
+                size += len(parts[-1])
+                if size >= COUNTED:
+                    counts += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                    parts, size = [], 0
+        if parts:
+            counts += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+        if counts.any():
+            counts = np.minimum(counts, np.iinfo(np.uint16).max).astype(np.uint16)
+            blobs = [counts[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(blobs, pa.binary())], ["shard", "blob"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                one = np.frombuffer(blob.as_buffer(), np.uint16)
+                sums[key] = sums[key] + one if key in sums else one.astype(np.int64)
+        for key, n in sums.items():
+            mean = n.mean()
+            over = (n - mean) / max(COMMON, ROOTS * mean**0.5)
+            level = np.where(over > 1, np.ceil(np.log2(np.maximum(over, 1))), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["shard", "blob"])
+
+    out = np.zeros(BUCKETS, np.uint8)
+    at = dict(zip(keys.tolist(), cuts.tolist()))
+    texts = documents.select(documents[text_column].cast("string").alias("_text"))
+    for r in texts.mapInArrow(count, BLOBS).repartition(width, "shard").mapInArrow(add, BLOBS).collect():
+        level = np.frombuffer(r["blob"], np.uint8)
+        out[at[r["shard"]] : at[r["shard"]] + len(level)] = level
+    return out
+
+
+def first_hashes(h: np.ndarray, k: int, common: np.ndarray) -> np.ndarray:
+    """The first k of ascending hashes, the less common ones before the others."""
+    if not common[_bucket(h[:k])].any():
+        return h[:k]
+    return h[np.argsort(common[_bucket(h)], kind="stable")[:k]]
+
+
 def signatures(documents: DataFrame, rule: Rule, id_column: str, text_column: str) -> DataFrame:
     """doc_id, n, k1, k2 (digest of the set), prefix and vec (packed) of each row."""
+    order = documents.sparkSession.sparkContext.broadcast(commonness(documents, rule, text_column))
     rows = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].cast("string").alias("_text"))
 
     def run(batches):
@@ -220,7 +289,7 @@ def signatures(documents: DataFrame, rule: Rule, id_column: str, text_column: st
                     one, two = digest(h)
                     k1.append(one)
                     k2.append(two)
-                    prefix.append(h[: rule.prefix(len(h))].tobytes() if len(h) else b"")
+                    prefix.append(first_hashes(h, rule.prefix(len(h)), order.value).tobytes() if len(h) else b"")
                     vec.append(count_vector(h).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefix, pa.binary()), pa.array(vec, pa.binary())],
@@ -235,7 +304,7 @@ def _blocks(reps: DataFrame, rule: Rule) -> DataFrame:
     shards = shuffle_width(reps.sparkSession)
     keys = shard_keys(shards)
 
-    # prefixes are the smallest hashes: they are mixed before dealing
+    # prefixes are small hashes for the most part: they are mixed before dealing
     def deal(batches):
         for batch in batches:
             docs, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
