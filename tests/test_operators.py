@@ -293,3 +293,20 @@ def test_a_probe_learns_what_is_linear(spark):
     made = spark.createDataFrame([(v, "ab"[v[0] + v[1] > 0]) for (v,) in rows], "v array<double>, l string")
     r = linear_probe(made.limit(200), made.unionAll(spark.createDataFrame([([0.0] * 4, "new")] * 100, made.schema)), "v", "l").first()
     assert r.n == 400 and 0.65 < r.accuracy <= 0.75
+
+
+def test_a_stream_indexes_the_held_out_texts_once(spark, monkeypatch, tmp_path):
+    held = [" ".join(f"h{i}x{j}" for j in range(9)) for i in range(3)]
+    texts = [f"a b {held[i % 3].upper()} c" if i % 4 == 0 else f"a b c d e f g h i j k {i}" for i in range(30)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    calls = []
+    for module in (screen, screening):
+        made = module.contamination_index
+        monkeypatch.setattr(module, "contamination_index", lambda *a, made=made: calls.append(a) or made(*a))
+    asked = spark.createDataFrame([(t,) for t in held], "text string")
+    stream = spark.readStream.schema("id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    screen.flag_batches(stream, asked, f"{tmp_path}/out", f"{tmp_path}/state", "id").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {r.id: r.contaminated for r in got} == {i: i < 30 and i % 4 == 0 for i in range(32)} and len(got) == 32
+    assert len({r.batch for r in got}) == 3 and len(calls) == 1

@@ -17,9 +17,19 @@ def contaminated(rows: DataFrame, held_out: DataFrame, key: str, text: str = "te
 
     Shingles meet by their 64-bit hash, and only rows with a hit are compared word by word.
     """
-    index = contamination_index(held_out, text, n).select("shingle", F.xxhash64("shingle").alias("h"))
+    index = hashed_index(held_out, text, n)
+    return met(rows, index, index.select("h").distinct(), key, text, n)
+
+
+def hashed_index(held_out: DataFrame, text: str = "text", n: int = 8) -> DataFrame:
+    """Each shingle of the held-out texts with its hash ``h``."""
+    return contamination_index(held_out, text, n).select("shingle", F.xxhash64("shingle").alias("h"))
+
+
+def met(rows: DataFrame, index: DataFrame, hashes: DataFrame, key: str, text: str = "text", n: int = 8) -> DataFrame:
+    """Keys of rows that share a shingle with an index (``hashed_index``) with these distinct hashes."""
     hashed = rows.select(key, F.explode(shingle_hashes(dedup_key(F.col(text)), n)).alias("h"))
-    hits = hashed.join(index.select("h").distinct(), "h", "left_semi").select(key).distinct()
+    hits = hashed.join(hashes, "h", "left_semi").select(key).distinct()
     some = rows.select(key, text).join(hits, key, "left_semi")
     own = some.select(key, F.explode(shingles(dedup_key(F.col(text)), n)).alias("shingle"))
     return own.join(index.select("shingle"), "shingle", "left_semi").select(key).distinct()

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from variora.functions.text import dedup_key, shingles
-from variora.operators.screening import contamination_index
+from variora.operators.screening import contamination_index, hashed_index, met
+from variora.storage import materialise
 
 
 def clean_stream(passages: DataFrame, held_out: DataFrame, key: str, text: str = "text", n: int = 8) -> DataFrame:
@@ -19,10 +20,14 @@ def clean_stream(passages: DataFrame, held_out: DataFrame, key: str, text: str =
 
 def flag_batches(passages: DataFrame, held_out: DataFrame, path: str, checkpoint: str, key: str, text: str = "text", n: int = 8):
     """Start a query that appends every batch to ``path`` with ``contaminated`` added. ``key``
-    tells a batch's passages apart."""
+    tells a batch's passages apart. The held-out texts are indexed once, before the first batch;
+    a batch of few large files is spread over all cores and met with the index by hashes."""
+    index = materialise(hashed_index(held_out, text, n), "stream-index")
+    hashes = materialise(index.select("h").distinct(), "stream-hashes")
 
     def write(batch: DataFrame, number: int) -> None:
-        hits = clean_stream(batch, held_out, key, text, n).select(F.col(key).alias("_hit")).distinct()
+        spread = batch.select(key, text).repartition(batch.sparkSession.sparkContext.defaultParallelism)
+        hits = met(spread, index, hashes, key, text, n).select(F.col(key).alias("_hit"))
         flagged = batch.join(hits, batch[key] == hits["_hit"], "left").withColumn("contaminated", F.col("_hit").isNotNull()).drop("_hit")
         flagged.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
 
