@@ -7,7 +7,10 @@ terms stand on one block together: its pivot is the next block, at or after the
 summed block maxima reach the k-th best score so far. Blocks before the pivot are skipped, the
 pivot's postings are scored, the k-th best score rises, and the cursors go on behind it. The
 few blocks with the largest sums are scored before the walk, so that it starts with a high k-th
-best score; a task also carries each query's k best on to its next shard. A shard's documents
+best score; a task also carries each query's k best on to its next shard. The words that very
+many of a shard's documents have are scored for many queries at once, as one product of dense
+matrices: a block's bound is then the largest of these exact parts and the other words' maxima,
+and a pivot reads the postings of the other words alone. A shard's documents
 lie in the order of their most frequent word and length, so that blocks are alike and bounds
 tight. Tasks' results are merged exactly.
 Queries come in broadcast blocks of bounded size, each against all shards.
@@ -26,7 +29,7 @@ from variora.llm.common import BLOBS, LARGE_ROWS, Words, blob_batches, gather, m
 
 K1, B, BLOCK = 1.2, 0.75, 64
 #: Text bytes of a shard; queries, and their words, of one broadcast block.
-SHARD_BYTES, QUERIES, QUERY_WORDS = 6 << 20, 4_000, 2_000_000
+SHARD_BYTES, QUERIES, QUERY_WORDS = 12 << 20, 4_000, 2_000_000
 #: Bytes after which an Arrow batch ends: a worker holds one or two shards, not its whole split.
 BATCH_BYTES = 4 << 20
 #: Shards that one task searches at most, unless the session has too few cores for that.
@@ -36,6 +39,9 @@ CELLS = 4 << 20
 DIGITS = 6
 #: Blocks scored before the walk, and pivots that one step of it scores together.
 FIRST_BLOCKS, PIVOTS = 8, 16
+#: Words that one in DENSE of a shard's documents has are dense, the commonest DENSE_WORDS at most
+#: (others go by postings); queries whose dense words are scored at once.
+DENSE, DENSE_WORDS, AT_ONCE = 16, 1_024, 128
 
 
 def build_index(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -108,22 +114,39 @@ class Shard:
         self.ids, lengths, self.terms, self.first, self.doc, tf = _arrays(blob)
         tf = tf.astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / average)) if len(tf) else tf
-        # cell t * blocks + b: the postings of word t in block b, and their largest impact
+        # cell t * blocks + b: the largest impact of word t in block b
         self.size = max(BLOCK, -(-len(self.ids) * len(self.terms) // CELLS))
         self.blocks = -(-len(self.ids) // self.size)
         cell = np.repeat(np.arange(len(self.terms)) * self.blocks, np.diff(self.first)) + self.doc // self.size
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(self.terms) * self.blocks))]).astype(np.int32)
         self.bound = np.zeros(len(self.terms) * self.blocks)
         if len(cell):
             piece = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
             self.bound[cell[piece]] = np.maximum.reduceat(self.impact, piece)
         self.bound = self.bound.reshape(len(self.terms), self.blocks)
-
-    def top(self, at: np.ndarray, idf: np.ndarray, k: int, threshold: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
+        df = np.diff(self.first)
+        dense = np.flatnonzero(df * DENSE >= max(1, len(self.ids)))
+        dense = dense[np.argsort(-df[dense], kind="stable")[:DENSE_WORDS]]
+        self.column = np.full(len(self.terms), -1)
+        self.column[dense] = np.arange(len(dense))
+        self.dense = np.zeros((len(dense), len(self.ids)))
+        postings = _spread(self.first[dense], df[dense])
+        self.dense[np.repeat(np.arange(len(dense)), df[dense]), self.doc[postings]] = self.impact[postings]
+
+    def by_dense_words(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Each query's scores of all documents by its dense words; a query is its terms and weights."""
+        weights = np.zeros((len(queries), len(self.dense)))
+        for row, (at, idf) in zip(weights, queries):
+            column = self.column[at]
+            row[column[column >= 0]] = idf[column >= 0]
+        return weights @ self.dense
+
+    def top(self, at: np.ndarray, idf: np.ndarray, scores: np.ndarray, k: int, threshold: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best k for terms ``at`` (in the shard) with these weights, of
-        documents that score ``threshold`` at least."""
-        reach = idf @ self.bound[at]  # block-max sums
-        scores, best = np.zeros(len(self.ids)), np.zeros(0, np.int64)
+        documents that score ``threshold`` at least. ``scores``, by the dense words, are added to."""
+        sparse = self.column[at] < 0
+        at, idf = at[sparse], idf[sparse]
+        reach = idf @ self.bound[at] + np.maximum.reduceat(scores, np.arange(0, len(scores), self.size))  # block-max sums
+        best, lists = np.zeros(0, np.int64), None
         cursor, primed = 0, False
         while True:
             least = max(threshold - 10.0**-DIGITS, 0.0)
@@ -139,12 +162,14 @@ class Shard:
                 if not len(now):
                     break
             reach[now] = 0.0
-            cells = (at[:, None] * self.blocks + now).ravel()
-            begin = self.begin[cells]
-            size = self.begin[cells + 1] - begin
-            postings = _spread(begin, size)
-            weight = np.repeat(np.repeat(idf, len(now)), size)
-            scores += np.bincount(self.doc[postings], weight * self.impact[postings], len(scores))
+            if lists is None:  # the other words are rare: their lists are read whole, once a pivot is met
+                size = self.first[at + 1] - self.first[at]
+                postings = _spread(self.first[at], size)
+                lists = self.doc[postings], np.repeat(idf, size) * self.impact[postings]
+            pivot = np.zeros(self.blocks, bool)
+            pivot[now] = True
+            here = pivot[lists[0] // self.size]
+            scores += np.bincount(lists[0][here], lists[1][here], len(scores))
             docs = (now[:, None] * self.size + np.arange(self.size)).ravel()
             docs = docs[docs < len(self.ids)]
             best = np.concatenate([best, docs[scores[docs] > least]])
@@ -229,14 +254,16 @@ def search(documents: DataFrame, queries: DataFrame, k: int = 10, id_column: str
                         continue
                     at = np.searchsorted(shard.terms, terms).clip(0, len(shard.terms) - 1)
                     known = shard.terms[at] == terms
-                    for own, best, best_ids in zip(sets, reached, found_ids):
-                        own = own[known[own]]
-                        if len(own):
-                            docs, scores = shard.top(at[own], weights.value[own], k, best[0])
-                            if len(docs):
-                                docs, scores = np.concatenate([best_ids, docs]), np.concatenate([best, scores])
-                                order = np.lexsort((-docs, scores))[-k:]
-                                best[:], best_ids[:] = scores[order], docs[order]
+                    for i in range(0, len(sets), AT_ONCE):
+                        owns = [own[known[own]] for own in sets[i : i + AT_ONCE]]
+                        some = [(at[own], weights.value[own]) for own in owns]
+                        for (own, idf), part, best, best_ids in zip(some, shard.by_dense_words(some), reached[i:], found_ids[i:]):
+                            if len(own):
+                                docs, scores = shard.top(own, idf, part, k, best[0])
+                                if len(docs):
+                                    docs, scores = np.concatenate([best_ids, docs]), np.concatenate([best, scores])
+                                    order = np.lexsort((-docs, scores))[-k:]
+                                    best[:], best_ids[:] = scores[order], docs[order]
             q, place = np.nonzero((reached > 0)[which])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[q], found_ids[which[q], place], reached[which[q], place])], ["query_id", "doc_id", "score"])
 
